@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keylake.llm import op1_topk, op2_quality, op4_simhash, op6_mix, op7_lm, op8_langid, op9_bpe
+from keylake.llm import op1_topk, op2_quality, op3_warc, op4_simhash, op6_mix, op7_lm, op8_langid, op9_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk.query,
     "op2_quality_rules": op2_quality.query,
+    "op3_warc_archive": op3_warc.query,
     "op4_simhash_dedup": op4_simhash.query,
     "op6_mix_sources": op6_mix.query,
     "op7_lm_score": op7_lm.query,
@@ -20,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": op1_topk.ORACLE_SQL,
+    "op3_warc_archive": op3_warc.ORACLE_SQL,
 }
