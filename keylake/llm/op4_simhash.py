@@ -55,15 +55,16 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), and the long columns to carry."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in binary(batch, "text")], np.uint64).astype(SIGNED)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps), *[batch[c] for c in carry]], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id bigint, fp bigint")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    return chosen.mapInArrow(each, "doc_id bigint, fp bigint" + "".join(f", `{c}` bigint" for c in carry))
 
 
 def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,18 +178,33 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, po
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row per document: doc_id, fp (the fingerprint as a signed long), component_id."""
-    each = materialize(spark, fingerprints(docs), "simhash")
+    """One row per document: doc_id, fp (the fingerprint as a signed long), root (the least fp of the component), component_id."""
+    return grouped(spark, materialize(spark, fingerprints(docs), "simhash"), distance)
+
+
+def grouped(spark: SparkSession, each: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """each (doc_id, fp and further columns) with root and component_id."""
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     distinct = materialize(spark, distinct, "simhash-distinct")
     found = components(spark, links(spark, distinct, distance))
     rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "n", "component_id")
+    classes = rooted.join(ids, "root").select("fp", "n", "root", "component_id")
     total = distinct.agg(F.sum("n")).first()[0] or 0
     return lookup(each, classes, "fp", "n", total)
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One document of each component, with all its columns: that with the smallest doc_id, a null one only if there is no other."""
+    row = F.xxhash64("doc_id", "text")
+    keyed = docs.select("doc_id", "text").withColumn("_row", row)
+    each = materialize(spark, fingerprints(keyed, "_row"), "simhash")
+    first = grouped(spark, each, distance).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
+    survivors = first.select(F.col("least._row").alias("_key"))
+    kept = docs.withColumn("_simhash_row", row).join(survivors, F.col("_simhash_row") == F.col("_key"), "left_semi")
+    return kept.dropDuplicates(["_simhash_row"]).select(*[kept[c] for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark, load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

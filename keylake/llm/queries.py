@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keylake.llm import op1_topk, op2_quality, op3_warc, op4_simhash, op6_mix, op7_lm, op8_langid, op9_bpe
+from keylake.llm import op1_topk, op10_html, op2_quality, op3_warc, op4_simhash, op6_mix, op7_lm, op8_langid, op9_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_score": op7_lm.query,
     "op8_language_id": op8_langid.query,
     "op9_bpe_codec": op9_bpe.query,
+    "op10_html_extraction": op10_html.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
