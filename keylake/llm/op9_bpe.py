@@ -20,6 +20,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ END = "\0"
 #: A letter of private use, in no class of the word pattern.
 UNASSIGNED = "\ue000"
 #: Words whose encoding is kept for the next documents, and the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+#: Words of up to so many letters merge by plain search for the lowest rank, longer ones by a heap.
+SHORT, NEVER = 32, 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -71,14 +74,18 @@ class Bpe:
         order = np.argsort(keys)
         self.keys, self.makes = keys[order], order + self.base
         self.merge = dict(zip(keys.tolist(), range(self.base, n), strict=True))
-        self.longest = max(map(len, self.number))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letter = byte_letters()
         # a token that exact merging of its own letters doesn't give back is never proposed
         self.proposed = {t: i for t, i in self.number.items() if i < self.base or self.exact(t) == [i]}
-        self.cache: dict[str, tuple[bytes, str, int]] = {}
+        self.reach: dict[str, int] = {}  # the longest token by its first three letters
+        for t in self.proposed:
+            if len(t) > 2:
+                self.reach[t[:3]] = max(self.reach.get(t[:3], 0), len(t))
+        self.cached_ids: dict[str, bytes] = {}
+        self.cached_names: dict[str, str] = {}
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
@@ -97,7 +104,18 @@ class Bpe:
     def exact(self, spelled: str) -> list[int]:
         """Merges the lowest rank first, the leftmost of equal ones."""
         marks = [*spelled[:-2], spelled[-2:]] if spelled.endswith(END) else [*spelled]
-        token = [self.number[c] for c in marks]
+        token, get, shift = [self.number[c] for c in marks], self.merge.get, self.shift
+        if len(token) <= SHORT:
+            makes = [get(x << shift | y, NEVER) for x, y in pairwise(token)]
+            while makes and (m := min(makes)) < NEVER:
+                i = makes.index(m)
+                token[i : i + 2] = [m]
+                del makes[i]
+                if i:
+                    makes[i - 1] = get(token[i - 1] << shift | m, NEVER)
+                if i < len(makes):
+                    makes[i] = get(m << shift | token[i + 1], NEVER)
+            return token
         after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
         heap = [(m, i, token[i], token[i + 1]) for i in range(len(token) - 1) if (m := self.merge.get(token[i] << self.shift | token[i + 1])) is not None]
         heapq.heapify(heap)
@@ -117,9 +135,9 @@ class Bpe:
 
     def propose(self, spelled: str) -> list[int]:
         """Greedy longest match from the left, never leaving the bare word end."""
-        out, at, n, get = [], 0, len(spelled), self.proposed.get
+        out, at, n, get, reach = [], 0, len(spelled), self.proposed.get, self.reach.get
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + reach(spelled[at : at + 3], 2)), at, -1):
                 if end != n - 1 and (t := get(spelled[at:end])) is not None:
                     break
             out.append(t)
@@ -163,29 +181,33 @@ class Bpe:
             found[i] = self.exact(spelled[i])
         return found
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str, int]]:
-        """For each text its ids as little-endian unsigned 32-bit integers, the decoded text, and the number of ids."""
+    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
         parts = []
         for text in texts:
             pieces = self.split.split(text) if self.split else [text]
             parts.append([p if i % 2 else self.words(p) for i, p in enumerate(pieces)])
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        long: dict[str, tuple[bytes, str, int]] = {}
-        new = [w for w in dict.fromkeys(w for part in parts for words in part[::2] for w in words) if w not in self.cache]
+        if len(self.cached_ids) > CACHE_WORDS:
+            self.cached_ids.clear()
+            self.cached_names.clear()
+        ids, names = self.cached_ids, self.cached_names
+        new = [*set().union(*(words for part in parts for words in part[::2])).difference(ids)]
         for w, tokens in zip(new, self.encode_words(new), strict=True):
-            (self.cache if len(w) <= CACHE_LENGTH else long)[w] = (self.ids[tokens].astype("<u4").tobytes(), " ".join(map(self.names.__getitem__, tokens)), len(tokens))
+            ids[w], names[w] = self.ids[tokens].astype("<u4").tobytes(), " ".join(map(self.names.__getitem__, tokens))
         out = []
         for part in parts:
-            entries = []
+            coded, named = [], []
             for i, piece in enumerate(part):
                 if i % 2:
-                    entries.append((np.uint32(self.special[piece]).astype("<u4").tobytes(), piece, 1))
-                elif long:
-                    entries += [self.cache.get(w) or long[w] for w in piece]
+                    coded.append(np.uint32(self.special[piece]).astype("<u4").tobytes())
+                    named.append(piece)
                 else:
-                    entries += map(self.cache.__getitem__, piece)
-            out.append((b"".join([e[0] for e in entries]), " ".join([e[1] for e in entries]), sum([e[2] for e in entries])))
+                    coded += map(ids.__getitem__, piece)
+                    named += map(names.__getitem__, piece)
+            out.append((b"".join(coded), " ".join(named)))
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                del ids[w], names[w]
         return out
 
 
@@ -205,10 +227,10 @@ def encoded(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFram
             texts = [t or "" for t in batch["_text"].to_pylist()]
             for at in range(0, max(1, len(texts)), 512):
                 got = bpe.encode_batch(texts[at : at + 512])
-                edges = np.concatenate([[0], np.cumsum([n for *_, n in got])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(i for i, *_ in got), "<i4")))
+                edges = np.concatenate([[0], np.cumsum([len(i) // 4 for i, _ in got])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(i for i, _ in got), "<i4")))
                 some = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([some["_id"], *[some[c.name] for c in extra], pa.array([n for *_, n in got], pa.int64()), ids, pa.array([d for _, d, _ in got], pa.string())], ["doc_id", *carry, "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([some["_id"], *[some[c.name] for c in extra], pa.array([len(i) // 4 for i, _ in got], pa.int64()), ids, pa.array([d for _, d in got], pa.string())], ["doc_id", *carry, "n_tokens", "ids", "decoded"])
 
     schema = "doc_id bigint, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in extra) + "n_tokens bigint, ids array<int>, decoded string"
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *carry).mapInArrow(encode, schema)
@@ -223,8 +245,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             texts = [t or "" for t in batch["_text"].to_pylist()]
             sums: list[list] = [[], [], []]
             for at in range(0, len(texts), 512):
-                for ids, decoded, n in bpe.encode_batch(texts[at : at + 512]):
-                    for to, x in zip(sums, (n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), strict=True):
+                for ids, decoded in bpe.encode_batch(texts[at : at + 512]):
+                    for to, x in zip(sums, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), strict=True):
                         to.append(x)
             yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.string()), pa.array(sums[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
