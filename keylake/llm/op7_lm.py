@@ -34,6 +34,7 @@ END = b" "  # no word can be it
 START = np.uint64(xxhash.xxh64_intdigest(b"  "))
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 UNIGRAM, BIGRAM = 1, 2
+WIDTHS = ("<u1", "<u2", "<u4", "<u8")
 
 
 def _pairs(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -73,6 +74,16 @@ class Block:
         self.trains = np.repeat(~table["held_out"].to_numpy(zero_copy_only=False).astype(bool), self.length)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest; their number tells which."""
+    most = counts.max(initial=0)
+    return counts.astype(next(t for t in WIDTHS if most < 1 << 8 * np.dtype(t).itemsize)).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}") if n else np.zeros(0, np.uint8)
+
+
 def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each key, rising with the key."""
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -83,11 +94,11 @@ def _requests(shards: int):
         block = Block(table)
         rows: list[list] = [[], [], [], []]
         for kind, keys in block.keys.items():
-            count = np.bincount(block.at[kind], block.trains, len(keys)).astype("<u4")
+            count = np.bincount(block.at[kind], block.trains, len(keys)).astype(np.int64)
             to = _shards(keys, shards)
             edge = np.flatnonzero(np.diff(to, prepend=-1))
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)], strict=True):
-                for column, x in zip(rows, (int(to[a]), kind, keys[a:b].astype("<u8").tobytes(), count[a:b].tobytes()), strict=True):
+                for column, x in zip(rows, (int(to[a]), kind, keys[a:b].astype("<u8").tobytes(), _packed(count[a:b])), strict=True):
                     column.append(x)
         return pa.table({"shard": pa.array(rows[0], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows[0]), pa.int32()), "kind": pa.array(rows[1], pa.int32()), "keys": pa.array(rows[2], pa.binary()), "counts": pa.array(rows[3], pa.binary())})
 
@@ -105,13 +116,13 @@ def _answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if not rows:
             continue
         unique, at = np.unique(np.frombuffer(b"".join(keys[i] for i in rows), "<u8"), return_inverse=True)
-        total = np.bincount(at, np.frombuffer(b"".join(counts[i] for i in rows), "<u4"), len(unique))
+        total = np.bincount(at, np.concatenate([_unpacked(counts[i], len(keys[i]) // 8) for i in rows]), len(unique)).astype(np.int64)
         if k == UNIGRAM:
             words[rows[0]], known[rows[0]] = int(total.sum()), int((total > 0).sum())
-        each = total[at].astype("<u4" if total.max() < 2**32 else "<u8")
+        each = total[at]
         edge = np.cumsum([0] + [len(keys[i]) // 8 for i in rows])
         for i, a, b in zip(rows, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            totals[i] = each[a:b].tobytes()
+            totals[i] = _packed(each[a:b])
     size = pa.array([len(k) // 8 for k in keys], pa.int32())
     return pa.table({"block": pa.array(block, pa.int32()), "kind": pa.array(kind, pa.int32()), "shard": pa.array([key[0].as_py()] * len(table), pa.int32()), "size": size, "totals": pa.array(totals, pa.binary()), "words": pa.array(words), "known": pa.array(known)})
 
@@ -122,7 +133,7 @@ def _scorer(n: int, v: int):
         total = {}
         for kind in block.keys:
             mine = sorted((s, t, z) for k, s, t, z in zip(*(answers[c].to_pylist() for c in ("kind", "shard", "totals", "size")), strict=True) if k == kind)
-            total[kind] = np.concatenate([np.frombuffer(t, "<u4" if len(t) == 4 * z else "<u8").astype(float) for _, t, z in mine] or [np.zeros(0)])
+            total[kind] = np.concatenate([_unpacked(t, z).astype(float) for _, t, z in mine] or [np.zeros(0)])
         c = total[UNIGRAM]
         root = np.log10((c + 1) / (n + v + 1))  # arcs of the root, by word
         m = SMOOTH_A * c**SMOOTH_B
