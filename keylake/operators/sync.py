@@ -20,6 +20,8 @@ from keylake.functions.codec import payload_key, payload_value
 STREAM = ["database_id", "node_key", "device_id"]
 POSITION = ["lamport", "node_key", "device_id"]
 BUNDLE_CHANGES, BUNDLE_BYTES = 10_000, 64 << 20
+#: Reasons that hold whatever else is missing, and those of entries that were never part of their stream.
+HARD, BESIDE = ("signature", "equivocation", "frozen"), ("signature", "equivocation")
 # fixed values: roles by rank, the lowest last in a tie of grants
 RANK = {"write": 3, "submit": 2, "read": 1, "revoked": 0}
 
@@ -172,23 +174,24 @@ def accept(entries: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df
     order = F.when(F.col("_r") == "malformed", 0).when(F.col("_r") == "lamport", 1).otherwise(2)
     local = broken.union(late).union(barred).groupBy("database_id", "entry_hash").agg(F.min_by("_r", order).alias("_r"))
     e = cut(e.join(local, ["database_id", "entry_hash"], "left").withColumn("reason", F.coalesce("reason", "_r")).drop("_r"))
-    gaps = chain_faults(e.where("reason IS NULL OR reason NOT IN ('signature', 'equivocation')").drop("reason")).where("fault = 'gap'").select(*STREAM, F.col("writer_seq").alias("_gap"))
+    gaps = chain_faults(e.where(F.col("reason").isNull() | ~F.col("reason").isin(*BESIDE)).drop("reason")).where("fault = 'gap'").select(*STREAM, F.col("writer_seq").alias("_gap"))
     stop = gaps.groupBy(*STREAM).agg(F.min("_gap").alias("_stop"))
-    e = e.join(stop, STREAM, "left").withColumn("pending", F.col("reason").isNull() & F.coalesce(F.col("writer_seq") >= F.col("_stop"), F.lit(False))).drop("_stop")
+    hard = F.coalesce(F.col("reason").isin(*HARD), F.lit(False))  # whatever else holds; other faults show only once all that an entry builds on is there
+    e = e.join(stop, STREAM, "left").withColumn("pending", ~hard & F.coalesce(F.col("writer_seq") >= F.col("_stop"), F.lit(False))).drop("_stop")
     needs = dependencies(e)
     while True:
         fine = e.where("reason IS NULL AND NOT pending").select("database_id", F.col("entry_hash").alias("head"))
         missing = needs.join(fine, ["database_id", "head"], "left_anti").select("database_id", "entry_hash", F.lit(True).alias("_waits")).distinct()
         x = e.join(missing, ["database_id", "entry_hash"], "left")
         down = Window.partitionBy(*STREAM).orderBy("writer_seq").rowsBetween(Window.unboundedPreceding, -1)
-        stuck = F.coalesce(F.max((F.col("reason").isNotNull() & ~F.col("reason").isin("signature", "equivocation")) | F.col("pending") | F.coalesce("_waits", F.lit(False))).over(down), F.lit(False))
-        after = cut(x.withColumn("_p", F.col("reason").isNull() & (F.col("pending") | F.coalesce("_waits", F.lit(False)) | stuck)).drop("_waits"))
+        stuck = F.coalesce(F.max((F.col("reason").isNotNull() & ~F.col("reason").isin(*BESIDE)) | F.col("pending") | F.coalesce("_waits", F.lit(False))).over(down), F.lit(False))
+        after = cut(x.withColumn("_p", ~hard & (F.col("pending") | F.coalesce("_waits", F.lit(False)) | stuck)).drop("_waits"))
         changed = not after.where("_p AND NOT pending").isEmpty()
         e = after.withColumn("pending", F.col("_p")).drop("_p")
         if not changed:
             break
-    outcome = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("pending"), "pending").otherwise("accepted")
-    return e.select(*entries.columns, outcome.alias("outcome"), "reason")
+    outcome = F.when(F.col("pending"), "pending").when(F.col("reason").isNotNull(), "rejected").otherwise("accepted")
+    return e.select(*entries.columns, outcome.alias("outcome"), F.when(~F.col("pending"), F.col("reason")).alias("reason"))
 
 
 def unpacked(bundles: DataFrame) -> DataFrame:
