@@ -49,6 +49,18 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of one Arrow batch at most: whole texts may be long, and a worker holds a batch at a time.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands Python no more than BATCH_ROWS rows at once."""
+    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A text column's values as UTF-8 bytes, without decoding them."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
@@ -72,3 +84,13 @@ def lookup(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> D
     x = x.withColumns({"_lkey": F.when(light, F.col(key)), "_lsalt": F.when(light, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("int"))})
     x = x.join(rest, (F.col("_lkey") == F.col("_key")) & (F.col("_lsalt") == F.col("_salt")), "left")
     return x.select(*[x[c] for c in left.columns], *[F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in values])
+
+
+def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most so many rows, those with the smallest hash of the key columns.
+
+    A share of about twice as many is taken by hash first, so that no task sends more than its part of these.
+    """
+    part = F.pmod(F.xxhash64(*key), F.lit(1 << 30))
+    share = min(1.0, (2.0 * rows + 100) / max(df.count(), 1))
+    return df.where(part <= F.lit(int(share * (1 << 30)))).orderBy(part, *key).limit(rows)

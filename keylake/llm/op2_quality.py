@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.llm import gbt
-from keylake.llm.common import binary, load
+from keylake.llm.common import binary, bounded_sample, load, small_batches
 
 #: Training takes no more labelled documents than this.
 TRAIN_ROWS = 20_000
@@ -85,7 +85,7 @@ def judged(texts: list[bytes | None], forest: gbt.Forest | None) -> dict[str, np
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> gbt.Forest:
     """Fits the forest to docs (doc_id, text) and labels (doc_id, quality), on at most so many labelled documents."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("quality"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
+    chosen = bounded_sample(marked, rows, "doc_id").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +109,7 @@ def verdicts(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
             found = judged(binary(batch, "text"), forest)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(found[k]) for k in (*COUNTS, "base_failed", "kept", "quality")]], ["doc_id", *COUNTS, "base_failed", "kept", "quality"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, kept boolean, quality double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, kept boolean, quality double")
 
 
 def filtered(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
@@ -119,7 +119,7 @@ def filtered(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(judged(binary(batch, "text"), forest)["kept"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

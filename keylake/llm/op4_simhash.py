@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import binary, load, lookup, materialize
+from keylake.llm.common import binary, load, lookup, materialize, small_batches
 from keylake.llm.components import components
 
 SHINGLE, DISTANCE, SEED, BYTES, POSTING = 4, 4, 42, 8, 4096
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
             fps = np.array([fingerprint(t) for t in binary(batch, "text")], np.uint64).astype(SIGNED)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps), *[batch[c] for c in carry]], ["doc_id", "fp", *carry])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     return chosen.mapInArrow(each, "doc_id bigint, fp bigint" + "".join(f", `{c}` bigint" for c in carry))
 
 

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keylake.llm.common import held_out, load, materialize
+from keylake.llm.common import held_out, load, materialize, small_batches
 
-FOLDS, DIM_BITS, ORDERS, CENTROIDS = 4, 14, 4, 4
+FOLDS, DIM_BITS, ORDERS, CENTROIDS = 4, 13, 4, 4
 DIM = 1 << DIM_BITS
 #: Each language learns from at most so many labelled rows, those with the smallest hash of id and text.
-SAMPLE = 1000
+SAMPLE = 500
 REJECT, SHARPNESS, UNKNOWN = 0.5, 25.0, "und"
 #: Lengths, in letters, at which the least cosine is taken: 16, 32, ... 2048.
 LENGTHS = [16 << i for i in range(8)]
@@ -57,7 +57,9 @@ def counts(found: str) -> np.ndarray:
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    """Rows at length 1, in place."""
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    return rows
 
 
 def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
@@ -65,7 +67,8 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     for i, t in enumerate(texts):
         if t:
             out[i] = np.sqrt(counts(t))
-    return unit(out * idf.astype(np.float32))
+    out *= idf.astype(np.float32)
+    return unit(out)
 
 
 @dataclass
@@ -152,7 +155,7 @@ def identified(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, rejected = shipped.value.predict(some["_text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([some["_id"], some["_held_out"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), held_out(F.col("doc_id"), FOLDS).alias("_held_out"), F.col("text").alias("_text"))
+    chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), held_out(F.col("doc_id"), FOLDS).alias("_held_out"), F.col("text").alias("_text"))
     return chosen.mapInArrow(predict, "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
@@ -167,7 +170,7 @@ def filtered(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                 some = batch.slice(at, 256)
                 yield some.filter(pa.array(~shipped.value.predict(some.column(place).to_pylist())[2]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
