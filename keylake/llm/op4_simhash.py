@@ -18,7 +18,7 @@ ids are null (then component_id is null); rows repeated with one doc_id count as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -67,12 +67,16 @@ def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
     return chosen.mapInArrow(each, "doc_id bigint, fp bigint" + "".join(f", `{c}` bigint" for c in carry))
 
 
-def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints, by breadth-first search in blocks."""
-    root = np.full(len(fps), -1)
-    a, b = [], []
-    bits = fps.view(np.uint64)
-    for start in range(len(fps)):
+def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Whether fingerprints are near, for all of a (rows) against all of b (columns); the last axis holds 64-bit words."""
+    return sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.int16) for k in range(a.shape[1])) <= distance
+
+
+def _forest(bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among distinct fingerprints [members, words]: places, by breadth-first search in blocks."""
+    root = np.full(len(bits), -1)
+    a, b = [np.array([], np.int64)], [np.array([], np.int64)]
+    for start in range(len(bits)):
         if root[start] >= 0:
             continue
         root[start] = start
@@ -83,12 +87,13 @@ def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
                 break
             new = np.zeros(len(rest), bool)
             for at in range(0, len(frontier), 256):
-                new |= (np.bitwise_count(bits[rest][None, :] ^ bits[frontier[at : at + 256]][:, None]) <= distance).any(0)
+                open_ = np.flatnonzero(~new)
+                new[open_] = _near(bits[frontier[at : at + 256]], bits[rest[open_]], distance).any(0)
             frontier = rest[new]
             root[frontier] = start
-            a.append(fps[frontier])
-            b.append(np.full(len(frontier), fps[start]))
-    return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
+            a.append(frontier)
+            b.append(np.full(len(frontier), start))
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _spelled(fps: np.ndarray, within: int) -> np.ndarray:
@@ -126,9 +131,10 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, po
                 if z > posting:
                     big.append(fps[f : f + z])
                 else:
-                    x, y = _forest(fps[f : f + z], distance)
-                    a.append(x)
-                    b.append(y)
+                    some = fps[f : f + z]
+                    x, y = _forest(some.view(np.uint64)[:, None], distance)
+                    a.append(some[x])
+                    b.append(some[y])
             none = np.array([], SIGNED)
             a, b, big = (np.concatenate(x) if x else none for x in (a, b, big))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, big])), pa.concat_arrays([pa.array(b), pa.nulls(len(big), pa.int64())])], ["a", "b"])
@@ -179,27 +185,144 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, po
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row per document: doc_id, fp (the fingerprint as a signed long), root (the least fp of the component), component_id."""
-    return grouped(spark, materialize(spark, fingerprints(docs), "simhash"), distance)
+    return grouped(spark, materialize(spark, fingerprints(docs), "simhash"), lambda distinct: links(spark, distinct, distance))
+
 
+def grouped(spark: SparkSession, each: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """each (doc_id, fp and further columns) with root and component_id. linked gives the links a, b of distinct fingerprints.
 
-def grouped(spark: SparkSession, each: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """each (doc_id, fp and further columns) with root and component_id."""
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    linked sees fp and any PROFILE columns.
+    """
+    carried = [c for c in PROFILE if c in each.columns]
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in carried])
     distinct = materialize(spark, distinct, "simhash-distinct")
-    found = components(spark, links(spark, distinct, distance))
+    found = components(spark, linked(distinct))
     rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(ids, "root").select("fp", "n", "root", "component_id")
     total = distinct.agg(F.sum("n")).first()[0] or 0
-    return lookup(each, classes, "fp", "n", total)
+    return lookup(each.drop(*carried), classes, "fp", "n", total)
+
+
+# near copies of documents -----------------------------------------------------------------------------------------------
+# Two texts that share four fifths of their five-word shingles differ in about a seventh of the bits of a shingle fingerprint: too
+# many for whole bytes of it to match. Their words agree far better, so the index is built on two fingerprints of the
+# distinct words, keyed by KEY_BYTES shared positional bytes of eight, and a longer fingerprint of the shingles verifies.
+
+COPY_SHINGLE, KEY_BYTES = 5, 3
+#: Of the 256 bits of the shingle fingerprint; a similarity of 0.8 shows as 39 on average, with a deviation of 6.
+COPY_BITS = 46
+KEY_SETS = [sum(0xFF << (8 * p) for p in s) for s in combinations(range(BYTES), KEY_BYTES)]
+PROFILE = ["w0", "w1", "v0", "v1", "v2", "v3"]
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Fingerprints [words] of hashes [features, words]."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 16384):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[at : at + 16384]).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def profile(text: bytes | None) -> np.ndarray:
+    """Two fingerprints of a text's distinct words and four words of one of its distinct shingles; zero without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(len(PROFILE), np.uint64)
+    k = min(COPY_SHINGLE, len(words))
+    shingles = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+    wide = xxhash.xxh3_128_digest
+    of_words = np.frombuffer(b"".join([wide(w) for w in set(words)]), np.uint64).reshape(-1, 2)
+    of_shingles = np.frombuffer(b"".join([wide(x, 1) + wide(x, 2) for x in shingles]), np.uint64).reshape(-1, 4)
+    return np.concatenate([_majority(of_words), _majority(of_shingles)])
+
+
+def profiles(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, the PROFILE columns, fp (a hash of these), and the long columns to carry."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([profile(t) for t in binary(batch, "text")], np.uint64).reshape(-1, len(PROFILE)).astype(SIGNED)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(np.ascontiguousarray(c)) for c in found.T], *[batch[c] for c in carry]], ["doc_id", *PROFILE, *carry])
+
+    chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    return chosen.mapInArrow(each, "doc_id bigint" + "".join(f", `{c}` bigint" for c in (*PROFILE, *carry))).withColumn("fp", F.xxhash64(*PROFILE))
+
+
+def copy_links(spark: SparkSession, distinct: DataFrame, bits: int = COPY_BITS, posting: int | None = None) -> DataFrame:
+    """Links a, b among distinct profiles (fp, PROFILE) of near copies.
+
+    A posting sends on a spanning forest of its verified links. One of over `posting` members is compared in parts of so
+    many: each part among itself and with one member of every group that the parts before left.
+    """
+    sets, posting = np.array(KEY_SETS, np.uint64), posting or POSTING
+    names = ["s", "key", "fp", *PROFILE]
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in range(2):
+                fps = batch[PROFILE[w]].to_numpy().view(np.uint64)
+                for i, mask in enumerate(sets):
+                    key = (fps & mask).view(SIGNED)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), i + len(sets) * w, np.int16)), pa.array(key), batch["fp"], *[batch[c] for c in PROFILE]], names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by s, key."""
+        held = np.zeros((len(names), 0), SIGNED)
+
+        def linked(rows: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+            """Links of one posting's rows, and the places of its groups' first members."""
+            a, b = _forest(rows[3 + 2 :].T.view(np.uint64), bits)
+            return rows[2][a], rows[2][b], np.setdiff1d(np.arange(rows.shape[1]), a)
+
+        def links_of(rows: np.ndarray) -> pa.RecordBatch:
+            edge = np.flatnonzero((np.diff(rows[1]) != 0) | (np.diff(rows[0]) != 0)) + 1
+            first, last = np.concatenate([[0], edge]), np.concatenate([edge, [rows.shape[1]]])
+            a, b = [np.array([], SIGNED)], [np.array([], SIGNED)]
+            pair = first[last - first == 2]
+            if len(pair):
+                v = np.ascontiguousarray(rows[5:]).view(np.uint64)
+                near = sum(np.bitwise_count(v[k, pair] ^ v[k, pair + 1]).astype(np.int16) for k in range(len(v))) <= bits
+                a.append(rows[2][pair[near]])
+                b.append(rows[2][pair[near] + 1])
+            for f, z in zip(first[last - first > 2].tolist(), last[last - first > 2].tolist(), strict=True):
+                x, y, _ = linked(np.ascontiguousarray(rows[:, f:z]))
+                a.append(x)
+                b.append(y)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([batch[c].to_numpy().astype(SIGNED) for c in names])], axis=1)
+            ended = np.flatnonzero((np.diff(rows[1]) != 0) | (np.diff(rows[0]) != 0))
+            cut = int(ended[-1]) + 1 if len(ended) else 0
+            if cut:
+                yield links_of(rows[:, :cut])
+            held = rows[:, cut:]
+            if held.shape[1] > posting:
+                x, y, lead = linked(np.ascontiguousarray(held))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+                held = held[:, lead]
+        if held.shape[1]:
+            yield links_of(held)
+
+    chosen = distinct.select("fp", *PROFILE)
+    schema = "s smallint, key bigint, fp bigint" + "".join(f", {c} bigint" for c in PROFILE)
+    postings = chosen.mapInArrow(index, schema).repartition("s", "key").sortWithinPartitions("s", "key")
+    return postings.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fp, root and component_id, by links of near copies (shared five-word shingles of about 0.8 and more)."""
+    return grouped(spark, materialize(spark, profiles(docs), "profiles"), lambda distinct: copy_links(spark, distinct))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component, with all its columns: that with the smallest doc_id, a null one only if there is no other."""
+def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, with all its columns: that with the smallest doc_id, a null one only if there is no other."""
     row = F.xxhash64("doc_id", "text")
     keyed = docs.select("doc_id", "text").withColumn("_row", row)
-    each = materialize(spark, fingerprints(keyed, "_row"), "simhash")
-    first = grouped(spark, each, distance).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
+    each = materialize(spark, profiles(keyed, "_row"), "profiles")
+    groups = grouped(spark, each, lambda distinct: copy_links(spark, distinct))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
     survivors = first.select(F.col("least._row").alias("_key"))
     kept = docs.withColumn("_simhash_row", row).join(survivors, F.col("_simhash_row") == F.col("_key"), "left_semi")
     return kept.dropDuplicates(["_simhash_row"]).select(*[kept[c] for c in docs.columns])

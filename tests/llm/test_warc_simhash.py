@@ -122,7 +122,7 @@ def test_near_duplicates_of_odd_rows(spark, tmp_path):
     got = sorted(((r.doc_id, r.component_id) for r in op4_simhash.near_duplicates(spark, docs).collect()), key=str)
     assert got == sorted([(9, 3), (3, 3), (None, 3), (5, 4), (4, 4), (None, None), (8, 8), (8, 8)], key=str)
     kept = op4_simhash.deduplicated(spark, docs)
-    assert kept.columns == docs.columns and sorted((r.doc_id or 0 for r in kept.collect())) == [0, 3, 4, 8]
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0 for r in kept.collect())) == [0, 3, 4, 8]  # null, empty and blank texts are one group
     assert op4_simhash.near_duplicates(spark, docs.limit(0)).count() == 0
 
 
@@ -135,3 +135,46 @@ def test_lookup_with_heavy_keys(spark):
 
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark) == shared_dir(spark) and "://" in shared_dir(spark)
+
+
+# near copies ------------------------------------------------------------------------------------------------------------
+def copies(r, text, share):
+    words = text.split()
+    for i in r.sample(range(len(words)), int(share * len(words))):
+        words[i] = f"edit{r.random()}"
+    return " ".join(words)
+
+
+def similarity(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("posting", [4096, 4])
+def test_near_copies_are_found_and_others_left(spark, monkeypatch, posting):
+    monkeypatch.setattr(op4_simhash, "POSTING", posting)
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)] + ["the", "of", "and"] * 300
+    originals = [" ".join(r.choice(vocabulary) for _ in range(r.randint(80, 600))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(originals)]
+    near = {}
+    for i, t in enumerate(originals[:25]):
+        for k in range(3):
+            copy = copies(r, t, 0.012)
+            near[100 + 3 * i + k] = (i, similarity(t, copy))
+            rows.append((100 + 3 * i + k, copy))
+    rows += [(500 + i, t.upper()) for i, t in enumerate(originals[:5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"w0": F.lit("clash"), "n": F.lit(1)})
+    groups = {x.doc_id: x.component_id for x in op4_simhash.near_copies(spark, docs).collect()}
+    close = [(i, c) for c, (i, s) in near.items() if s >= 0.8]
+    assert len(close) > 50 and sum(groups[c] == i for i, c in close) >= 0.97 * len(close)
+    assert all(groups[i] == i for i in range(40)) and all(groups[500 + i] == i for i in range(5))
+    kept = op4_simhash.deduplicated(spark, docs)
+    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} >= set(range(40))
+
+
+def test_profiles():
+    assert not op4_simhash.profile(None).any() and not op4_simhash.profile(b" \n").any()
+    assert (op4_simhash.profile(b"One two") == op4_simhash.profile(b"one TWO\n")).all()
+    long_ = b"a b c d e f g h " * 50_000
+    assert (op4_simhash.profile(long_)[2:] == op4_simhash.profile(long_[:64])[2:]).all()  # repeats count once
