@@ -34,7 +34,7 @@ END = b" "  # no word can be it
 START = np.uint64(xxhash.xxh64_intdigest(b"  "))
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 UNIGRAM, BIGRAM = 1, 2
-WIDTHS = ("<u1", "<u2", "<u4", "<u8")
+WIDTHS = (1, 2, 4, 8)
 
 
 def _pairs(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -74,14 +74,17 @@ class Block:
         self.trains = np.repeat(~table["held_out"].to_numpy(zero_copy_only=False).astype(bool), self.length)
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest; their number tells which."""
-    most = counts.max(initial=0)
-    return counts.astype(next(t for t in WIDTHS if most < 1 << 8 * np.dtype(t).itemsize)).tobytes()
+def _packed(numbers: np.ndarray, width: int = 0) -> bytes:
+    """Numbers in the fewest bytes that hold the largest, or in so many; byte planes one after another, as shuffles compress these best."""
+    width = width or next(w for w in WIDTHS if numbers.max(initial=0) < 1 << 8 * w)
+    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}") if n else np.zeros(0, np.uint8)
+    if not n:
+        return np.zeros(0, np.uint64)
+    width = len(data) // n
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel()
 
 
 def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -98,7 +101,7 @@ def _requests(shards: int):
             to = _shards(keys, shards)
             edge = np.flatnonzero(np.diff(to, prepend=-1))
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)], strict=True):
-                for column, x in zip(rows, (int(to[a]), kind, keys[a:b].astype("<u8").tobytes(), _packed(count[a:b])), strict=True):
+                for column, x in zip(rows, (int(to[a]), kind, _packed(keys[a:b], 8), _packed(count[a:b])), strict=True):
                     column.append(x)
         return pa.table({"shard": pa.array(rows[0], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows[0]), pa.int32()), "kind": pa.array(rows[1], pa.int32()), "keys": pa.array(rows[2], pa.binary()), "counts": pa.array(rows[3], pa.binary())})
 
@@ -115,7 +118,7 @@ def _answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = np.flatnonzero(kind == k).tolist()
         if not rows:
             continue
-        unique, at = np.unique(np.frombuffer(b"".join(keys[i] for i in rows), "<u8"), return_inverse=True)
+        unique, at = np.unique(np.concatenate([_unpacked(keys[i], len(keys[i]) // 8) for i in rows]), return_inverse=True)
         total = np.bincount(at, np.concatenate([_unpacked(counts[i], len(keys[i]) // 8) for i in rows]), len(unique)).astype(np.int64)
         if k == UNIGRAM:
             words[rows[0]], known[rows[0]] = int(total.sum()), int((total > 0).sum())
