@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -35,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="keylake-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:

@@ -25,8 +25,11 @@ from pyspark.sql.window import Window
 
 from keylake.llm.common import load, materialize, parallelism
 
-#: Bins of one histogram, and the most rows and queries of one cell.
-BINS, CELL_ROWS, CELL_QUERIES, LEAST_ROWS = 4096, 4096, 1024, 512
+#: Bins of one histogram; the most numbers of a cell's rows and of its queries (the larger, the less is sent a product); rows
+#: that make a group of their own worth while.
+BINS, ROW_NUMBERS, QUERY_NUMBERS, LEAST_ROWS = 4096, 1 << 22, 1 << 20, 512
+#: Scores that a task holds at once.
+BLOCK_SCORES = 1 << 21
 K, QUERY_EVERY, SCALE = 5, 50, 256
 CELL = ["d", "g", "h"]
 
@@ -52,9 +55,10 @@ def _scores(queries: pa.Table, rows: pa.Table, d: int):
     exact = d * np.abs(q).max(initial=0) * np.abs(v).max(initial=0) < 2**53
     q, v = (q, v) if exact else (q.astype(np.int64), v.astype(np.int64))
     q_id, v_id = queries["query_id"].to_numpy(), rows["vec_id"].to_numpy()
-    for at in range(0, len(q), 256):
-        score = (q[at : at + 256] @ v.T).astype(np.int64)
-        yield at, score, q_id[at : at + 256, None] != v_id[None, :]
+    step = max(1, BLOCK_SCORES // max(len(v), 1))
+    for at in range(0, len(q), step):
+        score = (q[at : at + step] @ v.T).astype(np.int64)
+        yield at, score, q_id[at : at + step, None] != v_id[None, :]
 
 
 def _histograms():
@@ -102,11 +106,11 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     vectors: vec_id long, v array<long>; queries: query_id long, v array<long>. Ties go to the smaller vec_id.
     """
     norm = F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
-    size = F.count(F.lit(1))
-    (n, vn), (m, qn) = (df.agg(size, norm).first() for df in (vectors, queries))
+    (n, vn, width), (m, qn, _) = (df.agg(F.count(F.lit(1)), norm, F.max(F.size("v"))).first() for df in (vectors, queries))
     bound = min(int((vn or 0) * (qn or 0) * 1.0001) + 1, 2**61)
-    g = max(1, math.ceil(n / CELL_ROWS), min(parallelism(spark), n // LEAST_ROWS))
-    h = max(1, math.ceil(m / CELL_QUERIES))
+    per_cell = lambda numbers: max(1, numbers // max(width or 1, 1))
+    g = max(1, math.ceil(n / per_cell(ROW_NUMBERS)), min(parallelism(spark), n // LEAST_ROWS))
+    h = max(1, math.ceil(m / per_cell(QUERY_NUMBERS)))
     deal = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
     rows = vectors.select("vec_id", "v", F.size("v").alias("d"), deal("vec_id", g).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h")).groupBy(*CELL)
     asked = queries.select("query_id", "v", F.size("v").alias("d"), deal("query_id", h).alias("h"))

@@ -29,8 +29,8 @@ def test_top_k_equals_brute_force(spark, seed, span, k):
 
 
 def test_top_k_cells(spark, monkeypatch):
-    monkeypatch.setattr(op1_topk, "CELL_ROWS", 16)
-    monkeypatch.setattr(op1_topk, "CELL_QUERIES", 4)
+    monkeypatch.setattr(op1_topk, "ROW_NUMBERS", 80)
+    monkeypatch.setattr(op1_topk, "QUERY_NUMBERS", 20)
     r = random.Random(5)
     vectors = [(i, [r.randint(-9, 9) for _ in range(5)]) for i in range(100)]
     rows, queries = spark.createDataFrame(vectors, "vec_id long, v array<long>"), vectors[::9]
