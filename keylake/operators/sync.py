@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keylake.functions.codec import payload_key, payload_value
+from keylake.sources.work import written
 
 STREAM = ["database_id", "node_key", "device_id"]
 POSITION = ["lamport", "node_key", "device_id"]
@@ -153,13 +154,14 @@ def unauthorised(entries: DataFrame, own: DataFrame) -> DataFrame:
     return y.select("database_id", "entry_hash", why.alias("why")).where("why IS NOT NULL").union(away)
 
 
-def accept(entries: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+def accept(entries: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every distinct entry with its outcome: accepted, pending (something it builds on is missing) or rejected, and the reason.
 
     Local faults are found by joins and windows. Whatever builds on an entry that isn't accepted is pending; that spreads
     along streams by one window a round and between streams by one join a round, so rounds count hops between streams.
-    cut: cuts the lineage between rounds.
+    cut: cuts the lineage between rounds; by default a table in the folder that driver and executors share.
     """
+    cut = cut or (lambda df: written(df.sparkSession, df))
     e = entries.groupBy("entry_hash").agg(F.min_by(F.struct(*[c for c in entries.columns if c != "entry_hash"]), "arrival").alias("_e")).select("entry_hash", "_e.*")
     frozen = equivocations(e).select(*STREAM, F.col("writer_seq").alias("_at"), "held_hash")
     first = frozen.groupBy(*STREAM).agg(F.min("_at").alias("_frozen"))

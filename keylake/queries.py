@@ -482,6 +482,231 @@ def vocabulary_integrity(spark, sf_dir):
     return advice.vocabulary_faults(b.select(F.concat(F.lit("f"), F.col("item_id") % 30).alias("name"), F.col("text").alias("description")))
 
 
+# further operators of the same families ---------------------------------------------------------------------------------
+@query(f"SELECT schema, hash, range_enc, seq, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY {KEYED} ORDER BY seq DESC) AS rn FROM ({UPSERTS}) WHERE seq <= 1) WHERE rn = 1 AND NOT deleted")
+def snapshot_as_of(spark, sf_dir):
+    return log.snapshot(upserts(spark, sf_dir), seq=1).select("schema", "hash", "range_enc", "seq", "l_partkey")
+
+
+@query(f"SELECT {KEYED}, max(written_nanos) AS written_nanos, max(seq) AS seq FROM ({EVENT_LOG}) GROUP BY ALL")
+def write_age_max(spark, sf_dir):
+    return event_log(spark, sf_dir).groupBy(*log.KEY).agg(F.max("written_nanos").alias("written_nanos"), F.max("seq").alias("seq"))
+
+
+@query("SELECT user_id, arg_max(event_id, (epoch_us(ts), event_type, event_id)) AS event_id FROM events GROUP BY 1")
+def replay_stamp_max(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros("ts").alias("us"), "event_type")
+    return log.latest(e.withColumn("id", F.col("event_id")), ["user_id"], ["us", "event_type", "id"]).select("user_id", "event_id")
+
+
+@query("SELECT source, count(*) > 0 AS holds FROM documents GROUP BY 1")
+def schemas_that_hold_records(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg((F.count("*") > 0).alias("holds"))
+
+
+@query("SELECT event_id, CAST(regexp_full_match(props, '\\{\"k\": -?[0-9]+\\}') AS BOOLEAN) AS integer_k, false AS text_k, true AS any_object FROM events")
+def field_type_checks(spark, sf_dir):
+    from keylake.functions.types import FieldType, valid
+
+    of = lambda kind: valid(F.col("props"), FieldType("Object", members=(("k", FieldType(kind)),)))
+    return table(spark, sf_dir, "events").select("event_id", of("Integer").alias("integer_k"), of("String").alias("text_k"), valid(F.col("props"), FieldType("Map", (FieldType("Any"),))).alias("any_object"))
+
+
+@query("SELECT event_id, event_id % 4 <> 0 AS ok FROM events")
+def undeclared_fields(spark, sf_dir):
+    from keylake.functions.types import FieldType, faults
+
+    record = F.when(F.col("event_id") % 4 == 0, F.lit('{"other":1}')).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", (F.size(faults(record, {"k": FieldType("Integer")})) == 0).alias("ok"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS date_ok, o_orderkey % 5 <> 0 AS datetime_ok FROM orders")
+def date_texts(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(F.col("o_orderkey") % 3 == 0, day).when(F.col("o_orderkey") % 3 == 1, F.concat(F.substring(day, 1, 5), F.lit("02-30"))).otherwise(F.concat(day, F.lit("Z")))
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    full = F.concat(stamp, F.when(F.col("o_orderkey") % 5 == 0, ".1234567890Z").when(F.col("o_orderkey") % 5 == 1, "Z").when(F.col("o_orderkey") % 5 == 2, "+02:00").when(F.col("o_orderkey") % 5 == 3, ".5z").otherwise(".123456789-11:30"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", codec.valid_date(text).alias("date_ok"), codec.datetime_micros(full).isNotNull().alias("datetime_ok"))
+
+
+PAD = "".join(f"{b ^ 0x36:02X}" for b in b"k" * 32 + bytes(32)), "".join(f"{b ^ 0x5C:02X}" for b in b"k" * 32 + bytes(32))
+
+
+@query(f"""WITH m AS (SELECT c_custkey, sha256(unhex('{PAD[1]}' || sha256(unhex('{PAD[0]}' || hex('hk|v1') || '00' || hex('customer') || '00' || hex(c_name))))) AS mac FROM customer)
+SELECT c_custkey, replace(replace(replace(to_base64(unhex(substr(mac, 1, 32))), '+', '-'), '/', '_'), '=', '') AS blinded FROM m""")
+def blinded_keys(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", codec.blinded_hash(b"k" * 32, "customer", F.col("c_name")).alias("blinded"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS ok FROM documents")
+def inline_files(spark, sf_dir):
+    raw = F.encode("text", "utf-8")
+    size = F.length(raw) + F.when(F.col("doc_id") % 3 == 1, 1).otherwise(0)
+    digest = F.when(F.col("doc_id") % 3 == 2, "0").otherwise(F.sha2(raw, 256))
+    content = F.regexp_replace(F.base64(raw), r"\s", "")
+    return table(spark, sf_dir, "documents").select("doc_id", codec.inline_file_ok(content, size, digest).alias("ok"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) // 1000000 ELSE -1 END AS seconds FROM events")
+def range_key_seconds(spark, sf_dir):
+    key = F.when(F.col("event_id") % 2 == 0, F.concat(F.lpad(F.unix_seconds("ts").cast("string"), 20, "0"), F.lit("-x"))).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(codec.range_seconds(key).cast("long"), F.lit(-1)).alias("seconds"))
+
+
+@query("SELECT event_id, event_type AS kept FROM events")
+def reserved_fields_stripped(spark, sf_dir):
+    fields = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("created_by"), F.lit("a"), F.lit("updated_by"), F.lit("b"))
+    own = read.user_fields(fields)
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.size(own) == 1, own["kind"]).alias("kept"))
+
+
+@query(f"SELECT hash AS key_hash, range AS key_range, o_orderstatus, o_totalprice FROM ({ORDERS})")
+def full_rows(spark, sf_dir):
+    rows = read.full_rows(orders(spark, sf_dir), ["o_orderstatus", "o_totalprice"])
+    return rows.select(F.col("key.hash").alias("key_hash"), F.col("key.range").alias("key_range"), "fields.o_orderstatus", "fields.o_totalprice")
+
+
+@query("""SELECT verb, caller, n FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'purge' ELSE 'delete' END AS verb, CAST(l_suppkey AS VARCHAR) AS caller, count(*) AS n, min(l_shipdate) AS first_at FROM lineitem GROUP BY 1, 2) ORDER BY first_at, verb, caller LIMIT 25""")
+def delete_ledger_page(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "R", "purge").otherwise("delete").alias("verb"), F.col("l_suppkey").cast("string").alias("caller"), "l_shipdate")
+    return li.groupBy("verb", "caller").agg(F.count("*").alias("n"), F.min("l_shipdate").alias("at")).orderBy("at", "verb", "caller").limit(25).drop("at")
+
+
+def seeing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as entries that have seen the grants of their own orders up to a total price."""
+    o = table(spark, sf_dir, "orders").where("o_totalprice < 250000")
+    seen = o.groupBy("o_custkey").agg(F.collect_list(F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("seen_heads"))
+    return seen.select((F.col("o_custkey") % 4).cast("string").alias("database_id"), F.concat(F.lit("e"), F.col("o_custkey")).alias("entry_hash"), F.col("o_custkey").cast("string").alias("node_key"), "seen_heads")
+
+
+@query(f"""WITH {GRANTS} SELECT database_id, entry_hash, role AS window_role FROM (SELECT g.database_id, 'e' || grantee AS entry_hash, role, row_number() OVER (PARTITION BY g.database_id, grantee ORDER BY lamport DESC, device_id DESC, rank, entry_hash DESC) AS rn
+FROM g JOIN orders o ON o.o_orderkey = g.o_orderkey WHERE o.o_totalprice < 250000) WHERE rn = 1""")
+def grant_window_roles(spark, sf_dir):
+    return sync.window_roles(seeing(spark, sf_dir), grants(spark, sf_dir))
+
+
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS database_id, 'c' || CAST(c_custkey AS VARCHAR) AS entry_hash, c_name AS key, hex(encode(c_mktsegment)) AS value FROM customer
+WHERE c_custkey % 3 = 0 OR (c_custkey % 3 = 1 AND c_custkey % 2 = 0 AND c_custkey % 5 = 0)""")
+def proposal_content(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    entries = c.select(F.col("c_nationkey").cast("string").alias("database_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("entry_hash"), F.lit("data").alias("kind"), F.when(F.col("c_custkey") % 3 == 0, "direct").otherwise("proposal").alias("stream"), F.when(F.col("c_custkey") % 2 == 0, "owner").otherwise("member").alias("node_key"), ((F.col("c_custkey") % 3 == 1) & (F.col("c_custkey") % 5 == 0)).alias("incorporated"), codec.encode_payload(F.col("c_name"), F.encode("c_mktsegment", "utf-8")).alias("payload"))
+    own = entries.select("database_id", F.lit("owner").alias("owner")).distinct()
+    return sync.content(entries, own).select("database_id", "entry_hash", "key", F.hex("value").alias("value"))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS entry_hash, CAST(l_linenumber AS VARCHAR) AS key FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = count(DISTINCT l_linenumber) AND l_orderkey % 4 <> 0)")
+def bundle_changes(spark, sf_dir):
+    change = F.struct(F.lit("n").alias("namespace"), codec.encode_payload(F.col("l_linenumber").cast("string"), F.lit(b"v")).alias("payload"))
+    by = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(change)).alias("sorted"))
+    wrong = F.when(F.col("l_orderkey") % 4 == 0, F.concat("sorted", F.array(F.col("sorted")[0]))).otherwise(F.col("sorted"))
+    bundles = by.select(F.col("l_orderkey").cast("string").alias("entry_hash"), wrong.alias("changes"))
+    return sync.unpacked(bundles).select("entry_hash", codec.payload_key(F.col("payload")).alias("key"))
+
+
+@query(f"""WITH {ENTRY_LOG}, h AS (SELECT * FROM entries WHERE arrival % 2 = 0)
+SELECT database_id, node_key, device_id, writer_seq, CASE WHEN arrival % 2 = 1 THEN 'new' WHEN arrival % 6 = 0 THEN 'conflict' ELSE 'duplicate' END AS outcome FROM entries""")
+def relay_append(spark, sf_dir):
+    e = entry_log(spark, sf_dir)
+    page = e.withColumn("entry_hash", F.when(F.col("arrival") % 6 == 0, "forged").otherwise(F.col("entry_hash")))
+    return sync.append_page(page, e.where("arrival % 2 = 0")).select("database_id", "node_key", "device_id", "writer_seq", "outcome")
+
+
+@query("SELECT sha256(CAST(event_id AS VARCHAR)) AS entry_hash, event_id AS queued_at FROM events WHERE event_id % 3 <> 0")
+def outbox_pending(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("entry_hash"), F.col("event_id").alias("queued_at"))
+    again = e.where("queued_at % 5 = 0").withColumn("queued_at", F.col("queued_at") + 1000000)
+    return sync.outbox(e.union(again), e.where("queued_at % 3 = 0").select("entry_hash"))
+
+
+@query("""WITH r AS (SELECT c_custkey, ['write', 'submit', 'read', 'revoked', 'none'][CAST(c_custkey % 5 + 1 AS INTEGER)] AS role, ['append', 'read', 'blob'][CAST(c_custkey % 3 + 1 AS INTEGER)] AS wants FROM customer)
+SELECT c_custkey AS request, wants, CASE wants WHEN 'read' THEN role IN ('write', 'submit', 'read') WHEN 'append' THEN role IN ('write', 'submit') ELSE role = 'write' END AS allowed FROM r""")
+def relay_gate(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("c_custkey") % n + 1).cast("int"))
+    asked = c.select(F.col("c_custkey").alias("request"), F.lit("db").alias("database_id"), F.col("c_name").alias("node_key"), pick(["append", "read", "blob"], 3).alias("wants"))
+    given = c.where("c_custkey % 5 < 4").select(F.lit("db").alias("database_id"), F.col("c_name").alias("grantee"), pick(["write", "submit", "read", "revoked", "none"], 5).alias("role"))
+    own = spark.createDataFrame([("db", "somebody")], "database_id string, owner string")
+    return sync.gated(asked, given, own).select("request", "wants", "allowed")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS seq FROM events),
+x AS (SELECT user_id, event_type, seq, event_id, event_id % 50 = 0 AND event_id > 0 AS broken FROM e WHERE event_id % 97 <> 96),
+f AS (SELECT *, seq <> coalesce(lag(seq) OVER (PARTITION BY user_id, event_type ORDER BY seq), 0) + 1 AS gap FROM x),
+s AS (SELECT *, min(CASE WHEN gap OR broken THEN seq END) OVER (PARTITION BY user_id, event_type) AS stop FROM f)
+SELECT event_id AS arrival, CASE WHEN stop IS NULL OR seq < stop THEN 'accepted' WHEN seq = stop AND broken AND NOT gap THEN 'rejected' ELSE 'pending' END AS outcome FROM s""")
+def accepted_entries(spark, sf_dir):
+    """Every user a database of its own, whose owner writes one chain per event type; some links are wrong, some entries lost."""
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    ident = lambda c: F.sha2(c.cast("string"), 256)
+    before = F.when((F.col("event_id") % 50 == 0) & (F.col("event_id") > 0), "wrong").otherwise(F.coalesce(ident(F.lag("event_id").over(w)), F.lit("")))
+    user, none = F.col("user_id").cast("string"), F.lit(None)
+    born = Window.partitionBy("user_id").orderBy("event_id")
+    rows = e.withColumns({"seq": F.row_number().over(w).cast("long"), "prev": before}).where("event_id % 97 <> 96").withColumn("first", F.row_number().over(born) == 1)
+    entries = rows.select(
+        user.alias("database_id"), user.alias("node_key"), F.col("event_type").alias("device_id"), F.col("seq").alias("writer_seq"), F.col("prev").alias("prev_hash"), F.col("seq").alias("lamport"), F.array().cast("array<string>").alias("seen_heads"),
+        F.when(F.col("first"), "birth").otherwise("data").alias("kind"), F.lit("direct").alias("stream"), none.cast("string").alias("role"), user.alias("grantee"), F.array().cast("array<struct<device_id:string,writer_seq:bigint>>").alias("cutoffs"), none.cast("string").alias("grant_device"),
+        none.cast("long").alias("grant_seq"), none.cast("boolean").alias("incorporated"), ident(F.col("event_id")).alias("entry_hash"), F.lit(True).alias("signature_valid"), F.col("event_id").alias("arrival"),
+    )
+    return sync.accept(entries).select("arrival", "outcome")
+
+
+@query("SELECT namespace, field FROM (SELECT DISTINCT source AS namespace, lang AS field FROM documents) WHERE namespace IN ('src1', 'src2') OR (namespace = 'src3' AND field = 'en')")
+def share_admission(spark, sf_dir):
+    fields = table(spark, sf_dir, "documents").select(F.col("source").alias("namespace"), F.col("lang").alias("field")).distinct()
+    policy = spark.createDataFrame([("src1", None), ("src2", None), ("src3", "en")], "namespace string, field string")
+    return advice.admitted(fields, policy)
+
+
+@query("""SELECT name, CASE WHEN NOT regexp_full_match(name, '[a-z][a-z0-9]*(_[a-z][a-z0-9]*)*') THEN 'form' WHEN NOT contains(name, '_') THEN 'one concept' WHEN len(list_filter(string_split(name, '_'), lambda w: strlen(w) = 1)) > 0 THEN 'one letter' WHEN len(list_filter(string_split(name, '_'), lambda w: strlen(w) = 2)) > 0 THEN 'short word' WHEN contains(name, 'item') THEN 'vague' END AS fault
+FROM (SELECT CASE p_partkey % 6 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN p_name WHEN 2 THEN string_split(p_name, ' ')[1] WHEN 3 THEN replace(p_name, ' ', '_') || '_x' WHEN 4 THEN replace(p_name, ' ', '_') || '_qx' ELSE replace(p_name, ' ', '_') || '_item' END AS name FROM part)""")
+def field_name_faults(spark, sf_dir):
+    snake, k = F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey") % 6
+    name = F.when(k == 0, snake).when(k == 1, F.col("p_name")).when(k == 2, F.split("p_name", " ")[0]).when(k == 3, F.concat(snake, F.lit("_x"))).when(k == 4, F.concat(snake, F.lit("_qx"))).otherwise(F.concat(snake, F.lit("_item")))
+    return table(spark, sf_dir, "part").select(name.alias("name")).select("name", advice.name_fault(F.col("name"), ["id"], ["psi", "qty"]).alias("fault"))
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as canonical fields of bytes."""
+    p = table(spark, sf_dir, "part").select("p_name").distinct()
+    return p.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_bytes")).alias("name"), F.lit("Integer").alias("type"), F.concat(F.lit("the size of a "), "p_name", F.lit(" in bytes")).alias("description"), F.lit(1).alias("version"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part), d AS (SELECT p_name, string_split(p_name, ' ')[1] || upper(substr(string_split(p_name, ' ')[2], 1, 1)) || substr(string_split(p_name, ' ')[2], 2) || 'Byte' AS camel FROM n)
+SELECT camel AS name, replace(p_name, ' ', '_') || '_bytes' AS other, 2 AS score, 1 AS place FROM d UNION ALL SELECT 'extent of ' || p_name, replace(p_name, ' ', '_') || '_bytes', 1, 1 FROM d""")
+def near_field_names(spark, sf_dir):
+    n = table(spark, sf_dir, "part").select("p_name").distinct()
+    camel = F.concat(F.split("p_name", " ")[0], F.initcap(F.split("p_name", " ")[1]), F.lit("Byte"))
+    none = F.lit(None).cast("string")
+    drafts = n.select(F.lit("d").alias("draft"), camel.alias("name"), F.lit("Integer").alias("type"), none.alias("description"))
+    drafts = drafts.union(n.select(F.lit("d"), F.concat(F.lit("extent of "), "p_name"), F.lit("Integer"), F.concat(F.lit("size of "), "p_name", F.lit(" in byte"))))
+    return advice.near_matches(drafts, vocabulary(spark, sf_dir)).drop("draft")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part) SELECT replace(p_name, ' ', '_') || '_bytes' AS name, CASE WHEN strlen(p_name) % 3 = 1 THEN 'canonical_match' ELSE 'same_name_different_meaning' END AS kind, CASE strlen(p_name) % 3 WHEN 0 THEN 'type' WHEN 2 THEN 'description' ELSE '' END AS differs FROM n""")
+def canonical_fields(spark, sf_dir):
+    v = vocabulary(spark, sf_dir)
+    size = F.length("name") - 6
+    drafts = v.select(F.lit("d").alias("draft"), "name", F.when(size % 3 == 0, "String").otherwise("Integer").alias("type"), F.when(size % 3 == 2, "something else altogether").otherwise(F.col("description")).alias("description"), "version")
+    return advice.canonical_findings(drafts, v).select("name", "kind", "differs")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part) SELECT replace(p_name, ' ', '_') || '_bytes' AS name, 'Integer' AS suggested_type FROM n UNION ALL SELECT 'new_' || replace(p_name, ' ', '_'), NULL FROM n""")
+def missing_types(spark, sf_dir):
+    v = vocabulary(spark, sf_dir)
+    bare = v.select(F.lit("d").alias("draft"), "name", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("description"))
+    new = table(spark, sf_dir, "part").select("p_name").distinct().select(F.lit("d"), F.concat(F.lit("new_"), F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return advice.missing_types(bare.union(new), v).select("name", "suggested_type")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '30 minutes', ts) - o.i AS started, count(*) AS n FROM events, (VALUES (INTERVAL '0 minutes'), (INTERVAL '30 minutes')) o(i) GROUP BY ALL")
+def sliding_windows(spark, sf_dir):
+    from keylake.streaming.feeds import windowed
+
+    e = table(spark, sf_dir, "events")
+    return windowed(e, "ts", "1 hour", ["event_type"], slide="30 minutes").select("event_type", F.col("window.start").alias("started"), "n")
+
+
 # extensions: what Spark adds on record fields ---------------------------------------------------------------------------
 @query("SELECT c_mktsegment, o_orderstatus, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY CUBE (c_mktsegment, o_orderstatus)")
 def field_join_cube(spark, sf_dir):
