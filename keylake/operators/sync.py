@@ -214,12 +214,16 @@ def outbox(queued: DataFrame, acked: DataFrame) -> DataFrame:
 
 
 def gated(requests: DataFrame, granted: DataFrame, own: DataFrame) -> DataFrame:
-    """Requests (database_id, node_key, wants: append, read or blob) with `allowed`, by the writer's folded role."""
+    """Requests (database_id, node_key, wants) with `allowed`, by the caller's folded role.
+
+    wants: read (any role, or anyone where reading is open), append_proposal (submit or write), append or blob_put (write),
+    publish (grants and the like: the owner alone).
+    """
     x = requests.join(own, "database_id", "left").join(granted.select("database_id", F.col("grantee").alias("node_key"), "role"), ["database_id", "node_key"], "left")
     any_ = granted.where("grantee IS NULL AND role = 'read'").select("database_id", F.lit(1).alias("_any")).distinct()
-    power = F.when(F.col("node_key") == F.col("owner"), 3).otherwise(F.coalesce(rank(F.col("role")), F.lit(0)))
+    power = F.when(F.col("node_key") == F.col("owner"), 4).otherwise(F.coalesce(rank(F.col("role")), F.lit(0)))
     x = x.join(any_, "database_id", "left")
-    allowed = F.when(F.col("wants") == "read", (power >= 1) | F.col("_any").isNotNull()).when(F.col("wants") == "append", power >= 2).otherwise(power >= 3)
+    allowed = F.when(F.col("wants") == "read", (power >= 1) | F.col("_any").isNotNull()).when(F.col("wants") == "append_proposal", power >= 2).when(F.col("wants").isin("append", "blob_put"), power >= 3).otherwise(power >= 4)
     return x.withColumn("allowed", allowed).drop("_any")
 
 

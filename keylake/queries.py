@@ -618,12 +618,12 @@ def outbox_pending(spark, sf_dir):
     return sync.outbox(e.union(again), e.where("queued_at % 3 = 0").select("entry_hash"))
 
 
-@query("""WITH r AS (SELECT c_custkey, ['write', 'submit', 'read', 'revoked', 'none'][CAST(c_custkey % 5 + 1 AS INTEGER)] AS role, ['append', 'read', 'blob'][CAST(c_custkey % 3 + 1 AS INTEGER)] AS wants FROM customer)
-SELECT c_custkey AS request, wants, CASE wants WHEN 'read' THEN role IN ('write', 'submit', 'read') WHEN 'append' THEN role IN ('write', 'submit') ELSE role = 'write' END AS allowed FROM r""")
+@query("""WITH r AS (SELECT c_custkey, ['write', 'submit', 'read', 'revoked', 'none'][CAST(c_custkey % 5 + 1 AS INTEGER)] AS role, ['append_proposal', 'read', 'blob_put'][CAST(c_custkey % 3 + 1 AS INTEGER)] AS wants FROM customer)
+SELECT c_custkey AS request, wants, CASE wants WHEN 'read' THEN role IN ('write', 'submit', 'read') WHEN 'append_proposal' THEN role IN ('write', 'submit') ELSE role = 'write' END AS allowed FROM r""")
 def relay_gate(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("c_custkey") % n + 1).cast("int"))
-    asked = c.select(F.col("c_custkey").alias("request"), F.lit("db").alias("database_id"), F.col("c_name").alias("node_key"), pick(["append", "read", "blob"], 3).alias("wants"))
+    asked = c.select(F.col("c_custkey").alias("request"), F.lit("db").alias("database_id"), F.col("c_name").alias("node_key"), pick(["append_proposal", "read", "blob_put"], 3).alias("wants"))
     given = c.where("c_custkey % 5 < 4").select(F.lit("db").alias("database_id"), F.col("c_name").alias("grantee"), pick(["write", "submit", "read", "revoked", "none"], 5).alias("role"))
     own = spark.createDataFrame([("db", "somebody")], "database_id string, owner string")
     return sync.gated(asked, given, own).select("request", "wants", "allowed")
