@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.llm import gbt
-from keylake.llm.common import binary, bounded_sample, load, small_batches
+from keylake.llm.common import binary, bounded_sample, load, small_batches, tidy
 
 #: Training takes no more labelled documents than this.
 TRAIN_ROWS = 20_000
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> gbt.For
             found = [statistics(t)[1] for t in binary(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array(found, pa.list_(pa.float64()))], ["doc_id", "quality", "features"])
 
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(stats, "doc_id bigint, quality double, features array<double>")
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(tidy(stats), "doc_id bigint, quality double, features array<double>")
     got = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
     x = np.array(got.features.tolist(), float).reshape(len(got), len(FEATURES))
     y = (got.quality.to_numpy(float) >= 0.5).astype(float)
@@ -109,7 +109,7 @@ def verdicts(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
             found = judged(binary(batch, "text"), forest)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(found[k]) for k in (*COUNTS, "base_failed", "kept", "quality")]], ["doc_id", *COUNTS, "base_failed", "kept", "quality"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, kept boolean, quality double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(judge), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, kept boolean, quality double")
 
 
 def filtered(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
@@ -119,7 +119,7 @@ def filtered(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(judged(binary(batch, "text"), forest)["kept"]))
 
-    return small_batches(docs).mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(keep), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import load, lookup, materialize, shared_dir, small_batches
+from keylake.llm.common import load, lookup, materialize, shared_dir, small_batches, tidy
 
 LEAST_BYTES = 100
 #: A task starts another file beyond FILE_BYTES; a read takes records with gaps of up to GAP_BYTES together, up to READ_BYTES.
@@ -103,7 +103,7 @@ def write(spark: SparkSession, plan: DataFrame, folder: str) -> DataFrame:
         if out:
             out.close()
 
-    return materialize(spark, small_batches(plan).select("page_id", "url", "html", "digest", "first").mapInArrow(archive, INDEX), "warc-index")
+    return materialize(spark, small_batches(plan).select("page_id", "url", "html", "digest", "first").mapInArrow(tidy(archive), INDEX), "warc-index")
 
 
 def ranges(rows: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -156,7 +156,7 @@ def read(spark: SparkSession, index: DataFrame, payloads: bool = False) -> DataF
     # byte ranges of one file in one place, in order; a file's stretches of READ_BYTES are dealt out apart
     near = index.select("file", "offset", "length", F.expr(f"offset div {READ_BYTES}").alias("stretch"))
     near = near.repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
-    return near.mapInArrow(get, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads)
+    return near.mapInArrow(tidy(get), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import binary, load, lookup, materialize, small_batches
+from keylake.llm.common import binary, load, lookup, materialize, small_batches, tidy
 from keylake.llm.components import components
 
 SHINGLE, DISTANCE, SEED, BYTES, POSTING = 4, 4, 42, 8, 4096
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps), *[batch[c] for c in carry]], ["doc_id", "fp", *carry])
 
     chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
-    return chosen.mapInArrow(each, "doc_id bigint, fp bigint" + "".join(f", `{c}` bigint" for c in carry))
+    return chosen.mapInArrow(tidy(each), "doc_id bigint, fp bigint" + "".join(f", `{c}` bigint" for c in carry))
 
 
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
@@ -164,8 +164,8 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, po
             else:
                 yield links_of(*held)
 
-    postings = distinct.select("fp").mapInArrow(index, "s tinyint, key bigint, fp bigint").repartition("s", "key").sortWithinPartitions("s", "key")
-    found = materialize(spark, postings.mapInArrow(compare, "a bigint, b bigint").distinct(), "simhash-links")
+    postings = distinct.select("fp").mapInArrow(tidy(index), "s tinyint, key bigint, fp bigint").repartition("s", "key").sortWithinPartitions("s", "key")
+    found = materialize(spark, postings.mapInArrow(tidy(compare), "a bigint, b bigint").distinct(), "simhash-links")
     crowded = found.where("b IS NULL").select(F.col("a").alias("fp"))
     if crowded.isEmpty():
         return found
@@ -177,7 +177,7 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, po
                 some = _spelled(fps[at : at + 64], distance // 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fps[at : at + 64], some.shape[1])), pa.array(some.ravel())], ["fp", "variant"])
 
-    spelled = crowded.mapInArrow(spell, "fp bigint, variant bigint")
+    spelled = crowded.mapInArrow(tidy(spell), "fp bigint, variant bigint")
     least = spelled.groupBy("variant").agg(F.min("fp").alias("b"))
     meeting = spelled.join(least, "variant").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return found.where("b IS NOT NULL").union(meeting)
@@ -246,7 +246,7 @@ def profiles(docs: DataFrame, *carry: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(np.ascontiguousarray(c)) for c in found.T], *[batch[c] for c in carry]], ["doc_id", *PROFILE, *carry])
 
     chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
-    return chosen.mapInArrow(each, "doc_id bigint" + "".join(f", `{c}` bigint" for c in (*PROFILE, *carry))).withColumn("fp", F.xxhash64(*PROFILE))
+    return chosen.mapInArrow(tidy(each), "doc_id bigint" + "".join(f", `{c}` bigint" for c in (*PROFILE, *carry))).withColumn("fp", F.xxhash64(*PROFILE))
 
 
 def copy_links(spark: SparkSession, distinct: DataFrame, bits: int = COPY_BITS, posting: int | None = None) -> DataFrame:
@@ -307,8 +307,8 @@ def copy_links(spark: SparkSession, distinct: DataFrame, bits: int = COPY_BITS,
 
     chosen = distinct.select("fp", *PROFILE)
     schema = "s smallint, key bigint, fp bigint" + "".join(f", {c} bigint" for c in PROFILE)
-    postings = chosen.mapInArrow(index, schema).repartition("s", "key").sortWithinPartitions("s", "key")
-    return postings.mapInArrow(compare, "a bigint, b bigint").distinct()
+    postings = chosen.mapInArrow(tidy(index), schema).repartition("s", "key").sortWithinPartitions("s", "key")
+    return postings.mapInArrow(tidy(compare), "a bigint, b bigint").distinct()
 
 
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:

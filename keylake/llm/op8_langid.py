@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keylake.llm.common import held_out, load, materialize, small_batches
+from keylake.llm.common import held_out, load, materialize, small_batches, tidy
 
 FOLDS, DIM_BITS, ORDERS, CENTROIDS = 4, 13, 4, 4
 DIM = 1 << DIM_BITS
@@ -156,7 +156,7 @@ def identified(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some["_id"], some["_held_out"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), held_out(F.col("doc_id"), FOLDS).alias("_held_out"), F.col("text").alias("_text"))
-    return chosen.mapInArrow(predict, "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
+    return chosen.mapInArrow(tidy(predict), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def filtered(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
@@ -170,7 +170,7 @@ def filtered(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                 some = batch.slice(at, 256)
                 yield some.filter(pa.array(~shipped.value.predict(some.column(place).to_pylist())[2]))
 
-    return small_batches(docs).mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(keep), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
