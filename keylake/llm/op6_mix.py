@@ -30,7 +30,7 @@ from keylake.llm.common import WORD, load, materialize, n_words, small_batches,
 WEIGHTS, SHARE_PERCENT, MOST_TIMES, SEED = (3.0, 1.0, 2.0), 150, 2, 20240101
 #: A shard holds about so many words, more where that would make over MOST_SHARDS shards; a block is a millionth of
 #: the mix, from 1 to MOST_BLOCK words. A table of up to SMALL_TABLE sources is broadcast.
-SHARD_WORDS, MOST_SHARDS, BLOCKS, MOST_BLOCK, SMALL_TABLE = 2_000_000, 50_000, 1_000_000, 64, 10_000
+SHARD_WORDS, MOST_SHARDS, BLOCKS, MOST_BLOCK, SMALL_TABLE = 250_000, 50_000, 1_000_000, 64, 10_000
 
 
 def targets(sizes: list[int], weights: list[float], percent: int = SHARE_PERCENT, times: int = MOST_TIMES) -> list[float]:
