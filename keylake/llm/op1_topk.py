@@ -124,13 +124,14 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
     while True:
         found = cells(state).applyInArrow(_histograms(), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        found = found.withColumn("cum", F.sum("n").over(down)).join(state, "query_id")
-        inside = found.where((F.col("cum") >= F.col("need")) & (F.col("cum") - F.col("n") < F.col("need")))
+        found = state.join(found, "query_id", "left").withColumn("cum", F.sum("n").over(down))
+        inside = F.expr("max(CASE WHEN cum >= need AND cum - n < need THEN struct(bin, cum - n AS above) END)")
         finer = math.ceil(width / BINS)
-        located = inside.select("query_id", (F.col("lo") + F.col("bin") * F.col("width")).alias("lo"), F.col("width").alias("span"), F.lit(finer).cast("long").alias("width"), (F.col("need") - F.col("cum") + F.col("n")).alias("need"))
+        found = found.groupBy("query_id", "lo", "width", "need").agg(inside.alias("at"))
         # a query with fewer candidates than k keeps its window's floor, below every score
-        short = state.join(located, "query_id", "left_anti").select("query_id", "lo", F.lit(width).cast("long").alias("span"), F.lit(finer).cast("long").alias("width"), "need")
-        state = materialize(spark, located.union(short), "topk-state")
+        lo = F.col("lo") + F.coalesce(F.col("at.bin"), F.lit(0)) * F.col("width")
+        located = found.select("query_id", lo.alias("lo"), F.col("width").alias("span"), F.lit(finer).cast("long").alias("width"), (F.col("need") - F.coalesce(F.col("at.above"), F.lit(0))).alias("need"))
+        state = materialize(spark, located, "topk-state")
         if width == 1:
             break
         width = finer
