@@ -37,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="keylake-")
         spark.conf.set("spark.checkpoint.dir", found)
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return whole if "://" in whole else whole.replace(":/", ":///", 1)
 
 
 def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
