@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.llm import gbt
-from keylake.llm.common import binary, bounded_sample, load, small_batches, tidy
+from keylake.llm.common import binary, bounded_sample, load, small_batches, spread, tidy
 
 #: Training takes no more labelled documents than this.
 TRAIN_ROWS = 20_000
@@ -123,5 +123,5 @@ def filtered(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    return verdicts(docs, train(docs, load(spark, sf_dir, "labels"))).drop("quality")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return verdicts(spread(docs), train(docs, load(spark, sf_dir, "labels"))).drop("quality")

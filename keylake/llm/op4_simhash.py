@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import binary, load, lookup, materialize, small_batches, tidy
+from keylake.llm.common import binary, load, lookup, materialize, small_batches, spread, tidy
 from keylake.llm.components import components
 
 SHINGLE, DISTANCE, SEED, BYTES, POSTING = 4, 4, 42, 8, 4096
@@ -329,5 +329,5 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark, load(spark, sf_dir, "documents"))
+    found = near_duplicates(spark, spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

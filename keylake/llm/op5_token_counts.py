@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import load, small_batches, tidy
+from keylake.llm.common import load, small_batches, spread, tidy
 
 #: Pre-tokens of a leaf, and of all pre-tokens those whose count the worker keeps.
 LEAF, CACHE, SHORT = 64, 300_000, 32
@@ -268,4 +268,4 @@ def defaults() -> tuple[str, str]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after private data is masked."""
-    return counted(load(spark, sf_dir, "documents"), *defaults())
+    return counted(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), *defaults())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keylake.llm.common import held_out, load, materialize, small_batches, tidy
+from keylake.llm.common import held_out, load, materialize, small_batches, spread, tidy
 
 FOLDS, DIM_BITS, ORDERS, CENTROIDS = 4, 13, 4, 4
 DIM = 1 << DIM_BITS
@@ -175,4 +175,4 @@ def filtered(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return identified(spark, docs, train(spark, docs.where(~held_out(F.col("doc_id"), FOLDS))))
+    return identified(spark, spread(docs), train(spark, docs.where(~held_out(F.col("doc_id"), FOLDS))))

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import load, small_batches, tidy
+from keylake.llm.common import load, small_batches, spread, tidy
 
 #: Stands for the word end within a word's string; the file's pattern never lets it into a word.
 END = "\0"
@@ -260,4 +260,4 @@ def default_path() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(load(spark, sf_dir, "documents"), default_path())
+    return digests(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), default_path())
