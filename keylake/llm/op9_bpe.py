@@ -35,7 +35,7 @@ END = "\0"
 #: A letter of private use, in no class of the word pattern.
 UNASSIGNED = "\ue000"
 #: Words whose encoding is kept for the next documents, and the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 150_000, 64
+CACHE_WORDS, CACHE_LENGTH = 300_000, 64
 #: Words of up to so many letters merge by plain search for the lowest rank, longer ones by a heap.
 SHORT, NEVER = 32, 1 << 62
 
