@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import binary, load, lookup, materialize, small_batches, spread, tidy
+from keylake.llm.common import binary, bounded_sample, load, lookup, materialize, parallelism, small_batches, spread, tidy
 from keylake.llm.components import components
 
 SHINGLE, DISTANCE, SEED, BYTES, POSTING = 4, 4, 42, 8, 4096
@@ -191,29 +191,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTAN
 def grouped(spark: SparkSession, each: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """each (doc_id, fp and further columns) with root and component_id. linked gives the links a, b of distinct fingerprints.
 
-    linked sees fp and any PROFILE columns.
+    linked sees fp and any PROFILE columns, keys and row.
     """
-    carried = [c for c in PROFILE if c in each.columns]
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in carried])
+    carried = [c for c in (*PROFILE, "keys", "row") if c in each.columns]
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in carried])
     distinct = materialize(spark, distinct, "simhash-distinct")
     found = components(spark, linked(distinct))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "times", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "n", "root", "component_id")
-    total = distinct.agg(F.sum("n")).first()[0] or 0
-    return lookup(each.drop(*carried), classes, "fp", "n", total)
+    classes = rooted.join(ids, "root").select("fp", "times", "root", "component_id")
+    total = distinct.agg(F.sum("times")).first()[0] or 0
+    return lookup(each.drop(*PROFILE, "keys"), classes, "fp", "times", total)
 
 
 # near copies of documents -----------------------------------------------------------------------------------------------
-# Two texts that share four fifths of their five-word shingles differ in about a seventh of the bits of a shingle fingerprint: too
-# many for whole bytes of it to match. Their words agree far better, so the index is built on two fingerprints of the
-# distinct words, keyed by KEY_BYTES shared positional bytes of eight, and a longer fingerprint of the shingles verifies.
-
-COPY_SHINGLE, KEY_BYTES = 5, 3
-#: Of the 256 bits of the shingle fingerprint; a similarity of 0.8 shows as 39 on average, with a deviation of 6.
-COPY_BITS = 46
-KEY_SETS = [sum(0xFF << (8 * p) for p in s) for s in combinations(range(BYTES), KEY_BYTES)]
-PROFILE = ["w0", "w1", "v0", "v1", "v2", "v3"]
+# Two documents are near copies if their sets of distinct five-word shingles have a Jaccard similarity of 0.8 or more. This is
+# verified on the sets themselves. Candidates share a key: a set of n shingles is keyed by the n - ceil(0.8 n) + 1 that come
+# first in one order of all shingles, and sets that near each other always share one of these (prefix filter). The order
+# puts shingles that a sample shows to be frequent last, so that passages in many documents are rarely keys. A
+# fingerprint of 128 bits passes over candidates that are plainly far.
+
+COPY_SHINGLE = 5
+#: Of the 128 bits of a fingerprint; a similarity of 0.8 shows as 19 on average, with a deviation of 4. Small sets are all verified.
+TIGHT_BITS, COPY_BITS, SMALL_SET = 23, 40, 32
+#: Documents whose shingles are counted for the order, the least count that matters, and how many such shingles at most.
+ORDER_ROWS, ORDER_COUNT, ORDER_SHINGLES = 10_000, 4, 200_000
+#: A posting of more members sends a forest of candidate links, not all.
+CROWD = 16
+PROFILE = ["n", "v0", "v1"]
+Order = tuple[np.ndarray, np.ndarray]
 
 
 def _majority(hashes: np.ndarray) -> np.ndarray:
@@ -224,107 +230,267 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def profile(text: bytes | None) -> np.ndarray:
-    """Two fingerprints of a text's distinct words and four words of one of its distinct shingles; zero without words."""
+def _hashes(text: bytes | None) -> np.ndarray:
+    """Hashes of 128 bits [shingles, 2] of a text's distinct shingles, by the first word."""
     words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(len(PROFILE), np.uint64)
     k = min(COPY_SHINGLE, len(words))
-    shingles = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+    found = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
     wide = xxhash.xxh3_128_digest
-    of_words = np.frombuffer(b"".join([wide(w) for w in set(words)]), np.uint64).reshape(-1, 2)
-    of_shingles = np.frombuffer(b"".join([wide(x, 1) + wide(x, 2) for x in shingles]), np.uint64).reshape(-1, 4)
-    return np.concatenate([_majority(of_words), _majority(of_shingles)])
+    hashes = np.frombuffer(b"".join([wide(x, 1) for x in found]), np.uint64).reshape(-1, 2)
+    return hashes[np.argsort(hashes[:, 0])]
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """The set of a text's shingles, as sorted hashes."""
+    return np.ascontiguousarray(_hashes(text)[:, 0])
+
+
+def _profile(hashes: np.ndarray) -> list[int]:
+    if not len(hashes):
+        return [0, 0, 0, 0]
+    return [xxhash.xxh3_64_intdigest(hashes[:, 0].tobytes()), len(hashes), *_majority(hashes).tolist()]
+
+
+def profile(text: bytes | None) -> np.ndarray:
+    """A hash of the set of a text's shingles, its size, and two words of its fingerprint; zero without words."""
+    return np.array(_profile(_hashes(text)), np.uint64)
+
+
+def prefix(found: np.ndarray, order: Order) -> np.ndarray:
+    """The keys of a set of shingles: those that come first in the order, as many as a set of 0.8 cannot lack."""
+    n = len(found)
+    if not n:
+        return found
+    frequent, counts = order
+    at = np.minimum(np.searchsorted(frequent, found), max(len(frequent) - 1, 0))
+    weight = np.where(frequent[at] == found, counts[at], 0) if len(frequent) else np.zeros(n, np.int64)
+    return found[np.lexsort((found, weight))[: n - (4 * n + 4) // 5 + 1]]
 
 
-def profiles(docs: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, the PROFILE columns, fp (a hash of these), and the long columns to carry."""
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of 0.8 or more."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 9 * shared >= 4 * (len(a) + len(b))
+
+
+def shingle_order(spark: SparkSession, docs: DataFrame) -> Order:
+    """Frequent shingles of a bounded sample, sorted, and their counts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([profile(t) for t in binary(batch, "text")], np.uint64).reshape(-1, len(PROFILE)).astype(SIGNED)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(np.ascontiguousarray(c)) for c in found.T], *[batch[c] for c in carry]], ["doc_id", *PROFILE, *carry])
+            for text in binary(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(SIGNED))], ["h"])
 
-    chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
-    return chosen.mapInArrow(tidy(each), "doc_id bigint" + "".join(f", `{c}` bigint" for c in (*PROFILE, *carry))).withColumn("fp", F.xxhash64(*PROFILE))
+    some = bounded_sample(small_batches(docs).select("doc_id", "text"), ORDER_ROWS, "doc_id", "text").select("text")
+    counted = some.repartition(parallelism(spark)).mapInArrow(tidy(each), "h bigint").groupBy("h").agg(F.count("*").alias("c"))
+    got = counted.where(F.col("c") >= ORDER_COUNT).orderBy(F.desc("c"), "h").limit(ORDER_SHINGLES).toPandas()
+    h = got.h.to_numpy(SIGNED).view(np.uint64)
+    by = np.argsort(h)
+    return h[by], got.c.to_numpy(np.int64)[by]
 
 
-def copy_links(spark: SparkSession, distinct: DataFrame, bits: int = COPY_BITS, posting: int | None = None) -> DataFrame:
-    """Links a, b among distinct profiles (fp, PROFILE) of near copies.
+def profiles(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, fp (a hash of the set of shingles), the PROFILE columns, keys, and row (a hash of id and text)."""
+    order = spark.sparkContext.broadcast(shingle_order(spark, docs))
 
-    A posting sends on a spanning forest of its verified links. One of over `posting` members is compared in parts of so
-    many: each part among itself and with one member of every group that the parts before left.
-    """
-    sets, posting = np.array(KEY_SETS, np.uint64), posting or POSTING
-    names = ["s", "key", "fp", *PROFILE]
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in range(2):
-                fps = batch[PROFILE[w]].to_numpy().view(np.uint64)
-                for i, mask in enumerate(sets):
-                    key = (fps & mask).view(SIGNED)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), i + len(sets) * w, np.int16)), pa.array(key), batch["fp"], *[batch[c] for c in PROFILE]], names)
+            found, keys = [], []
+            for text in binary(batch, "text"):
+                hashes = _hashes(text)
+                found.append(_profile(hashes))
+                keys.append(prefix(hashes[:, 0], order.value).tobytes())
+            columns = np.array(found, np.uint64).reshape(-1, 1 + len(PROFILE)).astype(SIGNED).T
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(keys, pa.binary()), batch["row"]], ["doc_id", "fp", *PROFILE, "keys", "row"])
+
+    chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    return chosen.mapInArrow(tidy(each), "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in PROFILE) + ", keys binary, row bigint")
+
+
+#: Rows of the index: a key, a set of shingles with its profile and the group it is known to be in.
+ENTRY = ["key", "fp", *PROFILE, "grp"]
+
+
+def _close(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    """Whether entries (columns of ENTRY, first axis) may be near copies; small sets are so by their sizes alone."""
+    small, large = np.minimum(x[2], y[2]), np.maximum(x[2], y[2])
+    apart = sum(np.bitwise_count((x[k] ^ y[k]).view(np.uint64)).astype(np.int16) for k in (3, 4))
+    return (5 * small >= 4 * large) & ((apart <= bits) | (small < SMALL_SET))
+
+
+def _trees(rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the close ones among rows, by breadth-first search in blocks: places a, b of its links, and the tree of each row."""
+    root = np.full(rows.shape[1], -1)
+    a, b = [np.array([], np.int64)], [np.array([], np.int64)]
+    for start in range(rows.shape[1]):
+        if root[start] >= 0:
+            continue
+        root[start] = start
+        frontier = np.array([start])
+        while len(frontier):
+            new = []
+            for at in range(0, len(frontier), 256):
+                some, rest = frontier[at : at + 256], np.flatnonzero(root < 0)
+                if not len(rest):
+                    break
+                near = _close(rows[:, some, None], rows[:, None, rest], bits)
+                hit = near.any(0)
+                root[rest[hit]] = start
+                a.append(rest[hit])
+                b.append(some[near[:, hit].argmax(0)])
+                new.append(rest[hit])
+            frontier = np.concatenate(new) if new else np.array([], np.int64)
+    return np.concatenate(a), np.concatenate(b), root
+
+
+def _candidates(entries: DataFrame, posting: int | None, cross: bool) -> DataFrame:
+    """Candidate links of the entries that share a key: ENTRY columns, of which fp is one end, b the other, and forest.
+
+    A posting of up to CROWD members sends all candidates. A larger one sends a forest that spans them (forest is true), links of
+    TIGHT_BITS first; if cross, all candidates of different groups instead. One of over `posting` members sends its
+    members, numbered in blocks of so many, with b null.
+    """
+    names = [*ENTRY, "b", "forest", "block"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by s, key."""
-        held = np.zeros((len(names), 0), SIGNED)
+        """Rows come sorted by key, fp: postings one after another."""
+
+        def linked(a: np.ndarray, b: np.ndarray, forest: bool) -> pa.RecordBatch:
+            ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            n = ends.shape[1]
+            empty = pa.nulls(n, pa.int64())
+            return pa.RecordBatch.from_arrays([empty, pa.array(ends[0]), *[empty] * (len(ENTRY) - 2), pa.array(ends[1]), pa.array(np.full(n, forest)), empty], names)
 
-        def linked(rows: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-            """Links of one posting's rows, and the places of its groups' first members."""
-            a, b = _forest(rows[3 + 2 :].T.view(np.uint64), bits)
-            return rows[2][a], rows[2][b], np.setdiff1d(np.arange(rows.shape[1]), a)
+        def crowd(rows: np.ndarray, at: int) -> pa.RecordBatch:
+            n = rows.shape[1]
+            block = (at + np.arange(n)) // posting
+            return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in rows], pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(block)], names)
 
-        def links_of(rows: np.ndarray) -> pa.RecordBatch:
-            edge = np.flatnonzero((np.diff(rows[1]) != 0) | (np.diff(rows[0]) != 0)) + 1
+        def links_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.diff(rows[0])) + 1
             first, last = np.concatenate([[0], edge]), np.concatenate([edge, [rows.shape[1]]])
+            size = last - first
             a, b = [np.array([], SIGNED)], [np.array([], SIGNED)]
-            pair = first[last - first == 2]
-            if len(pair):
-                v = np.ascontiguousarray(rows[5:]).view(np.uint64)
-                near = sum(np.bitwise_count(v[k, pair] ^ v[k, pair + 1]).astype(np.int16) for k in range(len(v))) <= bits
-                a.append(rows[2][pair[near]])
-                b.append(rows[2][pair[near] + 1])
-            for f, z in zip(first[last - first > 2].tolist(), last[last - first > 2].tolist(), strict=True):
-                x, y, _ = linked(np.ascontiguousarray(rows[:, f:z]))
-                a.append(x)
-                b.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            for z in np.unique(size[(size > 1) & (size <= CROWD)]).tolist():
+                i, j = np.triu_indices(z, 1)
+                alike_ = first[size == z]
+                for at in range(0, len(alike_), 1000):
+                    x, y = ((alike_[at : at + 1000, None] + k[None, :]).ravel() for k in (i, j))
+                    near = _close(rows[:, x], rows[:, y], COPY_BITS) & ((rows[5, x] != rows[5, y]) | (not cross))
+                    a.append(rows[1, x[near]])
+                    b.append(rows[1, y[near]])
+            yield linked(np.concatenate(a), np.concatenate(b), False)
+            for f, z in zip(first[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
+                some = np.ascontiguousarray(rows[:, f : f + z])
+                if posting and z > posting:
+                    yield crowd(some, 0)
+                elif cross:
+                    for at in range(0, z, 256):
+                        part = some[:, at : at + 256]
+                        near = _close(part[:, :, None], some[:, None, :], COPY_BITS) & (part[5, :, None] != some[5, None, :])
+                        x, y = np.nonzero(near)
+                        yield linked(part[1, x], some[1, y], False)
+                else:
+                    x, y, tree = _trees(some, TIGHT_BITS)
+                    u, v, _ = _trees(some, COPY_BITS)
+                    between = tree[u] != tree[v]
+                    yield linked(some[1, np.concatenate([x, u[between]])], some[1, np.concatenate([y, v[between]])], True)
 
+        held, out = np.zeros((len(ENTRY), 0), SIGNED), 0  # out: members of the posting at hand that are sent already
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch[c].to_numpy().astype(SIGNED) for c in names])], axis=1)
-            ended = np.flatnonzero((np.diff(rows[1]) != 0) | (np.diff(rows[0]) != 0))
-            cut = int(ended[-1]) + 1 if len(ended) else 0
-            if cut:
-                yield links_of(rows[:, :cut])
+            rows = np.concatenate([held, np.stack([batch[c].to_numpy() for c in ENTRY])], axis=1)
+            ended = np.flatnonzero(np.diff(rows[0]))
+            at, cut = 0, int(ended[-1]) + 1 if len(ended) else 0
+            if out and cut:  # the rest of the large posting
+                at = int(ended[0]) + 1
+                yield crowd(rows[:, :at], out)
+                out = 0
+            if cut > at:
+                yield from links_of(rows[:, at:cut])
             held = rows[:, cut:]
-            if held.shape[1] > posting:
-                x, y, lead = linked(np.ascontiguousarray(held))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-                held = held[:, lead]
-        if held.shape[1]:
-            yield links_of(held)
+            if posting and held.shape[1] > 1 and (out or held.shape[1] > max(posting, CROWD)):
+                yield crowd(held[:, :-1], out)
+                out += held.shape[1] - 1
+                held = held[:, -1:]
+        if out:
+            yield crowd(held, out)
+        elif held.shape[1]:
+            yield from links_of(held)
+
+    schema = "".join(f"{c} bigint, " for c in ENTRY) + "b bigint, forest boolean, block bigint"
+    return entries.select(*ENTRY).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(compare), schema)
+
+
+def _pairs(spark: SparkSession, sets: DataFrame, posting: int | None, cross: bool) -> DataFrame:
+    """Candidate links a, b, forest among sets (fp, PROFILE, keys, grp); every block of a large posting meets every other."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(k, SIGNED) for k in batch["keys"].to_pylist()]
+            times = np.array([len(k) for k in keys], np.int64)
+            if times.sum():
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[pa.array(np.repeat(batch[c].to_numpy(), times)) for c in ENTRY[1:]]], ENTRY)
+
+    entries = small_batches(sets).select("keys", *ENTRY[1:]).mapInArrow(tidy(index), ", ".join(f"{c} bigint" for c in ENTRY))
+    found = materialize(spark, _candidates(entries, posting or POSTING, cross), "copy-candidates")
+    crowd, links_ = found.where("b IS NULL"), found.where("b IS NOT NULL").select(F.col("fp").alias("a"), "b", "forest")
+    if not crowd.isEmpty():
+        last = crowd.groupBy("key").agg(F.max("block").alias("last"))
+        other = crowd.join(last, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).where("other <> block")
+        cells = other.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+        met = _candidates(cells, None, cross).select(F.col("fp").alias("a"), "b", "forest")
+        links_ = links_.union(met)
+    return materialize(spark, links_.groupBy("a", "b").agg(F.max("forest").alias("forest")), "copy-pairs")
+
+
+def copy_links(spark: SparkSession, distinct: DataFrame, docs: DataFrame, posting: int | None = None) -> DataFrame:
+    """Links a, b among distinct sets (fp, PROFILE, keys, row) that have the same components as all pairs of 0.8 and more.
+
+    Candidates of large postings are first a forest. Where its links do not all hold, the documents of such postings are compared
+    again: all candidates of different groups, so what is linked doesn't hang on which forest was taken.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array([shingles(t).tobytes() for t in binary(batch, "text")], pa.binary())], ["fp", "shingles"])
 
-    chosen = distinct.select("fp", *PROFILE)
-    schema = "s smallint, key bigint, fp bigint" + "".join(f", {c} bigint" for c in PROFILE)
-    postings = chosen.mapInArrow(tidy(index), schema).repartition("s", "key").sortWithinPartitions("s", "key")
-    return postings.mapInArrow(tidy(compare), "a bigint, b bigint").distinct()
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch["x"], batch["y"], strict=True)
+            near = [alike(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair)) for pair in both]
+            yield batch.select(["a", "b", "forest"]).filter(pa.array(near, pa.bool_()))
+
+    def verified(some: DataFrame) -> DataFrame:
+        sides = [sets.select(F.col("fp").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y"))]
+        whole = some.join(sides[0], "a").join(sides[1], "b").select("a", "b", "forest", "x", "y")
+        return materialize(spark, whole.mapInArrow(tidy(hold), "a bigint, b bigint, forest boolean"), "copy-links")
+
+    found = _pairs(spark, distinct.withColumn("grp", F.col("fp")), posting, False)
+    ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
+    rows = distinct.select("fp", "row").join(ends, "fp", "left_semi").select("fp", F.col("row").alias("_row"))
+    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).join(rows, F.col("row") == F.col("_row")).select("fp", "text")
+    sets = materialize(spark, small_batches(texts).mapInArrow(tidy(each), "fp bigint, shingles binary").dropDuplicates(["fp"]), "copy-sets")
+    good = verified(found)
+    if found.where("forest").count() == good.where("forest").count():
+        return good.select("a", "b")
+    crowded = found.where("forest")
+    crowded = crowded.select(F.col("a").alias("fp")).union(crowded.select("b")).distinct()
+    groups = components(spark, good)
+    members = distinct.join(crowded, "fp", "left_semi").join(groups, F.col("fp") == F.col("node"), "left").withColumn("grp", F.coalesce("root", "fp"))
+    more = _pairs(spark, members, posting, True).join(found.select("a", "b"), ["a", "b"], "left_anti").withColumn("forest", F.lit(False))
+    return good.select("a", "b").union(verified(more).select("a", "b"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp, root and component_id, by links of near copies (shared five-word shingles of about 0.8 and more)."""
-    return grouped(spark, materialize(spark, profiles(docs), "profiles"), lambda distinct: copy_links(spark, distinct))
+    """One row per document: doc_id, fp, row, root and component_id, by links of near copies (Jaccard similarity of five-word shingles of 0.8 and more)."""
+    return grouped(spark, materialize(spark, profiles(spark, docs), "profiles"), lambda distinct: copy_links(spark, distinct, docs))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, with all its columns: that with the smallest doc_id, a null one only if there is no other."""
-    row = F.xxhash64("doc_id", "text")
-    keyed = docs.select("doc_id", "text").withColumn("_row", row)
-    each = materialize(spark, profiles(keyed, "_row"), "profiles")
-    groups = grouped(spark, each, lambda distinct: copy_links(spark, distinct))
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
-    survivors = first.select(F.col("least._row").alias("_key"))
-    kept = docs.withColumn("_simhash_row", row).join(survivors, F.col("_simhash_row") == F.col("_key"), "left_semi")
+    first = near_copies(spark, docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    survivors = first.select(F.col("least.row").alias("_key"))
+    kept = docs.withColumn("_simhash_row", F.xxhash64("doc_id", "text")).join(survivors, F.col("_simhash_row") == F.col("_key"), "left_semi")
     return kept.dropDuplicates(["_simhash_row"]).select(*[kept[c] for c in docs.columns])
 
 

@@ -178,3 +178,42 @@ def test_profiles():
     assert (op4_simhash.profile(b"One two") == op4_simhash.profile(b"one TWO\n")).all()
     long_ = b"a b c d e f g h " * 50_000
     assert (op4_simhash.profile(long_)[2:] == op4_simhash.profile(long_[:64])[2:]).all()  # repeats count once
+
+
+def family(r, words, size, edits):
+    """A text and copies of it, each with some words replaced in places of its own."""
+    base = [f"v{r.randrange(5000)}" for _ in range(words)]
+    out = [" ".join(base)]
+    for i in range(size):
+        copy = list(base)
+        for at in r.sample(range(4, words - 4), edits):
+            copy[at] = f"own{i}x{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+def brute_copies(rows):
+    """The least id of each document's group, by the similarity of all pairs."""
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near = {i: [j for j in sets if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))] for i in sets}
+    group = {}
+    for i in sorted(sets):
+        open_ = [i]
+        while open_:
+            if (at := open_.pop()) not in group:
+                group[at] = i
+                open_ += near[at]
+    return group
+
+
+def test_a_family_far_larger_than_a_posting_is_one_group(spark, monkeypatch):
+    monkeypatch.setattr(op4_simhash, "POSTING", 32)
+    texts = family(random.Random(11), 500, 400, 10)  # near the base, far from each other
+    assert similarity(texts[0], texts[1]) >= 0.8 > 0.75 > similarity(texts[1], texts[2])
+    rows = [(1000 - i, t) for i, t in enumerate(texts)]
+    want = brute_copies(rows)
+    assert set(want.values()) == {600}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 7):
+        assert {x.doc_id: x.component_id for x in op4_simhash.near_copies(spark, docs.repartition(parts)).collect()} == want
+    assert [x.doc_id for x in op4_simhash.deduplicated(spark, docs).collect()] == [600]
