@@ -2,7 +2,7 @@
 
 Letters of the whole text in lower case, other runs as one space, give n-grams of 1 to 4 characters, hashed to DIM places; their
 square-rooted counts times IDF, at length 1, are the vector. Each language has up to CENTROIDS centroids, clustered by
-spherical k-means from a bounded sample of labelled rows. A document gets the language of the nearest centroid; it is
+spherical k-means from a bounded sample of labelled rows; IDF counts all labelled rows. A document gets the language of the nearest centroid; it is
 rejected (a column of its own) where its cosine lies below REJECT times the least that the language's own samples show at
 such a length. Vectors are built and compared in the scan's own task; centroids are a few hundred KB a language,
 whatever the input, and nothing else is shipped.
@@ -26,11 +26,13 @@ from pyspark.sql.window import Window
 
 from keylake.llm.common import held_out, load, materialize, small_batches, spread, tidy
 
-FOLDS, DIM_BITS, ORDERS, CENTROIDS = 4, 13, 4, 4
+FOLDS, DIM_BITS, ORDERS, CENTROIDS = 4, 14, 4, 4
 DIM = 1 << DIM_BITS
 #: Each language learns from at most so many labelled rows, those with the smallest hash of id and text.
-SAMPLE = 500
+SAMPLE = 1000
 REJECT, SHARPNESS, UNKNOWN = 0.5, 25.0, "und"
+#: Vectors built at once: DIM numbers each.
+AT_ONCE = 64
 #: Lengths, in letters, at which the least cosine is taken: 16, 32, ... 2048.
 LENGTHS = [16 << i for i in range(8)]
 OTHER = re.compile(r"[\W\d_]+")
@@ -104,7 +106,7 @@ def cluster(rows: np.ndarray, k: int = CENTROIDS, rounds: int = 12) -> np.ndarra
     middle = rows[chosen]
     for _ in range(rounds):
         near = (rows @ middle.T).argmax(1)
-        middle = unit(np.stack([rows[near == i].mean(0) if (near == i).any() else middle[i] for i in range(len(middle))]))
+        middle = unit(np.stack([(near == i).astype(np.float32) @ rows if (near == i).any() else middle[i] for i in range(len(middle))]))
     return middle
 
 
@@ -121,12 +123,19 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     order = Window.partitionBy("lang").orderBy("_part", "_id", "text")
     some = materialize(spark, some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).select("lang", "text"), "langid-sample")
 
-    def frequencies(table: pa.Table) -> pa.Table:
-        df = sum((counts(letters(t)) > 0).astype(np.int64) for t in table["text"].to_pylist() if letters(t))
-        return pa.table({"n": [len(table)], "df": [np.zeros(DIM, np.int64) + df]}, pa.schema([("n", pa.int64()), ("df", pa.list_(pa.int64()))]))
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(DIM, np.int64)
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                if found := letters(text):
+                    n += 1
+                    df += counts(found) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM)), pa.array(np.concatenate([[n], df]))], ["place", "df"])
 
-    got = some.groupBy("lang").applyInArrow(frequencies, "n long, df array<long>").collect()
-    idf = np.log((1 + sum(r["n"] for r in got)) / (1 + np.sum([r["df"] for r in got], axis=0))) + 0.1
+    # over all rows; place -1 holds the number of rows
+    places = small_batches(marked).select("text").mapInArrow(tidy(frequencies), "place bigint, df bigint")
+    got = {r["place"]: r["df"] for r in places.groupBy("place").agg(F.sum("df").alias("df")).collect()}
+    idf = np.log((1 + got.get(-1, 0)) / (1 + np.array([got.get(i, 0) for i in range(DIM)]))) + 0.1
 
     def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         texts = [x for t in sorted(table["text"].to_pylist()) if (x := letters(t))]
@@ -136,7 +145,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         least = []
         for n in LENGTHS:
             cuts = [t[i * 7 % (len(t) - n) :][:n] for i, t in enumerate(texts) if len(t) > n] or texts
-            least.append(float((vectors(cuts, idf) @ middle.T).max(1).min()))
+            least.append(min(float((vectors(cuts[at : at + AT_ONCE], idf) @ middle.T).max(1).min()) for at in range(0, len(cuts), AT_ONCE)))
         return pa.table({"lang": [key[0].as_py()] * len(middle), "centroid": [*middle.astype(np.float32)], "least": [least] * len(middle)}, schema)
 
     schema = pa.schema([("lang", pa.string()), ("centroid", pa.list_(pa.float32())), ("least", pa.list_(pa.float64()))])
@@ -150,8 +159,8 @@ def identified(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(at, AT_ONCE)
                 lang, score, rejected = shipped.value.predict(some["_text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([some["_id"], some["_held_out"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -166,8 +175,8 @@ def filtered(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(at, AT_ONCE)
                 yield some.filter(pa.array(~shipped.value.predict(some.column(place).to_pylist())[2]))
 
     return small_batches(docs).mapInArrow(tidy(keep), docs.schema)

@@ -179,3 +179,13 @@ def test_far_text_is_rejected(spark):
     model = op8_langid.train(spark, docs)
     _, _, rejected = model.predict(["цзкжщ яъы эюё фхц " * 40, "ξψφ θλπ ωσδ ζηκ " * 40, "漢字仮名交文 日本語処理 " * 40])
     assert rejected.all()
+
+
+def test_document_frequencies_cover_all_rows(spark, monkeypatch):
+    assert op8_langid.DIM == 1 << 14 and op8_langid.SAMPLE == 1000
+    monkeypatch.setattr(op8_langid, "SAMPLE", 2)
+    texts = ["the cat", "der hund", "le chat", "the dog", "die katze", "the end", "123", None]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts * 3)], "doc_id long, text string, lang string")
+    found = [x for t in texts * 3 if (x := op8_langid.letters(t))]
+    df = np.sum([op8_langid.counts(t) > 0 for t in found], axis=0)
+    assert op8_langid.train(spark, docs).idf == pytest.approx(np.log((1 + len(found)) / (1 + df)) + 0.1)
