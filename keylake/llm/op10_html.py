@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -191,13 +192,18 @@ def features(nodes: list[Node], texts: list[str], links: list[int]) -> np.ndarra
     out = np.zeros((n, len(NAMES)))
     in_away, in_towards = np.zeros(n), np.zeros(n)
     before = 0
+    place = [0] * n
+    for node in nodes:
+        for k, child in enumerate(node.children):
+            place[child] = k
+    tags = [Counter(nodes[s].tag for s in node.children) for node in nodes]
     for i, node in enumerate(nodes):
         p = max(node.parent, 0)
         in_towards[i] = max(in_towards[p], node.towards or node.tag in TOWARDS_TAGS)
         in_away[i] = max(in_away[p], node.away or node.hidden or (node.tag in AWAY_TAGS and not (node.tag == "header" and in_towards[i])))
         siblings = nodes[p].children if i else [0]
-        k = siblings.index(i) if len(siblings) < 64 else 0
-        like = sum(nodes[s].tag == node.tag for s in siblings[:64]) / min(len(siblings), 64)
+        k = place[i]
+        like = tags[p][node.tag] / len(siblings) if i else 1.0
         out[i] = (GROUPS.get(node.tag, -1), node.away, node.towards, node.hidden, in_away[i], in_towards[i], node.depth, *own[i, :3], own[i, 3], chars[i], linked[i] / max(chars[i], 1), ends[i] / max(blocks[i], 1), chars[i] / max(blocks[i], 1), chars[i] / max(chars[0], 1), before, before / max(blocks[0], 1), len(siblings), like, chars[siblings[k - 1]] if k else 0, chars[siblings[k + 1]] if k + 1 < len(siblings) else 0, chars[p], linked[p] / max(chars[p], 1), len(node.children))
         before += len(node.blocks)
     return out

@@ -91,6 +91,19 @@ def test_unmarked_pages(forest):
     assert got == "\n\n".join(TEXT * 3)
 
 
+def test_long_lists_of_siblings(forest):
+    paragraphs = [f"{TEXT[i % 3]} That was day {i}." for i in range(300)]
+    body = "".join(f"<p>{t}</p>" for t in paragraphs) + "<div>x</div>" * 20
+    parsed = op10_html.parse(f"<div>{body}</div>")
+    x = op10_html.features(*parsed)
+    col = lambda k: x[2:, op10_html.NAMES.index(k)].tolist()
+    sizes = [len(t) for t in parsed[1]]
+    assert col("before_chars") == [0, *sizes[:-1]] and col("after_chars") == [*sizes[1:], 0]
+    assert col("like_siblings") == [300 / 320] * 300 + [20 / 320] * 20
+    unmarked = f'<div class="nav"><a href=a>One</a> <a href=b>Two</a></div><div class="c1"><div>{body[: body.index("<div>")]}</div></div><div id="footer">All rights reserved</div>'
+    assert op10_html.extract(page(unmarked), forest) == "\n\n".join(paragraphs)
+
+
 def test_parsing():
     blocks = lambda s: op10_html.parse(s)[1]
     assert blocks("<p>a<b>b</b> c<br>d<p>e&nbsp;&eacute;&#x41; &amp &lt;p&gt;<ul><li>1<li>2</ul>f") == ["ab c d", "e éA & <p>", "1", "2", "f"]
