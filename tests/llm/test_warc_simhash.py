@@ -217,3 +217,13 @@ def test_a_family_far_larger_than_a_posting_is_one_group(spark, monkeypatch):
     for parts in (1, 7):
         assert {x.doc_id: x.component_id for x in op4_simhash.near_copies(spark, docs.repartition(parts)).collect()} == want
     assert [x.doc_id for x in op4_simhash.deduplicated(spark, docs).collect()] == [600]
+
+
+def test_similar_texts_below_the_limit_stay(spark):
+    r = random.Random(13)
+    rows = [(100 * k + i, t) for k in range(4) for i, t in enumerate(family(r, 400, 8, 7)[1:])]  # about 0.7 to each other
+    rows += [(1000 + 10 * k + i, t) for k in range(10) for i, t in enumerate(family(r, 200, 2, 3 + k % 3))]
+    want = brute_copies(rows)
+    assert len({want[i] for i, _ in rows[:32]}) == 32 and len(set(want.values())) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in op4_simhash.near_copies(spark, docs).collect()} == want
