@@ -124,6 +124,11 @@ def revision(authored_ms: Column, stream: Column, sequence: Column, tag: str = "
     return F.sha2(F.concat(F.encode(F.lit(tag + "\0"), "utf-8"), big_endian(authored_ms), F.encode(stream, "utf-8"), big_endian(sequence)), 256)
 
 
+def entry_hash(signed: Column, signature: Column) -> Column:
+    """Hash of a log entry: SHA-256 of its signed bytes and signature."""
+    return F.sha2(F.concat(signed, signature), 256)
+
+
 def hmac_sha256(key: bytes, message: Column) -> Column:
     """HMAC-SHA256 of a binary column under a key of at most 64 bytes, as hex digits."""
     block = key.ljust(64, b"\0")

@@ -122,6 +122,13 @@ def missing_types(drafts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return x.select("draft", "name", F.coalesce(F.when(meaning, F.col("_own")), "_near").alias("suggested_type"))
 
 
+def suggested_classifications(drafts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Draft fields without a classification whose vocabulary field, meant the same, has one: draft, name, suggested_classification."""
+    known = vocabulary.where("classification IS NOT NULL").select("name", F.col("description").alias("_d"), F.col("classification").alias("suggested_classification"))
+    same = F.col("description").isNull() | (F.trim("description") == "") | F.col("_d").isNull() | descriptions_agree(F.col("description"), F.col("_d"))
+    return drafts.where("classification IS NULL").join(known, "name").where(same).select("draft", "name", "suggested_classification")
+
+
 def name_fault(name: Column, short_words: list[str], abbreviations: list[str]) -> Column:
     """What is wrong with a new canonical field name; null if nothing is."""
     parts = F.split(name, "_")
@@ -157,7 +164,14 @@ def similar_schemas(fields: DataFrame, most: int = SIMILAR) -> DataFrame:
     """
     f = fields.select("schema", "field").distinct()
     sizes = f.groupBy("schema").agg(F.count("*").alias("size"))
-    shared = f.join(f.select(F.col("schema").alias("other"), "field"), "field").where("schema <> other").groupBy("schema", "other").agg(F.count("*").alias("shared"))
+    # who shares at least m = max(2, half) of a schema's n fields shares one of its n - m + 1 rarest: pairs meet only there, so a
+    # field that all schemas have pairs none that have enough rarer ones
+    rare = Window.partitionBy("schema").orderBy("times", "field")
+    ranked = f.join(f.groupBy("field").agg(F.count("*").alias("times")), "field").join(sizes, "schema").withColumn("nth", F.row_number().over(rare))
+    probe = ranked.where(F.expr("size >= 2 AND nth <= size - greatest(2, (size + 1) div 2) + 1")).select("schema", "field")
+    other = f.select(F.col("schema").alias("other"), "field")
+    pairs = probe.join(other, "field").where("schema <> other").select("schema", "other").distinct()
+    shared = pairs.join(f, "schema").join(other, ["other", "field"]).groupBy("schema", "other").agg(F.count("*").alias("shared"))
     x = shared.join(sizes, "schema").join(sizes.select(F.col("schema").alias("other"), F.col("size").alias("other_size")), "other")
     x = x.where("shared >= 2 AND shared * 2 >= size").withColumn("score", F.expr("shared * 1024 div (size + other_size - shared)"))
     best = Window.partitionBy("schema").orderBy(F.desc("score"), F.desc("shared"), "other")

@@ -91,6 +91,11 @@ def written_seconds(nanos: Column) -> Column:
     return F.floor(nanos / F.lit(NANOS)).cast("long")
 
 
+def write_age(log: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """When each key was last written, and at which seq."""
+    return log.groupBy(*key).agg(F.max("written_nanos").alias("written_nanos"), F.max("seq").alias("seq"))
+
+
 def expired_by_write(records: DataFrame, cutoff: int) -> DataFrame:
     """Hash layout: records last written before the cutoff, in Unix seconds. A rewrite makes a record young again."""
     return records.where(F.expr(f"written_nanos div {NANOS}") < cutoff)

@@ -11,13 +11,15 @@ import base64
 import hashlib
 import json
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keylake.functions.codec import prefix_end
 
-RECORD_LIMIT, RECORD_LIMIT_MOST, KEY_LIMIT, KEY_LIMIT_MOST = 100, 1000, 100, 1000
+RECORD_LIMIT, RECORD_LIMIT_MOST, KEY_LIMIT, KEY_LIMIT_MOST, READS_MOST = 100, 1000, 100, 1000, 64
 KEYS = ["hash", "range", "range_enc"]
 RESERVED = ("created_by", "updated_by")
 
@@ -30,6 +32,14 @@ class CursorMismatch(ValueError):
     """A cursor made for another schema, filter or order."""
 
 
+class CountMismatch(ValueError):
+    """The records under a filter are not as many as the caller expects."""
+
+
+class IndexMismatch(ValueError):
+    """An entry of an alternate index that its record does not bear out."""
+
+
 @dataclass(frozen=True)
 class Filter:
     """One key filter: a hash alone, a hash with a range, a prefix or bounds [start, end) of encoded ranges."""
@@ -63,6 +73,12 @@ class Filter:
         return out
 
 
+    def holds(self, hash_: str, range_enc: str) -> bool:
+        """Whether a key is under the filter (code point order is the order of text in Spark)."""
+        bounds = (self.start is None or range_enc >= self.start) and (self.end is None or range_enc < self.end)
+        return bounds and self.hash in (None, hash_) and self.range in (None, range_enc) and range_enc.startswith(self.prefix or "")
+
+
 def select(records: DataFrame, key: Filter, range_kind: str | None = "String") -> DataFrame:
     """Records under a filter. Bounds that hold nothing (start at or past end) give no rows without a scan."""
     key.check(range_kind)
@@ -104,6 +120,10 @@ def page(records: DataFrame, limit: int = RECORD_LIMIT, offset: int = 0, cursor:
         raise ReadRefused(f"a page has at most {RECORD_LIMIT_MOST} records")
     if cursor and (descending or offset):
         raise ReadRefused("a cursor goes with ascending order and no offset")
+    return _ordered(records, limit, offset, cursor, descending)
+
+
+def _ordered(records: DataFrame, limit: int, offset: int = 0, cursor: tuple[str, str] | None = None, descending: bool = False) -> DataFrame:
     rows = records.where(after(*cursor)) if cursor else records
     rows = rows.orderBy(*page_order(descending))
     return (rows.offset(offset) if offset else rows).limit(limit)
@@ -123,35 +143,92 @@ def may_hold_records(records: DataFrame) -> bool:
     return not records.limit(1).isEmpty()
 
 
+def holding(schemas: DataFrame, records: DataFrame) -> DataFrame:
+    """The existence probe for many schemas at once: schema, holds."""
+    some = records.select("schema").distinct()
+    return schemas.select("schema").distinct().join(some.withColumn("_found", F.lit(True)), "schema", "left").select("schema", F.col("_found").isNotNull().alias("holds"))
+
+
+def counted(records: DataFrame, key: Filter, expected: int | None = None, range_kind: str | None = "String") -> int:
+    """Number of records under a filter; CountMismatch if the caller expects another."""
+    n = select(records, key, range_kind).count()
+    if expected not in (None, n):
+        raise CountMismatch(f"expected {expected} records, there are {n}")
+    return n
+
+
 def binding(schema_id: str, key: Filter, descending: bool = False) -> str:
     """What a cursor is bound to: schema, filter and order."""
     return hashlib.sha256(json.dumps([schema_id, asdict(key), descending], sort_keys=True).encode()).hexdigest()
 
 
-def cursor_text(bound: str, hash_: str, range_enc: str) -> str:
-    return base64.urlsafe_b64encode(json.dumps({"b": bound, "h": hash_, "r": range_enc}).encode()).decode().rstrip("=")
+def cursor_text(bound: str, *key: str) -> str:
+    return base64.urlsafe_b64encode(json.dumps({"b": bound, "k": key}).encode()).decode().rstrip("=")
 
 
-def cursor_key(text: str, bound: str) -> tuple[str, str]:
+def cursor_key(text: str, bound: str, parts: int = 2) -> tuple[str, ...]:
     """The key that a cursor resumes after; refuses one of another request."""
     try:
         found = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
+        key = tuple(found["k"])
         if found["b"] != bound:
             raise CursorMismatch("this cursor belongs to another schema, filter or order")
-        return found["h"], found["r"]
+        if len(key) != parts or not all(isinstance(k, str) for k in key):
+            raise CursorMismatch("this is no cursor")
+        return key
     except (ValueError, KeyError, TypeError) as error:
         raise error if isinstance(error, CursorMismatch) else CursorMismatch("this is no cursor") from error
 
 
-def read_page(records: DataFrame, schema_id: str, key: Filter, limit: int = RECORD_LIMIT, cursor: str | None = None, descending: bool = False, range_kind: str | None = "String") -> tuple[list, str | None]:
-    """A page of records as rows, and the cursor for the next one (None at the end): one record more than asked for tells."""
+def read_page(records: DataFrame, schema_id: str, key: Filter, limit: int = RECORD_LIMIT, cursor: str | None = None, descending: bool = False, range_kind: str | None = "String", expected: int | None = None) -> tuple[list, str | None]:
+    """A page of records as rows, and the cursor for the next one (None at the end): one record more than asked for tells.
+
+    A larger limit counts as RECORD_LIMIT_MOST. With expected, the count under the filter must be that.
+    """
+    limit = max(0, min(limit, RECORD_LIMIT_MOST))
     bound = binding(schema_id, key, descending)
     start = cursor_key(cursor, bound) if cursor else None
-    rows = page(select(records, key, range_kind), min(limit + 1, RECORD_LIMIT_MOST), cursor=start, descending=descending).collect()
+    if start and descending:
+        raise ReadRefused("a cursor goes with ascending order and no offset")
+    if expected is not None:
+        counted(records, key, expected, range_kind)
+    rows = _ordered(select(records, key, range_kind), limit + 1, cursor=start, descending=descending).collect()
     more, rows = len(rows) > limit, rows[:limit]
     return rows, cursor_text(bound, rows[-1]["hash"], rows[-1]["range_enc"]) if more and rows and not descending else None
 
 
+def read_list(records: DataFrame, reads: list[tuple[str, Filter, int]], kinds: dict[str, str | None] | None = None) -> list[dict]:
+    """Answers of up to READS_MOST reads (schema, filter, limit), in their order, by one job: {rows, more}, or {error} for a read refused.
+
+    records has a column schema; kinds gives a schema's range type (String where it doesn't).
+    """
+    if not 1 <= len(reads) <= READS_MOST:
+        raise ReadRefused(f"a list holds 1 to {READS_MOST} reads")
+    out: list[dict] = [{"rows": [], "more": False} for _ in reads]
+    for i, (schema, key, _) in enumerate(reads):
+        try:
+            key.check((kinds or {}).get(schema, "String"))
+        except ReadRefused as error:
+            out[i] = {"error": str(error)}
+    fine = [(i, s, k, max(0, min(n, RECORD_LIMIT_MOST))) for i, (s, k, n) in enumerate(reads) if "error" not in out[i]]
+    if fine:
+        for row in listed(records, fine, 1).orderBy("item", "place").collect():
+            out[row["item"]]["rows"].append(row)
+    for i, _, _, n in fine:
+        out[i] = {"rows": out[i]["rows"][:n], "more": len(out[i]["rows"]) > n}
+    return out
+
+
+def listed(records: DataFrame, reads: list[tuple[int, str, Filter, int]], extra: int = 0) -> DataFrame:
+    """Pages of several reads (item, schema, filter, limit) in one plan: item, place (from 1) and the record; `extra` records beyond each limit."""
+    pages = []
+    for item, schema, key, limit in reads:
+        page_ = _ordered(records.where(F.col("schema") == schema).where(key.column()), limit + extra)
+        pages.append(page_.select(F.lit(item).alias("item"), "*"))
+    order = Window.partitionBy("item").orderBy(*page_order())
+    return reduce(DataFrame.unionByName, pages).withColumn("place", F.row_number().over(order))
+
+
 # alternates -----------------------------------------------------------------------------------------------------------
 
 
@@ -166,11 +243,56 @@ def alternate_index(records: DataFrame, name: str) -> DataFrame:
 
 def by_alternate(index: DataFrame, records: DataFrame, key: Filter, range_kind: str | None = "String") -> DataFrame:
     """Records whose alternate key is under a filter, with that key."""
+    return _entries(index, key, range_kind).join(records, ["hash", "range_enc"])
+
+
+def alternate_after(alt_hash: str, alt_range_enc: str, hash_: str, range_enc: str) -> Column:
+    """Strictly past an entry in the order of alternate pages: its key, then the primary key."""
+    out = F.lit(False)
+    for name, value in reversed(list(zip(ALT_ORDER, (alt_range_enc, alt_hash, range_enc, hash_), strict=True))):
+        out = (F.col(name) > value) | ((F.col(name) == value) & out)
+    return out
+
+
+ALT_ORDER = ["alt_range_enc", "alt_hash", "range_enc", "hash"]
+
+
+def _entries(index: DataFrame, key: Filter, range_kind: str | None) -> DataFrame:
     if key.range is not None and key.hash is None:
         raise ReadRefused("an alternate takes one key, a hash, a prefix or bounds")
     found = select(index.withColumnsRenamed({"hash": "p_hash", "range_enc": "p_range_enc", "alt_hash": "hash", "alt_range_enc": "range_enc"}), key, range_kind)
-    found = found.withColumnsRenamed({"hash": "alt_hash", "range_enc": "alt_range_enc", "p_hash": "hash", "p_range_enc": "range_enc"})
-    return found.join(records, ["hash", "range_enc"])
+    return found.withColumnsRenamed({"hash": "alt_hash", "range_enc": "alt_range_enc", "p_hash": "hash", "p_range_enc": "range_enc"})
+
+
+def alternate_page(index: DataFrame, records: DataFrame, key: Filter, limit: int = RECORD_LIMIT, start: tuple[str, str, str, str] | None = None, range_kind: str | None = "String") -> DataFrame:
+    """One page in the order of an alternate, with its records (null where there is none). start: the last entry seen (alt_hash, alt_range_enc, hash, range_enc).
+
+    The index alone is filtered, sorted and cut; the records of at most limit keys are then looked up.
+    """
+    found = _entries(index, key, range_kind)
+    found = (found.where(alternate_after(*start)) if start else found).orderBy(*ALT_ORDER).limit(limit)
+    held = records.select("hash", "range_enc", F.struct(*records.columns).alias("found"))
+    return found.join(held, ["hash", "range_enc"], "left").select("alt_hash", "alt_range_enc", "hash", "range_enc", "found").orderBy(*ALT_ORDER)
+
+
+def read_alternate_page(index: DataFrame, records: DataFrame, schema_id: str, name: str, key: Filter, limit: int = RECORD_LIMIT, cursor: str | None = None, range_kind: str | None = "String") -> tuple[list, str | None]:
+    """A page of records in the order of a named alternate, each a row with alt_hash, alt_range_enc and `found`, and the next cursor.
+
+    Records must have `alternates`; an entry that its record does not bear out is an IndexMismatch. A cursor is bound to
+    schema, alternate and filter, and its entry must be under the filter.
+    """
+    limit = max(0, min(limit, RECORD_LIMIT_MOST))
+    bound = "ak2:" + binding(json.dumps([schema_id, name]), key)
+    start = cursor_key(cursor, bound, 4) if cursor else None
+    if start and not key.holds(start[0], start[1]):
+        raise CursorMismatch("this cursor lies outside the filter")
+    rows = alternate_page(index, records, key, limit + 1, start, range_kind).collect()
+    more, rows = len(rows) > limit, rows[:limit]
+    for r in rows:
+        own = (r["found"]["alternates"] or {}).get(name) if r["found"] else None
+        if own is None or (own["hash"], own["range_enc"]) != (r["alt_hash"], r["alt_range_enc"]):
+            raise IndexMismatch(f"the entry of {name} at {r['alt_hash']!r}, {r['alt_range_enc']!r} does not match its record")
+    return rows, cursor_text(bound, *(rows[-1][c] for c in ("alt_hash", "alt_range_enc", "hash", "range_enc"))) if more and rows else None
 
 
 def index_faults(index: DataFrame, records: DataFrame, name: str) -> DataFrame:
@@ -192,9 +314,10 @@ def full_rows(records: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def api_rows(records: DataFrame, fields: list[str]) -> DataFrame:
-    """Key, revision, and the record as JSON; absent authors are left out."""
+    """Key, revision, the record as JSON (absent authors are left out), and the file marker if records have one."""
     authors = [c for c in RESERVED if c in records.columns]
-    return records.select(F.struct("hash", "range").alias("key"), "revision", F.to_json(F.struct(*fields, *authors)).alias("record"))
+    file = [c for c in ("file",) if c in records.columns]
+    return records.select(F.struct("hash", "range").alias("key"), "revision", F.to_json(F.struct(*fields, *authors)).alias("record"), *file)
 
 
 def user_fields(fields: Column) -> Column:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keylake.functions.types import FieldType
 
 RANGE_KINDS = ("String", "Integer", "Date", "DateTime", "Boolean")
 RESERVED = ("created_by", "updated_by")
@@ -45,7 +48,7 @@ class Definition:
     name: str
     owner: str
     descriptive_name: str
-    fields: dict[str, str]
+    fields: dict[str, str | FieldType]
     descriptions: dict[str, str] = field(default_factory=dict)
     primary: Key = field(default_factory=Key)
     alternates: dict[str, Key] = field(default_factory=dict)
@@ -64,6 +67,9 @@ class Definition:
             if not kind:
                 raise CatalogRefused(f"field {name} has no type")
 
+    def types(self) -> dict[str, FieldType]:
+        return {n: t if isinstance(t, FieldType) else FieldType(t) for n, t in self.fields.items()}
+
     def identity(self) -> str:
         """Digest of what makes the schema itself: owner, descriptive name, field names, keys, file rule. Types don't count."""
         keys = {n: [k.kind, k.range_kind, k.allow_absent] for n, k in {"": self.primary, **self.alternates}.items()}
@@ -75,7 +81,7 @@ class Definition:
 
 
 def _digest(value: object) -> str:
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=repr).encode()).hexdigest()
 
 
 def field_hash(name: str, kind: str, description: str, version: int = 1) -> str:
@@ -173,7 +179,46 @@ class Catalog:
         policy = self.policies.get(name, {})
         return policy.get("operator", policy.get("manifest"))
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """The catalog as a DataFrame: schema, layout, identity, ttl_seconds, blocked."""
-        rows = [(d.name, "HashRange" if d.primary.kind == "hash_range" else "Hash", d.identity(), self.ttl(d.name), d.blocked) for d in self.by_name.values()]
+    def frame(self, spark: SparkSession, active: bool = False) -> DataFrame:
+        """The catalog as a DataFrame: schema, layout, identity, ttl_seconds, blocked; all of it, or what can be read."""
+        rows = [(d.name, "HashRange" if d.primary.kind == "hash_range" else "Hash", d.identity(), self.ttl(d.name), d.blocked) for d in self.by_name.values() if not (active and d.blocked)]
         return spark.createDataFrame(rows, "schema string, layout string, identity string, ttl_seconds long, blocked boolean")
+
+    def save(self, spark: SparkSession, path: str) -> int:
+        """Appends the whole catalog, a row a schema, as the next version of a small table; returns the version."""
+        version = (_saved(spark, path).agg(F.max("version")).first()[0] or 0) + 1
+        rows = [(version, d.name, json.dumps(_plain(d)), json.dumps(self.policies.get(d.name, {}))) for d in self.by_name.values()]
+        spark.createDataFrame(rows or [(version, None, None, None)], SAVED).coalesce(1).write.mode("append").parquet(path)
+        return version
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> Catalog:
+        """The last version saved, or an older one; an empty catalog if there is none."""
+        saved = _saved(spark, path)
+        version = version or saved.agg(F.max("version")).first()[0]
+        out = cls()
+        for r in saved.where((F.col("version") == F.lit(version)) & F.col("name").isNotNull()).orderBy("name").collect():
+            out.by_name[r["name"]] = _definition(json.loads(r["definition"]))
+            out.policies |= {r["name"]: p} if (p := json.loads(r["policy"])) else {}
+        return out
+
+
+SAVED = "version long, name string, definition string, policy string"
+
+
+def _saved(spark: SparkSession, path: str) -> DataFrame:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(SAVED).parquet(path) if there else spark.createDataFrame([], SAVED)
+
+
+def _plain(d: Definition) -> dict:
+    kind = lambda t: t if isinstance(t, str) else [t.name, [kind(i) for i in t.inner], [[n, kind(m)] for n, m in t.members]]
+    return {**asdict(d), "fields": {n: kind(t) for n, t in d.fields.items()}}
+
+
+def _definition(plain: dict) -> Definition:
+    kind = lambda t: t if isinstance(t, str) else FieldType(t[0], tuple(map(whole, t[1])), tuple((n, whole(m)) for n, m in t[2]))
+    whole = lambda t: FieldType(t) if isinstance(t, str) else kind(t)
+    fields = {n: kind(t) for n, t in plain["fields"].items()}
+    return Definition(**{**plain, "fields": fields, "primary": Key(**plain["primary"]), "alternates": {n: Key(**k) for n, k in plain["alternates"].items()}})

@@ -197,9 +197,9 @@ def revision_hash(spark, sf_dir):
     return e.select("event_id", codec.revision(F.unix_millis("ts"), F.col("event_type"), F.col("event_id")).alias("revision"))
 
 
-@query("SELECT doc_id, substr(text, 1, 20) AS key, hex(encode(source)) AS value FROM documents")
+@query("SELECT doc_id, source AS key, hex(encode(text)) AS value FROM documents")
 def payload_round_trip(spark, sf_dir):
-    payload = codec.encode_payload(F.substring("text", 1, 20), F.encode("source", "utf-8"))
+    payload = codec.encode_payload(F.col("source"), F.encode("text", "utf-8"))
     return table(spark, sf_dir, "documents").select("doc_id", codec.payload_key(payload).alias("key"), F.hex(codec.payload_value(payload)).alias("value"))
 
 
@@ -490,7 +490,7 @@ def snapshot_as_of(spark, sf_dir):
 
 @query(f"SELECT {KEYED}, max(written_nanos) AS written_nanos, max(seq) AS seq FROM ({EVENT_LOG}) GROUP BY ALL")
 def write_age_max(spark, sf_dir):
-    return event_log(spark, sf_dir).groupBy(*log.KEY).agg(F.max("written_nanos").alias("written_nanos"), F.max("seq").alias("seq"))
+    return log.write_age(event_log(spark, sf_dir))
 
 
 @query("SELECT user_id, arg_max(event_id, (epoch_us(ts), event_type, event_id)) AS event_id FROM events GROUP BY 1")
@@ -499,9 +499,10 @@ def replay_stamp_max(spark, sf_dir):
     return log.latest(e.withColumn("id", F.col("event_id")), ["user_id"], ["us", "event_type", "id"]).select("user_id", "event_id")
 
 
-@query("SELECT source, count(*) > 0 AS holds FROM documents GROUP BY 1")
+@query("SELECT DISTINCT o_orderpriority AS schema, o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE o_totalprice < 2000) AS holds FROM orders")
 def schemas_that_hold_records(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg((F.count("*") > 0).alias("holds"))
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "schema")
+    return read.holding(o, o.where("o_totalprice < 2000"))
 
 
 @query("SELECT event_id, CAST(regexp_full_match(props, '\\{\"k\": -?[0-9]+\\}') AS BOOLEAN) AS integer_k, false AS text_k, true AS any_object FROM events")
@@ -568,8 +569,101 @@ def full_rows(spark, sf_dir):
 
 @query("""SELECT verb, caller, n FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'purge' ELSE 'delete' END AS verb, CAST(l_suppkey AS VARCHAR) AS caller, count(*) AS n, min(l_shipdate) AS first_at FROM lineitem GROUP BY 1, 2) ORDER BY first_at, verb, caller LIMIT 25""")
 def delete_ledger_page(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "R", "purge").otherwise("delete").alias("verb"), F.col("l_suppkey").cast("string").alias("caller"), "l_shipdate")
-    return li.groupBy("verb", "caller").agg(F.count("*").alias("n"), F.min("l_shipdate").alias("at")).orderBy("at", "verb", "caller").limit(25).drop("at")
+    verb = F.when(F.col("l_returnflag") == "R", "purge").otherwise("delete")
+    li = table(spark, sf_dir, "lineitem").select(verb.alias("verb"), F.col("l_suppkey").cast("string").alias("caller"), F.lit("lineitem").alias("schema"), F.col("l_orderkey").cast("string").alias("hash"), F.col("l_linenumber").cast("string").alias("range_enc"), F.col("l_shipdate").alias("at"))
+    return write.ledger_page(write.erase_audit(li), 25).select("verb", "caller", "n")
+
+
+def by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders keyed by themselves, with the alternate by_customer (customer, order date) on three of four."""
+    o = table(spark, sf_dir, "orders")
+    alternate = F.struct(F.col("o_custkey").cast("string").alias("hash"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("range_enc"))
+    return o.select(F.col("o_orderkey").cast("string").alias("hash"), F.lit("").alias("range"), F.lit("").alias("range_enc"), F.when(F.col("o_orderkey") % 4 != 0, F.create_map(F.lit("by_customer"), alternate)).alias("alternates"), "o_totalprice")
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS alt_hash, strftime(o_orderdate, '%Y-%m-%d') AS alt_range_enc, CAST(o_orderkey AS VARCHAR) AS hash, o_totalprice FROM orders
+WHERE o_orderkey % 4 <> 0 AND o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1997-01-01' AND (strftime(o_orderdate, '%Y-%m-%d'), CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR)) > ('1995-06-01', '3', '') ORDER BY 2, 1, 3 LIMIT 200""")
+def alternate_page(spark, sf_dir):
+    rows = by_customer(spark, sf_dir)
+    found = read.alternate_page(read.alternate_index(rows, "by_customer"), rows, read.Filter(start="1995-01-01", end="1997-01-01"), 200, ("3", "1995-06-01", "", ""))
+    return found.select("alt_hash", "alt_range_enc", "hash", "found.o_totalprice")
+
+
+@query(f"""SELECT item, place, hash, range FROM (SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY range_enc, hash) AS INTEGER) AS place, hash, range, most FROM
+(SELECT 0 AS item, 5 AS most, * FROM ({ORDERS}) WHERE o_orderstatus = 'O' AND hash = '7' UNION ALL SELECT 1, 30, * FROM ({ORDERS}) WHERE o_orderstatus = 'F' AND range_enc >= {ENC.format(1000)} AND range_enc < {ENC.format(9000)} UNION ALL SELECT 2, 10, * FROM ({ORDERS}) WHERE o_orderstatus = 'P' AND hash = '10')) WHERE place <= most""")
+def read_list(spark, sf_dir):
+    rows = orders(spark, sf_dir).withColumnRenamed("o_orderstatus", "schema")
+    lo, hi = (f"{v ^ 1 << 63:016x}" for v in (1000, 9000))
+    return read.listed(rows, [(0, "O", read.Filter(hash="7"), 5), (1, "F", read.Filter(start=lo, end=hi), 30), (2, "P", read.Filter(hash="10"), 10)]).select("item", "place", "hash", "range")
+
+
+@query("""SELECT hash, n FROM (SELECT CAST(o_custkey AS VARCHAR) AS hash, count(*) AS n FROM orders GROUP BY 1) WHERE hash = '7'""")
+def expected_count(spark, sf_dir):
+    """The guard passes for the right count; the tests show that it refuses another."""
+    rows, key = orders(spark, sf_dir), read.Filter(hash="7")
+    n = read.counted(rows, key)
+    return read.select(rows, key).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") == read.counted(rows, key, n))
+
+
+@query("""SELECT event_id, 'e' || CAST(user_id AS VARCHAR) AS hash, '{"event_type":"' || event_type || '"' || CASE WHEN user_id % 3 = 0 THEN ',"created_by":"ann"' ELSE '' END || '}' AS record, CASE WHEN user_id % 5 = 0 THEN 'f' END AS file_name FROM events""")
+def api_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.concat(F.lit("e"), "user_id").alias("hash"), F.col("event_id").cast("string").alias("range"), F.lit("r").alias("revision"), "event_type", F.when(F.col("user_id") % 3 == 0, "ann").alias("created_by"), F.when(F.col("user_id") % 5 == 0, F.struct(F.lit("f").alias("name"))).alias("file"))
+    return read.api_rows(rows, ["event_type"]).select(F.col("key.range").cast("long").alias("event_id"), F.col("key.hash").alias("hash"), "record", F.col("file.name").alias("file_name"))
+
+
+@query("SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+def ttl_in_scope(spark, sf_dir):
+    e = event_log(spark, sf_dir).withColumn("event_id", F.col("seq") - 1)
+    listed = table(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.col("c_custkey").cast("string").alias("hash"))
+    return log.in_scope(e, listed.union(listed)).select("event_id")
+
+
+@query("SELECT event_id, sha256(encode(event_type || '|' || props) || encode(CAST(user_id AS VARCHAR))) AS entry_hash FROM events")
+def entry_hash(spark, sf_dir):
+    signed = F.encode(F.concat_ws("|", "event_type", "props"), "utf-8")
+    return table(spark, sf_dir, "events").select("event_id", codec.entry_hash(signed, F.encode(F.col("user_id").cast("string"), "utf-8")).alias("entry_hash"))
+
+
+@query("SELECT item_id, substr(text, 1, 60) AS clipped FROM benchmark WHERE strlen(text) = length(text)")
+def clipped_texts(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").where(F.octet_length("text") == F.length("text"))
+    return b.select("item_id", codec.clip(F.col("text"), 60).alias("clipped"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part) SELECT replace(p_name, ' ', '_') || '_bytes' AS name, 'private' AS suggested_classification FROM n WHERE strlen(p_name) % 2 = 0 AND strlen(p_name) % 3 <> 0""")
+def suggested_classifications(spark, sf_dir):
+    size = F.length("name") - 6
+    v = vocabulary(spark, sf_dir).withColumn("classification", F.when(size % 2 == 0, "private"))
+    drafts = v.select(F.lit("d").alias("draft"), "name", "type", F.when(size % 3 == 0, "something else altogether").otherwise(F.col("description")).alias("description"), F.lit(None).cast("string").alias("classification"))
+    return advice.suggested_classifications(drafts, v).select("name", "suggested_classification")
+
+
+LOGGED = "o AS (SELECT o_orderkey, o_orderkey % 10 AS k, count(*) OVER () AS n, row_number() OVER (PARTITION BY o_orderkey % 10 NOT IN (1, 2, 3) ORDER BY o_orderkey) - 1 AS again FROM orders)"
+
+
+@query(f"""WITH {LOGGED} SELECT CAST(o_orderkey AS VARCHAR) AS hash, CASE WHEN k IN (1, 2) THEN n + again + 1 ELSE o_orderkey + 1 END AS seq, 'ann' AS created_by, CASE WHEN k IN (1, 2) THEN 'bob' ELSE 'ann' END AS updated_by,
+CAST(5000 AS BIGINT) AS authored_ms, CASE WHEN k IN (1, 2) THEN 5000000000 + n + again ELSE 5000000000 + o_orderkey END AS written_nanos, CASE WHEN k IN (1, 2) THEN 2 ELSE 1 END AS v, CASE WHEN k <> 2 AND o_orderkey % 3 = 0 THEN 'f' || CAST(o_orderkey AS VARCHAR) END AS file_name FROM o WHERE k <> 3""")
+def batches_through_a_log(spark, sf_dir):
+    """Creates of all orders, then replaces and deletes of some by the revisions read back, a second earlier by the writer's clock: all through a log on disk."""
+    import uuid
+
+    from keylake.plans.catalog import Catalog, Definition
+    from keylake.sources.files import marker
+    from keylake.sources.log_table import RecordLog
+    from keylake.sources.work import shared_folder
+
+    place, catalog = RecordLog(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"), Catalog([Definition("order", "ann", "Orders", {"v": "Integer"})])
+    o, none = table(spark, sf_dir, "orders"), F.lit(None).cast("string")
+    file = marker(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")), none, F.encode(F.col("o_orderkey").cast("string"), "utf-8"))
+    first = o.select(F.col("o_orderkey").alias("index"), F.lit("create").alias("op"), F.lit("order").alias("schema"), F.col("o_orderkey").cast("string").alias("hash"), none.alias("range_enc"), none.alias("revision"), F.lit('{"v":1}').alias("record"), F.when(F.col("o_orderkey") % 3 == 0, file).alias("file"))
+    place.write(first, 5000, "n1", "ann", catalog=catalog)
+    live, kind = place.snapshot(), F.col("hash").cast("long") % 10
+    index = F.expr("(CAST(hash AS LONG) div 10) * 3 + CAST(hash AS LONG) % 10 - 1")
+    second = live.where(kind.isin(1, 2, 3)).select(index.alias("index"), F.when(kind == 3, "delete").otherwise("replace").alias("op"), "schema", "hash", "range_enc", "revision", F.when(kind != 3, '{"v":2}').alias("record"), F.lit(None).cast(live.schema["file"].dataType).alias("file"), (kind == 2).alias("clear_file"))
+    place.write(second, 4000, "n1", "bob", catalog=catalog)
+    place.compact()
+    return place.snapshot().select("hash", "seq", "created_by", "updated_by", "authored_ms", "written_nanos", F.get_json_object("record", "$.v").cast("int").alias("v"), F.col("file.name").alias("file_name"))
 
 
 def seeing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from keylake.operators.log import changes
-from keylake.sources.log_table import LOG_SCHEMA
-
-COMMIT_SCHEMA = "number long, first long, last long, directory string, ms long"
+from keylake.operators.log import KEY
+from keylake.sources.log_table import COMMIT_SCHEMA, RecordLog, change_rows
 
 
 def commit_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
@@ -22,18 +20,25 @@ def commit_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> Dat
 def follow(spark: SparkSession, path: str, handle: Callable[[DataFrame, int], None], schemas: list[str] | None = None, per_trigger: int = 100) -> DataStreamWriter:
     """A writer that hands the changes of each micro-batch's commits to handle(changes, batch id).
 
-    A batch names at most per_trigger directories. After a failure a batch comes again with the same id.
+    A micro-batch names at most per_trigger batches of the log; compactions bring no changes and are passed over. Who follows
+    a log compares its epoch(): a new one means that it was restored. After a failure a batch comes again with the same id.
     """
 
     def batch(commits: DataFrame, batch_id: int) -> None:
-        dirs = [r[0] for r in commits.select("directory").collect()]
-        if dirs:
-            rows = changes(spark.read.schema(LOG_SCHEMA).parquet(*[f"{path}/{d}" for d in dirs]))
+        batches = [r[0] for r in commits.where("base IS NULL").select("batch").collect()]
+        if batches:
+            rows = change_rows(RecordLog(spark, path), batches, ["seq", *KEY, "deleted"])
             handle(rows.where(F.col("schema").isin(schemas)) if schemas else rows, batch_id)
 
     return commit_stream(spark, path, per_trigger).writeStream.foreachBatch(batch)
 
 
+def every(spark: SparkSession, period: str, job: Callable[[int], None]) -> DataStreamWriter:
+    """A writer that runs job(run number) once a period, as an expiry sweep does; the first run is at once."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, n: job(n)).trigger(processingTime=period)
+
+
 def distinct_entries(entries: DataFrame, time: str, delay: str) -> DataFrame:
     """Entries once each: the same hash again within the watermark is a duplicate and goes."""
     return entries.withWatermark(time, delay).dropDuplicatesWithinWatermark(["entry_hash"])

@@ -5,6 +5,7 @@ import random
 import shutil
 import subprocess
 import sys
+import time
 from datetime import date, timedelta
 
 import pytest
@@ -14,6 +15,7 @@ from keylake.functions import codec
 from keylake.functions.types import FieldType, faults, valid
 from keylake.operators import log, read, write
 from keylake.plans.catalog import Catalog, CatalogRefused, Definition, Key, evolve
+from keylake.sources import files
 from keylake.sources.log_table import RecordLog
 from keylake.streaming import feeds
 
@@ -140,6 +142,61 @@ def test_refusals(records):
     assert read.read_page(records, "s", read.Filter(hash="a"), 0) == ([], None)
 
 
+@pytest.mark.parametrize("limit", [999, 1000, 1500])
+def test_large_pages_lose_nothing(spark, limit):
+    rows = spark.range(2500).selectExpr("'h' AS hash", "lpad(id, 6, '0') AS range", "lpad(id, 6, '0') AS range_enc")
+    seen, cursor, sizes = [], None, []
+    while True:
+        page, cursor = read.read_page(rows, "s", read.Filter(hash="h"), limit, cursor, expected=2500)
+        seen += [r["range"] for r in page]
+        sizes.append(len(page))
+        if cursor is None:
+            break
+    assert seen == [f"{i:06d}" for i in range(2500)] and sizes[0] == min(limit, 1000)
+    with pytest.raises(read.CountMismatch):
+        read.read_page(rows, "s", read.Filter(hash="h"), limit, expected=2499)
+
+
+def test_pages_by_an_alternate(spark):
+    def rows(wrong=()):
+        at = "CASE WHEN id % 5 = 0 THEN NULL ELSE map('by_k', named_struct('hash', {}, 'range_enc', lpad(id div 7, 3, '0'))) END AS alternates"
+        moved = f"CASE WHEN id IN ({', '.join(map(str, wrong)) or -1}) THEN 'zz' ELSE concat('k', id % 3) END"
+        return spark.range(60).selectExpr("lpad(id, 4, '0') AS hash", "'' AS range_enc", at.format(moved), "id")
+
+    index = read.alternate_index(rows(), "by_k")
+    want = sorted((f"{i // 7:03d}", f"k{i % 3}", f"{i:04d}") for i in range(60) if i % 5)
+    key = read.Filter(start="000", end="009")
+    for limit in (1, 7, 1000):
+        seen, cursor = [], None
+        while True:
+            page, cursor = read.read_alternate_page(index, rows(), "s", "by_k", key, limit, cursor)
+            seen += [(r["alt_range_enc"], r["alt_hash"], r["hash"]) for r in page]
+            if cursor is None or (limit == 1 and len(seen) > 4):
+                break
+        assert seen == want[: len(seen)] and (limit == 1 or len(seen) == len(want))
+    _, cursor = read.read_alternate_page(index, rows(), "s", "by_k", key, 3)
+    for wrong in (lambda: read.read_alternate_page(index, rows(), "s", "other", key, 3, cursor), lambda: read.read_alternate_page(index, rows(), "s", "by_k", read.Filter(start="001"), 3, cursor)):
+        with pytest.raises(read.CursorMismatch):
+            wrong()
+    outside = read.cursor_text("ak2:" + read.binding('["s", "by_k"]', key), "k0", "009", "0001", "")
+    with pytest.raises(read.CursorMismatch):
+        read.read_alternate_page(index, rows(), "s", "by_k", key, 3, outside)
+    with pytest.raises(read.IndexMismatch):
+        read.read_alternate_page(index, rows([3]), "s", "by_k", key, 10)
+
+
+def test_lists_of_reads(spark):
+    rows = spark.range(50).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS schema", "concat('h', id % 3) AS hash", "lpad(id, 3, '0') AS range_enc")
+    got = read.read_list(rows, [("b", read.Filter(hash="h1"), 3), ("a", read.Filter(), 5), ("a", read.Filter(prefix="00"), 100), ("b", read.Filter(prefix="0"), 5), ("none", read.Filter(hash="h0"), 5)], {"b": "Integer"})
+    assert [r["range_enc"] for r in got[0]["rows"]] == ["001", "007", "013"] and got[0]["more"]
+    assert "key" in got[1]["error"] and "String" in got[3]["error"]
+    assert [r["range_enc"] for r in got[2]["rows"]] == ["000", "002", "004", "006", "008"] and not got[2]["more"] and got[4] == {"rows": [], "more": False}
+    for wrong in ([], [("a", read.Filter(hash="x"), 1)] * 65):
+        with pytest.raises(read.ReadRefused):
+            read.read_list(rows, wrong)
+    assert read.holding(spark.createDataFrame([("a",), ("z",)], "schema string"), rows).where("holds").collect()[0].schema == "a"
+
+
 def test_predicates_push_down(records, tmp_path, spark):
     records.write.parquet(f"{tmp_path}/r")
     rows = read.select(spark.read.parquet(f"{tmp_path}/r"), read.Filter(hash="a", prefix="1")).select("hash", "range")
@@ -188,6 +245,109 @@ def test_conditional_writes_and_feed(spark, tmp_path):
     assert sorted(h for h, on in replay.items() if on) == sorted(r.hash for r in table.snapshot().collect())
 
 
+FILED = "index long, op string, schema string, hash string, range_enc string, revision string, record string, file struct<name:string,media_type:string,size:bigint,sha256:string,path:string>, clear_file boolean"
+
+
+def filed(spark, *rows):
+    mark = lambda name: name and (name, None, 1, name * 64, None)
+    return spark.createDataFrame([(i, op, "s", h, None, rev, rec, mark(name), clear) for i, (op, h, rev, rec, name, clear) in enumerate(rows)], FILED)
+
+
+def test_files_clocks_and_empty_batches(spark, tmp_path):
+    table = RecordLog(spark, f"file://{tmp_path}/log")
+    assert table.write(filed(spark).limit(0), 1, "n", "ann") == 0 and table.epoch() is None
+    table.write(filed(spark, ("create", "a", None, "{}", "a", False), ("create", "b", None, "{}", None, False), ("create", "c", None, "{}", "c", False)), 1000, "n", "ann")
+    assert table.write(filed(spark).limit(0), 2000, "n", "ann") == 1  # an empty batch makes no commit and harms nothing
+    with pytest.raises(write.WriteRefused) as refused:  # a null range is an empty one: the key is there
+        table.write(filed(spark, ("create", "a", None, "{}", None, False)), 2000, "n", "ann")
+    assert refused.value.reason == "exists"
+    now = {r.hash: r.revision for r in table.snapshot().collect()}
+    table.write(filed(spark, ("replace", "a", now["a"], "{}", None, False), ("replace", "c", now["c"], "{}", None, True), ("replace", "b", now["b"], "{}", "b", False)), 500, "n", "bob")
+    live = {r.hash: r for r in table.snapshot().collect()}
+    assert {h: r.file and r.file.name for h, r in live.items()} == {"a": "a", "b": "b", "c": None}
+    clock = [r.written_nanos for r in table.read().orderBy("seq").collect()]
+    assert clock == [10**9 + i for i in range(6)] and {r.authored_ms for r in live.values()} == {1000}
+    with pytest.raises(ValueError):
+        table.append(table.snapshot().withColumn("mine", F.lit(1)), table.state())
+    with pytest.raises(write.WriteRefused) as refused:
+        table.write(filed(spark, ("create", "x", None, "{}", None, False)).withColumn("index", F.lit(5)), 2000, "n", "ann")
+    assert refused.value.reason == "index"
+
+
+def test_compaction_restores_and_erasing(spark, tmp_path):
+    table = RecordLog(spark, f"file://{tmp_path}/log")
+    for k in range(3):
+        table.write(items(spark, *[("create", f"{k}{i}", None, "{}") for i in range(4)]), 1000 * k, "n", "ann")
+    old = {r.hash: r.revision for r in table.snapshot().collect()}
+    table.write(items(spark, *[("replace", f"0{i}", old[f"0{i}"], '{"v":1}') for i in range(4)]), 9000, "n", "ann")
+    before, epoch = sorted(table.read().collect()), table.epoch()
+    number = table.compact()
+    assert sorted(table.read().collect()) == before and table.epoch() == epoch and len(list((tmp_path / "log/data").iterdir())) == 5
+    assert table.snapshot(number - 1).count() == 12 and table.snapshot(1).count() == 4  # older versions can still be read
+    swept = table.snapshot().where("hash < '11'").select("schema", "hash", "range_enc", "seq")
+    stale = swept.withColumn("seq", F.when(F.col("hash") == "02", 1).otherwise(F.col("seq")))
+    table.erase(stale, 10_000, "n", "sweeper")
+    assert sorted(r.hash for r in table.snapshot().collect()) == ["02", "11", "12", "13", "20", "21", "22", "23"]  # what was written since stays
+    gone = table.read().where("deleted").orderBy("seq").collect()
+    assert [r.seq for r in gone] == [17, 18, 19, 20] and {r.verb for r in gone} == {"purge"} and len({r.written_nanos for r in gone}) == 4
+    policies = spark.createDataFrame([("s", "Hash", 6)], "schema string, layout string, ttl_seconds long")
+    table.sweep(policies, 8000, "n", "sweeper", verb="delete")
+    assert sorted(r.hash for r in table.snapshot().collect()) == ["02", "20", "21", "22", "23"]
+    table.compact(history=0)
+    rows = table.read().collect()
+    assert sorted((r.hash, r.deleted) for r in rows) == [("02", False), ("11", True), ("12", True), ("13", True), ("20", False), ("21", False), ("22", False), ("23", False)]
+    table.restore(2)
+    assert table.epoch() != epoch and sorted(r.hash for r in table.snapshot().collect()) == ["00", "01", "02", "03", "10", "11", "12", "13"]
+    table.write(items(spark, ("create", "z", None, "{}")), 1, "n", "ann")
+    assert table.read().agg(F.max("seq")).first()[0] == 24
+
+
+def test_writes_heed_the_catalog(spark, tmp_path):
+    T = FieldType
+    catalog = Catalog([Definition("s", "ann", "S", {"v": "Integer", "tags": T("Array", (T("String"),))}, file_required=True), Definition("r", "ann", "R", {"v": "Integer"}, primary=Key("hash_range", "String"))])
+    catalog.set_ttl("s", "manifest", 7200)
+    assert catalog.save(spark, f"file://{tmp_path}/catalog") == 1 and Catalog.load(spark, f"file://{tmp_path}/none").by_name == {}
+    loaded = Catalog.load(spark, f"file://{tmp_path}/catalog")
+    assert loaded.by_name == catalog.by_name and loaded.ttl("s") == 7200 and loaded.frame(spark, active=True).count() == 2
+    table = RecordLog(spark, f"file://{tmp_path}/log")
+    for record, name, schema, reason in (('{"v":"x"}', "f", "s", "field"), ('{"w":1}', "f", "s", "field"), ('{"tags":[1]}', "f", "s", "field"), ('{"v":1}', None, "s", "file"), ('{"v":1}', "f", "r", "shape"), ('{"v":1}', "f", "q", "schema")):
+        with pytest.raises(write.WriteRefused) as refused:
+            table.write(filed(spark, ("create", "a", None, record, name, False)).withColumn("schema", F.lit(schema)), 1, "n", "ann", catalog=loaded)
+        assert refused.value.reason == reason
+    table.write(filed(spark, ("create", "a", None, '{"v":1,"tags":["x"]}', "f", False)), 1, "n", "ann", catalog=loaded)
+    table.write(filed(spark, ("create", "k", None, '{"v":1}', None, False)).withColumns({"schema": F.lit("r"), "range_enc": F.lit("1")}), 1, "n", "ann", catalog=loaded)
+    table.drop_schema(loaded, "s", 2, "n", "ann")
+    assert [r.schema for r in table.snapshot().collect()] == ["r"] and "s" not in loaded.by_name
+
+
+def test_files_by_content_and_by_link(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.txt", "alpha"), ("b.txt", "beta")):
+        (tmp_path / "in" / name).write_text(text)
+    contents = spark.createDataFrame([(1, b"alpha"), (2, b"gamma"), (3, b"alpha"), (4, None)], "id long, content binary")
+    for _ in range(2):
+        files.store(contents, f"file://{tmp_path}/store")
+    assert spark.read.parquet(f"file://{tmp_path}/store").count() == 2
+    none = F.lit(None).cast("string")
+    rows = contents.select("id", F.when(F.col("content").isNotNull(), files.marker(F.lit("n"), none, F.col("content"))).alias("file"))
+    linked = files.links(spark, f"file://{tmp_path}/in").select(F.lit(9).alias("id"), "file")
+    assert sorted((r.id, r.content and bytes(r.content)) for r in files.opened(rows, f"file://{tmp_path}/store").collect()) == [(1, b"alpha"), (2, b"gamma"), (3, b"alpha"), (4, None)]
+    got = spark.createDataFrame(linked.collect(), linked.schema)
+    (tmp_path / "in" / "b.txt").write_text("changed")
+    assert sorted((r.file.name, r.content and bytes(r.content)) for r in files.opened(got, f"file://{tmp_path}/store").collect()) == [("a.txt", b"alpha"), ("b.txt", None)]
+
+
+def test_jobs_run_by_the_period(spark):
+    runs = []
+    stream = feeds.every(spark, "1 second", runs.append).start()
+    for _ in range(100):
+        if len(runs) > 1:
+            break
+        time.sleep(0.2)
+    stream.stop()
+    assert runs[:2] == [0, 1]
+
+
 def test_change_pages(spark):
     rows = spark.createDataFrame([(i, "s" if i % 3 else "t", str(i), "", False) for i in range(1, 31)], "seq long, schema string, hash string, range_enc string, deleted boolean")
     assert log.page_state(rows, 0, 10) == {"head": 30, "through": 10, "gap": False}
