@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keylake.sources.work import removed, shared_folder, written
+
 #: A word, as every operator of this package counts it: ASCII white space separates.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,44 +39,45 @@ def held_out(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="keylake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, or a fresh one where that is unset (one machine)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     return whole if "://" in whole else whole.replace(":/", ":///", 1)
 
 
-def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(spark: SparkSession, df: DataFrame, tag: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write df once to a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    A working table that the new one replaces is deleted.
+    """
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = written(spark, df, path)
+    out._keylake_path = path
+    if old := getattr(replaces, "_keylake_path", None):
+        removed(spark, old)
+    return out
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs whose DataFrames are gone; it does so when their objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Rows of one Arrow batch at most: whole texts may be long, and a worker holds a batch at a time.
+#: Rows that a worker takes up at once at most: whole texts may be long.
 BATCH_ROWS = 2000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that hands Python no more than BATCH_ROWS rows at once."""
-    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-    return df
-
-
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """work for mapInArrow that hands freed memory back at its end: workers live on between tasks, beside the executor's heap."""
+    """work for mapInArrow, given batches of BATCH_ROWS at most, that hands freed memory back at its end: workers live on
+    between tasks, beside the executor's heap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(batches)
+        yield from work(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, max(batch.num_rows, 1), BATCH_ROWS))
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.llm import gbt
-from keylake.llm.common import bounded_sample, load, small_batches, spread, tidy
+from keylake.llm.common import bounded_sample, load, spread, tidy
 
 #: Training takes the pages with the smallest hash of their id, at most so many.
 TRAIN_PAGES = 1000
@@ -302,7 +302,7 @@ def extracted(pages: DataFrame, forest: gbt.Forest) -> DataFrame:
                 texts = extract_all(some["html"].to_pylist(), forest)
                 yield pa.RecordBatch.from_arrays([some["page_id"], some["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(tidy(each), "page_id bigint, url string, text string, n_chars bigint")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(tidy(each), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.llm import gbt
-from keylake.llm.common import binary, bounded_sample, load, small_batches, spread, tidy
+from keylake.llm.common import binary, bounded_sample, load, spread, tidy
 
 #: Training takes no more labelled documents than this.
 TRAIN_ROWS = 20_000
@@ -109,7 +109,7 @@ def verdicts(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
             found = judged(binary(batch, "text"), forest)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(found[k]) for k in (*COUNTS, "base_failed", "kept", "quality")]], ["doc_id", *COUNTS, "base_failed", "kept", "quality"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(judge), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, kept boolean, quality double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(judge), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, kept boolean, quality double")
 
 
 def filtered(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
@@ -119,7 +119,7 @@ def filtered(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(judged(binary(batch, "text"), forest)["kept"]))
 
-    return small_batches(docs).mapInArrow(tidy(keep), docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

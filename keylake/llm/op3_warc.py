@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import load, lookup, materialize, shared_dir, small_batches, tidy
+from keylake.llm.common import load, lookup, materialize, shared_dir, tidy
 
 LEAST_BYTES = 100
 #: A task starts another file beyond FILE_BYTES; a read takes records with gaps of up to GAP_BYTES together, up to READ_BYTES.
@@ -103,7 +103,7 @@ def write(spark: SparkSession, plan: DataFrame, folder: str) -> DataFrame:
         if out:
             out.close()
 
-    return materialize(spark, small_batches(plan).select("page_id", "url", "html", "digest", "first").mapInArrow(tidy(archive), INDEX), "warc-index")
+    return materialize(spark, plan.select("page_id", "url", "html", "digest", "first").mapInArrow(tidy(archive), INDEX), "warc-index")
 
 
 def ranges(rows: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import binary, bounded_sample, load, lookup, materialize, parallelism, small_batches, spread, tidy
+from keylake.llm.common import binary, bounded_sample, load, lookup, materialize, parallelism, spread, tidy
 from keylake.llm.components import components
 
 SHINGLE, DISTANCE, SEED, BYTES, POSTING = 4, 4, 42, 8, 4096
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
             fps = np.array([fingerprint(t) for t in binary(batch, "text")], np.uint64).astype(SIGNED)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps), *[batch[c] for c in carry]], ["doc_id", "fp", *carry])
 
-    chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     return chosen.mapInArrow(tidy(each), "doc_id bigint, fp bigint" + "".join(f", `{c}` bigint" for c in carry))
 
 
@@ -281,7 +281,7 @@ def shingle_order(spark: SparkSession, docs: DataFrame) -> Order:
             for text in binary(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(SIGNED))], ["h"])
 
-    some = bounded_sample(small_batches(docs).select("doc_id", "text"), ORDER_ROWS, "doc_id", "text").select("text")
+    some = bounded_sample(docs.select("doc_id", "text"), ORDER_ROWS, "doc_id", "text").select("text")
     counted = some.repartition(parallelism(spark)).mapInArrow(tidy(each), "h bigint").groupBy("h").agg(F.count("*").alias("c"))
     got = counted.where(F.col("c") >= ORDER_COUNT).orderBy(F.desc("c"), "h").limit(ORDER_SHINGLES).toPandas()
     h = got.h.to_numpy(SIGNED).view(np.uint64)
@@ -303,7 +303,7 @@ def profiles(spark: SparkSession, docs: DataFrame) -> DataFrame:
             columns = np.array(found, np.uint64).reshape(-1, 1 + len(PROFILE)).astype(SIGNED).T
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(keys, pa.binary()), batch["row"]], ["doc_id", "fp", *PROFILE, "keys", "row"])
 
-    chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
     return chosen.mapInArrow(tidy(each), "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in PROFILE) + ", keys binary, row bigint")
 
 
@@ -431,7 +431,7 @@ def _pairs(spark: SparkSession, sets: DataFrame, posting: int | None, cross: boo
             if times.sum():
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[pa.array(np.repeat(batch[c].to_numpy(), times)) for c in ENTRY[1:]]], ENTRY)
 
-    entries = small_batches(sets).select("keys", *ENTRY[1:]).mapInArrow(tidy(index), ", ".join(f"{c} bigint" for c in ENTRY))
+    entries = sets.select("keys", *ENTRY[1:]).mapInArrow(tidy(index), ", ".join(f"{c} bigint" for c in ENTRY))
     found = materialize(spark, _candidates(entries, posting or POSTING, cross), "copy-candidates")
     crowd, links_ = found.where("b IS NULL"), found.where("b IS NOT NULL").select(F.col("fp").alias("a"), "b", "forest")
     if not crowd.isEmpty():
@@ -469,7 +469,7 @@ def copy_links(spark: SparkSession, distinct: DataFrame, docs: DataFrame, postin
     ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
     rows = distinct.select("fp", "row").join(ends, "fp", "left_semi").select("fp", F.col("row").alias("_row"))
     texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).join(rows, F.col("row") == F.col("_row")).select("fp", "text")
-    sets = materialize(spark, small_batches(texts).mapInArrow(tidy(each), "fp bigint, shingles binary").dropDuplicates(["fp"]), "copy-sets")
+    sets = materialize(spark, texts.mapInArrow(tidy(each), "fp bigint, shingles binary").dropDuplicates(["fp"]), "copy-sets")
     good = verified(found)
     if found.where("forest").count() == good.where("forest").count():
         return good.select("a", "b")

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import load, small_batches, spread, tidy
+from keylake.llm.common import load, spread, tidy
 
 #: Pre-tokens of a leaf, and of all pre-tokens those whose count the worker keeps.
 LEAF, CACHE, SHORT = 64, 300_000, 32
@@ -256,7 +256,7 @@ def counted(docs: DataFrame, path: str, pattern: str, edits: str | None = None)
                     to.append(x)
             yield pa.RecordBatch.from_arrays([batch["_id"], *[pa.array(r, pa.int64()) for r in rows]], ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pretokens", "n_reencoded"])
 
-    chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), column.alias("_edits"))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), column.alias("_edits"))
     return chosen.mapInArrow(tidy(count), "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_pretokens bigint, n_reencoded bigint")
 
 

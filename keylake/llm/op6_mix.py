@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keylake.llm.common import WORD, load, materialize, n_words, small_batches, tidy
+from keylake.llm.common import WORD, load, materialize, n_words, tidy
 
 WEIGHTS, SHARE_PERCENT, MOST_TIMES, SEED = (3.0, 1.0, 2.0), 150, 2, 20240101
 #: A shard holds about so many words, more where that would make over MOST_SHARDS shards; a block is a millionth of
@@ -166,7 +166,7 @@ def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     out[n] = pa.array([len(cut[i]) if i in cut else x for i, x in enumerate(out[n].to_pylist())], out[n].type)
             yield pa.RecordBatch.from_arrays(out, fields.names)
 
-    return mix(spark, small_batches(docs)).where("_taken > 0").select("_row", "_turns", "_size", "_a", "_b", "_c").mapInArrow(tidy(takes), fields)
+    return mix(spark, docs).where("_taken > 0").select("_row", "_turns", "_size", "_a", "_b", "_c").mapInArrow(tidy(takes), fields)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,170 +1,367 @@
-"""Language-model scoring: a weighted backoff automaton over smoothed bigrams.
+"""Language-model scoring: a weighted backoff automaton over smoothed n-grams of up to three words.
 
-States are the root and one per context word (and the text's start); an arc (h, w) has the log-probability of w after
-h, and a state's failure arc leads to the root with the weight left for words not seen after it, where every word, known or
-not, has an arc. p(w | h) = (c(h w) + m p(w)) / (c(h) + m), with m = SMOOTH_A * c(h) ** SMOOTH_B standing for the number of
-words that may still follow h, and p(w) the add-one unigram of the base score; both sum to 1 over known words and one unknown.
+States are the root, one per word (and the text's start) and one per pair of words that some kept trigram follows. An arc (s, w)
+has the log-probability of w after s and leads to the longest state that ends in w; a failure arc (s -> s without its first
+word) has the weight left to words that s has no arc for. The root has an arc for every word, known or not. One traversal from
+left to right carries the state: it takes the arc of the next word, or failure arcs until there is one, and adds up
+weights. Texts of a block are walked side by side in pieces; a piece that starts within a text first walks the two words
+before it, which give its state whatever came earlier.
 
-The automaton of a corpus fits no machine, so it is never gathered. Documents are dealt into blocks of about BLOCK_BYTES;
-a block sends each distinct word and bigram of its texts once, with its count in training texts, to the key's shard; the
-shard adds counts up over all blocks and answers each block, in the order of its keys, with the totals; the block then holds
-just the part of the automaton that its own texts can reach, and one traversal of all its tokens from left to right scores
-them. With bigrams the state carried is the last token, so the traversal is done on arrays. A frequent word is one
-entry a block like any other, so no key is hot. Counts are exact, over all training texts; words are known by 64-bit hashes.
+Probabilities: p(w) is the add-one unigram of the base score. p(w | v) = (c(v w) + m p(w)) / (c(v) + m), and p(w | u v) =
+(c(u v w) + m p(w | v)) / (k(u v) + m), where trigrams seen once are left out, k sums those kept over all w, and m = SMOOTH_A *
+count ** SMOOTH_B stands for the number of words that may still follow. Each sums to 1 over known words and one unknown.
+
+The automaton of a corpus fits no machine, so it is never gathered. Texts are dealt into blocks of about BLOCK_BYTES, which are
+walked in a task each. In a first round a block sends each distinct word and pair of its texts once, with its count in
+training texts, to the key's shard, which adds counts up over all blocks and answers each block, in the order of its keys, with
+totals. In a second round it asks the same way for the trigrams of which both pairs occur twice or more (no other can be kept)
+and for k. The block then holds just the part of the automaton that its own texts can reach. A frequent word is one entry
+a block like any other, so no key is hot, and rows are dealt by place as well as by content, so that repeated rows spread.
+Counts are over all training texts; words are known by 64 bits of hash, pairs by 56, and followers of a pair by 32 each.
 
 Defined cases: a null text is an empty one, a single end token; a null doc_id is not held out and trains; documents
 repeated in the table train and are scored one by one; without training text every token has the base's equal
-probability. Other columns are not read.
+probability; very long texts are one row of their block. Other columns are not read. docs must come from tables, whose rows
+are read in one order each time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import held_out, load, materialize, parallelism
+from keylake.llm.common import binary, freed, held_out, load, materialize, parallelism, tidy
 
 FOLDS, SMOOTH_A, SMOOTH_B = 7, 2.0, 0.9
+#: Trigrams with fewer occurrences have no arc.
+LEAST = 2
 #: Text bytes of a block, and least ones; a shard takes about as many keys as a block sends.
 BLOCK_BYTES, LEAST_BYTES = 8 << 20, 256 << 10
+#: Tokens that are walked before a text's next piece begins.
+PIECE = 512
 END = b" "  # no word can be it
 START = np.uint64(xxhash.xxh64_intdigest(b"  "))
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-UNIGRAM, BIGRAM = 1, 2
-WIDTHS = (1, 2, 4, 8)
+UNIGRAM, BIGRAM, TRIGRAM = 1, 2, 3
+WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8)
 
 
-def _pairs(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit keys of bigrams of word hashes."""
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """56-bit keys of pairs of word hashes."""
     x = (h * ODD) ^ (w + (h >> np.uint64(29)))
     x = (x ^ (x >> np.uint64(32))) * MIX
-    return x ^ (x >> np.uint64(29))
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(8)
+
+
+# numbers in messages ----------------------------------------------------------------------------------------------------
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers in the fewest bytes that hold the largest; byte planes one after another, compressed."""
+    width = next(w for w in WIDTHS if w == 8 or int(numbers.max(initial=0)) < 1 << 8 * w)
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + zstandard.ZstdCompressor(1).compress(planes)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Rising keys: the first, and the steps to the next."""
+    return keys[:1].astype("<u8").tobytes() + _packed(np.diff(keys))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    first, steps = np.frombuffer(data[:8], "<u8"), _unpacked(data[8:])
+    return np.concatenate([first, first + np.cumsum(steps, dtype=np.uint64)])
+
+
+# blocks -----------------------------------------------------------------------------------------------------------------
 
 
 class Block:
-    """Tokens of a block's texts, in row order, and their distinct keys in key order."""
+    """Tokens of a block's texts, in row order, and their distinct keys in key order.
+
+    word and pair are the places of each token, and of each token with the one before it, in keys; texts' starts are a word of
+    their own in pairs. first has the place of each text's first token.
+    """
 
     def __init__(self, table: pa.Table):
         number: dict[bytes, int] = {}
         flat: list[int] = []
         self.length = np.zeros(len(table), np.int64)
-        for i, text in enumerate(table["text"].cast(pa.large_binary()).to_pylist()):
-            words = (text or b"").lower().split()  # lower() of bytes changes A-Z alone
+        plain = zstandard.ZstdDecompressor()
+        for i, text in enumerate(table["z"].to_pylist()):
+            words = plain.decompress(text).split()
             words.append(END)
             flat += [number.setdefault(w, len(number)) for w in words]
             self.length[i] = len(words)
-        word = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
         token = np.array(flat, np.int64)
-        order = np.argsort(word)
-        place = np.empty(len(word), np.int64)
-        place[order] = np.arange(len(word))
-        hashes = word[token]
-        before = np.roll(hashes, 1)
-        self.first = np.concatenate([[0], self.length.cumsum()[:-1]]).astype(np.int64)
+        order = np.argsort(hashes)
+        place = np.empty(len(hashes), np.int64)
+        place[order] = np.arange(len(hashes))
+        self.keys = {UNIGRAM: hashes[order]}
+        self.word = place[token]
+        self.first = np.concatenate([[0], self.length.cumsum()[:-1]]).astype(np.int64)[: len(table)]
+        before = np.roll(hashes[token], 1)
         before[self.first] = START
-        self.keys = {UNIGRAM: word[order]}
-        self.at = {UNIGRAM: place[token]}
-        self.keys[BIGRAM], self.at[BIGRAM] = np.unique(_pairs(before, hashes), return_inverse=True)
-        self.context = np.roll(self.at[UNIGRAM], 1)
-        if len(word):  # the start is followed by a word once a text, as the end is preceded by one
-            self.context[self.first] = int(np.searchsorted(self.keys[UNIGRAM], np.uint64(xxhash.xxh64_intdigest(END))))
+        self.keys[BIGRAM], self.pair = np.unique(pair_keys(before, hashes[token]), return_inverse=True)
         self.trains = np.repeat(~table["held_out"].to_numpy(zero_copy_only=False).astype(bool), self.length)
 
+    def counts(self, kind: int) -> np.ndarray:
+        return np.bincount(self.word if kind == UNIGRAM else self.pair, self.trains, len(self.keys[kind])).astype(np.int64)
 
-def _packed(numbers: np.ndarray, width: int = 0) -> bytes:
-    """Numbers in the fewest bytes that hold the largest, or in so many; byte planes one after another, as shuffles compress these best."""
-    width = width or next(w for w in WIDTHS if numbers.max(initial=0) < 1 << 8 * w)
-    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    def trigrams(self, pair_totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose trigram may be kept, the codes of their trigrams (place of the pair, 32 bits of the last word's hash),
+        the distinct codes, and the places of all pairs that may have followers."""
+        inner = np.ones(len(self.word), bool)
+        inner[self.first] = False
+        state = np.roll(self.pair, 1)
+        follows = inner & (pair_totals[state] >= LEAST)
+        at = np.flatnonzero(follows & (pair_totals[self.pair] >= LEAST))
+        tail = (self.keys[UNIGRAM][self.word[at]] >> np.uint64(32)).astype(np.int64)
+        code = (state[at] << 32) | tail
+        return at, code, np.unique(code), np.unique(state[follows])
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint64)
-    width = len(data) // n
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel()
+def _shards(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Shard of each key, rising with the key."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each key, rising with the key."""
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
-def _requests(shards: int):
-    def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block = Block(table)
-        rows: list[list] = [[], [], [], []]
-        for kind, keys in block.keys.items():
-            count = np.bincount(block.at[kind], block.trains, len(keys)).astype(np.int64)
-            to = _shards(keys, shards)
-            edge = np.flatnonzero(np.diff(to, prepend=-1))
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)], strict=True):
-                for column, x in zip(rows, (int(to[a]), kind, _packed(keys[a:b], 8), _packed(count[a:b])), strict=True):
-                    column.append(x)
-        return pa.table({"shard": pa.array(rows[0], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows[0]), pa.int32()), "kind": pa.array(rows[1], pa.int32()), "keys": pa.array(rows[2], pa.binary()), "counts": pa.array(rows[3], pa.binary())})
+REQUEST = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("fans", pa.binary()), ("tails", pa.binary())])
+REQUEST_SQL = "shard int, block int, kind int, keys binary, counts binary, fans binary, tails binary"
+ANSWER = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("totals", pa.binary()), ("sums", pa.binary()), ("words", pa.int64()), ("known", pa.int64())])
+ANSWER_SQL = "block int, kind int, shard int, totals binary, sums binary, words long, known long"
+
+
+def _stretches(to: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, start, end) of rising shard numbers."""
+    edge = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+    yield from ((int(to[a]), a, b) for a, b in zip(edge, [*edge, len(to)][1:], strict=True))
+
+
+def _first_requests(shards: int):
+    def send(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+        block, rows = Block(docs), []
+        for kind, bits in ((UNIGRAM, 64), (BIGRAM, 56)):
+            keys, count = block.keys[kind], block.counts(kind)
+            rows += [{"shard": s, "block": key[0].as_py(), "kind": kind, "keys": _packed_keys(keys[a:b]), "counts": _packed(count[a:b])} for s, a, b in _stretches(_shards(keys, bits, shards))]
+        return pa.Table.from_pylist(rows, REQUEST)
+
+    return send
+
+
+def _second_requests(shards: int):
+    def send(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
+        block, rows = Block(docs), []
+        at, code, distinct, states = block.trigrams(_totals(answers, BIGRAM)[0])
+        count = np.bincount(np.searchsorted(distinct, code), block.trains[at], len(distinct)).astype(np.int64)
+        ends = np.searchsorted(distinct, states + 1 << 32)
+        for s, a, b in _stretches(_shards(block.keys[BIGRAM][states], 56, shards)):
+            x, y = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
+            fans, tails = np.diff(ends[a:b], prepend=x), distinct[x:y] & 0xFFFFFFFF
+            rows.append({"shard": s, "block": key[0].as_py(), "kind": TRIGRAM, "keys": _packed_keys(block.keys[BIGRAM][states[a:b]]), "counts": _packed(count[x:y]), "fans": _packed(fans), "tails": _packed(tails)})
+        return pa.Table.from_pylist(rows, REQUEST)
 
     return send
 
 
 def _answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Totals of a shard's keys, for each block in its own order; the first unigram row has the shard's sum and number of known words."""
-    block, kind = table["block"].to_numpy(), table["kind"].to_numpy()
-    keys, counts = table["keys"].to_pylist(), table["counts"].to_pylist()
-    totals: list[bytes] = [b""] * len(table)
-    words, known = np.zeros(len(table), np.int64), np.zeros(len(table), np.int64)
-    for k in (UNIGRAM, BIGRAM):
-        rows = np.flatnonzero(kind == k).tolist()
+    """Totals of a shard's keys, for each block in its own order; the first row of words has the shard's sum and number of known ones.
+
+    Of trigrams the totals of those kept (others are 0), and as sums k of each pair.
+    """
+    kinds, out = table["kind"].to_numpy(), []
+    base = [{"block": b, "kind": k, "shard": key[0].as_py(), "words": 0, "known": 0} for b, k in zip(table["block"].to_pylist(), kinds.tolist(), strict=True)]
+    packed = {c: table[c].to_pylist() for c in ("keys", "counts", "fans", "tails")}
+    for kind in (UNIGRAM, BIGRAM, TRIGRAM):
+        rows = np.flatnonzero(kinds == kind).tolist()
         if not rows:
             continue
-        unique, at = np.unique(np.concatenate([_unpacked(keys[i], len(keys[i]) // 8) for i in rows]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([_unpacked(counts[i], len(keys[i]) // 8) for i in rows]), len(unique)).astype(np.int64)
-        if k == UNIGRAM:
-            words[rows[0]], known[rows[0]] = int(total.sum()), int((total > 0).sum())
-        each = total[at]
-        edge = np.cumsum([0] + [len(keys[i]) // 8 for i in rows])
-        for i, a, b in zip(rows, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            totals[i] = _packed(each[a:b])
-    size = pa.array([len(k) // 8 for k in keys], pa.int32())
-    return pa.table({"block": pa.array(block, pa.int32()), "kind": pa.array(kind, pa.int32()), "shard": pa.array([key[0].as_py()] * len(table), pa.int32()), "size": size, "totals": pa.array(totals, pa.binary()), "words": pa.array(words), "known": pa.array(known)})
+        keys = [_unpacked_keys(packed["keys"][i]) for i in rows]
+        counts = [_unpacked(packed["counts"][i]) for i in rows]
+        unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = None
+        if kind == TRIGRAM:
+            fans = np.concatenate([_unpacked(packed["fans"][i]) for i in rows]).astype(np.int64)
+            code = (np.repeat(at, fans) << 32) | np.concatenate([_unpacked(packed["tails"][i]) for i in rows]).astype(np.int64)
+            several, place = np.unique(code, return_inverse=True)
+            total = np.bincount(place, np.concatenate(counts), len(several)).astype(np.int64)
+            total[total < LEAST] = 0
+            sums = np.bincount(several >> 32, total, len(unique)).astype(np.int64)[at]
+            each = total[place]
+        else:
+            total = np.bincount(at, np.concatenate(counts), len(unique)).astype(np.int64)
+            each = total[at]
+            if kind == UNIGRAM:
+                base[rows[0]] |= {"words": int(total.sum()), "known": int((total > 0).sum())}
+        x = y = 0
+        for i, k, c in zip(rows, keys, counts, strict=True):
+            out.append({**base[i], "totals": _packed(each[x : x + len(c)]), "sums": _packed(sums[y : y + len(k)]) if sums is not None else None})
+            x, y = x + len(c), y + len(k)
+    return pa.Table.from_pylist(out, ANSWER)
+
+
+def _totals(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Totals and sums of a kind, in the order of the block's keys."""
+    rows = sorted((s, t, u) for k, s, t, u in zip(*(answers[c].to_pylist() for c in ("kind", "shard", "totals", "sums")), strict=True) if k == kind)
+    join = lambda parts: np.concatenate([_unpacked(x).astype(np.int64) for x in parts] or [np.zeros(0, np.int64)])
+    return join(t for _, t, _ in rows), join(u for _, _, u in rows if u is not None)
+
+
+# the automaton ------------------------------------------------------------------------------------------------------------
+
+
+def leftover(count: np.ndarray) -> np.ndarray:
+    """m: how many words may still follow what was seen so often."""
+    return SMOOTH_A * count.astype(float) ** SMOOTH_B
+
+
+class Automaton:
+    """The part of the backoff automaton that a block's texts reach.
+
+    States: words by their places, then the start, then pairs, then the root (the last). Arcs of words and pairs are sorted by
+    state and word; the root's are one a word.
+    """
+
+    def __init__(self, block: Block, n: int, v: int, words: np.ndarray, pairs: np.ndarray, trigrams: np.ndarray, sums: np.ndarray):
+        size = self.words = len(words)
+        end = int(np.searchsorted(block.keys[UNIGRAM], np.uint64(xxhash.xxh64_intdigest(END)))) if size else 0
+        count = np.append(words, words[end] if size else 0)  # the start occurs as often as the end
+        self.start = size
+        probability = (words + 1) / (n + v + 1)
+        # what each distinct pair consists of
+        one = np.zeros(len(pairs), np.int64)
+        one[block.pair] = np.arange(len(block.pair))
+        last, before = block.word[one], np.roll(block.word, 1)
+        before[block.first] = self.start
+        head = before[one]
+        m = leftover(count)
+        follows = (pairs + m[head] * probability[last]) / np.where(count[head] > 0, count[head] + m[head], 1)
+        follows = np.where(count[head] > 0, follows, probability[last])
+        # pair states: those with kept trigrams
+        at, code, distinct, followed = block.trigrams(pairs)
+        states = followed[sums > 0]
+        kept = sums[sums > 0]
+        self.root = size + 1 + len(states)
+        state_of = np.full(len(pairs), -1)
+        state_of[states] = size + 1 + np.arange(len(states))
+        to = np.where(state_of >= 0, state_of, last)
+        # arcs of words
+        some = np.flatnonzero(pairs > 0)
+        arcs = [(head[some] * size + last[some], np.log10(follows[some]), to[some])]
+        # arcs of pairs
+        _, i = np.unique(code, return_index=True)
+        token, live = at[i], trigrams > 0
+        token, c = token[live], trigrams[live]
+        own = state_of[np.roll(block.pair, 1)[token]]
+        k = kept[own - size - 1]
+        w = leftover(k)
+        arcs.append((own * size + block.word[token], np.log10((c + w * follows[block.pair[token]]) / (k + w)), to[block.pair[token]]))
+        codes, weights, targets = (np.concatenate(x) for x in zip(*arcs, strict=True))
+        order = np.argsort(codes)
+        self.codes, self.weights, self.targets = codes[order], weights[order], targets[order]
+        self.root_weights = np.log10(probability)
+        ratio = lambda c: np.where(c > 0, np.log10(np.maximum(leftover(c), 1e-300) / np.maximum(c + leftover(c), 1e-300)), 0.0)
+        self.fail_weights = np.concatenate([ratio(count), ratio(kept)])
+        self.fails = np.concatenate([np.full(size + 1, self.root), last[states]])
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and the weights on the way, failure arcs included."""
+        state, out = state.copy(), np.zeros(len(state))
+        open_ = np.arange(len(state))
+        while len(open_):
+            s, w = state[open_], word[open_]
+            code = s * self.words + w
+            arc = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
+            root = s == self.root
+            hit = (self.codes[arc] == code) & ~root if len(self.codes) else np.zeros(len(s), bool)
+            out[open_[hit]] += self.weights[arc[hit]]
+            state[open_[hit]] = self.targets[arc[hit]]
+            out[open_[root]] += self.root_weights[w[root]]
+            state[open_[root]] = w[root]
+            open_ = open_[~hit & ~root]
+            out[open_] += self.fail_weights[state[open_]]
+            state[open_] = self.fails[state[open_]]
+        return state, out
+
+
+def walked(automaton: Automaton, block: Block) -> np.ndarray:
+    """Weight of each token, by pieces of the texts side by side."""
+    parts = -(-block.length // PIECE)
+    text = np.repeat(np.arange(len(block.length)), parts)
+    number = np.arange(len(text)) - np.repeat(parts.cumsum() - parts, parts)
+    start = block.first[text] + number * PIECE
+    size = np.minimum(PIECE, block.length[text] - number * PIECE)
+    order = np.argsort(-size, kind="stable")
+    start, size, inner = start[order], size[order], number[order] > 0
+    out = np.zeros(len(block.word))
+    state = np.where(inner, automaton.root, automaton.start)
+    for back in (2, 1):
+        state[inner], _ = automaton.step(state[inner], block.word[start[inner] - back])
+    for t in range(int(size.max(initial=0))):
+        active = int(np.searchsorted(-size, -t, side="left"))  # pieces are sorted by size, longest first
+        here = start[:active] + t
+        state[:active], out[here] = automaton.step(state[:active], block.word[here])
+    return out
 
 
 def _scorer(n: int, v: int):
     def score(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(docs)
-        total = {}
-        for kind in block.keys:
-            mine = sorted((s, t, z) for k, s, t, z in zip(*(answers[c].to_pylist() for c in ("kind", "shard", "totals", "size")), strict=True) if k == kind)
-            total[kind] = np.concatenate([_unpacked(t, z).astype(float) for _, t, z in mine] or [np.zeros(0)])
-        c = total[UNIGRAM]
-        root = np.log10((c + 1) / (n + v + 1))  # arcs of the root, by word
-        m = SMOOTH_A * c**SMOOTH_B
-        fail = np.where(c > 0, np.log10(np.maximum(m, 1e-300) / np.maximum(c + m, 1e-300)), 0.0)  # failure arcs, by context
-        word, state, arc = block.at[UNIGRAM], block.context, block.at[BIGRAM]
-        seen = total[BIGRAM][arc]
-        step = fail[state] + root[word]
-        has = seen > 0
-        x, h = 10.0 ** root[word[has]], state[has]
-        step[has] = np.log10((seen[has] + m[h] * x) / (c[h] + m[h]))
+        words, (pairs, _), (trigrams, sums) = _totals(answers, UNIGRAM)[0], _totals(answers, BIGRAM), _totals(answers, TRIGRAM)
+        step = walked(Automaton(block, n, v, words, pairs, trigrams, sums), block)
         add = lambda x: np.add.reduceat(x, block.first) if len(block.first) else x[:0]
-        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(block.length), "n_known": pa.array(add((c[word] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(docs), n)), "base_score": pa.array(add(root[word])), "score": pa.array(add(step))})
+        base = np.log10((words + 1) / (n + v + 1))[block.word]
+        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(block.length), "n_known": pa.array(add((words[block.word] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(docs), n)), "base_score": pa.array(add(base)), "score": pa.array(add(step))})
 
     return score
 
 
+def _dealt(docs: DataFrame, blocks: int, parts: int) -> DataFrame:
+    """doc_id, held_out, block and z (the lower-case text, compressed), all rows of a block in one partition."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(1)
+        for batch in batches:
+            z = [small.compress((t or b"").lower()) for t in binary(batch, "text")]  # lower() of bytes changes A-Z alone
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], batch["block"], pa.array(z, pa.binary())], ["doc_id", "held_out", "block", "z"])
+
+    block = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    rows = docs.select("doc_id", "text", "held_out", block.alias("block"))
+    return rows.mapInArrow(tidy(squeeze), "doc_id long, held_out boolean, block int, z binary").repartition(parts, "block")
+
+
 def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """A row per document of docs (doc_id, text, held_out): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES), min(parallelism(spark), size // LEAST_BYTES))
-    dealt = docs.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    sent = dealt.groupBy("block").applyInArrow(_requests(blocks), "shard int, block int, kind int, keys binary, counts binary")
-    answers = sent.groupBy("shard").applyInArrow(_answers, "block int, kind int, shard int, size int, totals binary, words long, known long")
-    answers = materialize(spark, answers, "lm-totals")
-    n, v = answers.agg(F.sum("words"), F.sum("known")).first()
-    back = answers.select("block", "kind", "shard", "size", "totals").groupBy("block")
+    parts = max(blocks, parallelism(spark))  # a task holds about one block, however large the corpus
+    dealt = lambda: _dealt(docs, blocks, parts).groupBy("block")
+
+    def answered(requests: DataFrame, tag: str) -> DataFrame:
+        return materialize(spark, requests.repartition(parts, "shard").groupBy("shard").applyInArrow(_answers, ANSWER_SQL), tag)
+
+    first = answered(dealt().applyInArrow(_first_requests(blocks), REQUEST_SQL), "lm-words")
+    freed(spark)
+    n, v = first.agg(F.sum("words"), F.sum("known")).first()
+    back = lambda df: df.repartition(parts, "block").groupBy("block")
+    second = answered(dealt().cogroup(back(first.where(F.col("kind") == BIGRAM))).applyInArrow(_second_requests(blocks), REQUEST_SQL), "lm-trigrams")
+    freed(spark)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(back).applyInArrow(_scorer(int(n or 0), int(v or 0)), schema)
+    return dealt().cogroup(back(first.union(second))).applyInArrow(_scorer(int(n or 0), int(v or 0)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

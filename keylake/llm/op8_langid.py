@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keylake.llm.common import held_out, load, materialize, small_batches, spread, tidy
+from keylake.llm.common import held_out, load, materialize, spread, tidy
 
 FOLDS, DIM_BITS, ORDERS, CENTROIDS = 4, 14, 4, 4
 DIM = 1 << DIM_BITS
@@ -133,7 +133,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM)), pa.array(np.concatenate([[n], df]))], ["place", "df"])
 
     # over all rows; place -1 holds the number of rows
-    places = small_batches(marked).select("text").mapInArrow(tidy(frequencies), "place bigint, df bigint")
+    places = marked.select("text").mapInArrow(tidy(frequencies), "place bigint, df bigint")
     got = {r["place"]: r["df"] for r in places.groupBy("place").agg(F.sum("df").alias("df")).collect()}
     idf = np.log((1 + got.get(-1, 0)) / (1 + np.array([got.get(i, 0) for i in range(DIM)]))) + 0.1
 
@@ -164,7 +164,7 @@ def identified(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, rejected = shipped.value.predict(some["_text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([some["_id"], some["_held_out"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), held_out(F.col("doc_id"), FOLDS).alias("_held_out"), F.col("text").alias("_text"))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), held_out(F.col("doc_id"), FOLDS).alias("_held_out"), F.col("text").alias("_text"))
     return chosen.mapInArrow(tidy(predict), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
@@ -179,7 +179,7 @@ def filtered(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                 some = batch.slice(at, AT_ONCE)
                 yield some.filter(pa.array(~shipped.value.predict(some.column(place).to_pylist())[2]))
 
-    return small_batches(docs).mapInArrow(tidy(keep), docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

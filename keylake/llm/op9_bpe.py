@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import load, small_batches, spread, tidy
+from keylake.llm.common import load, spread, tidy
 
 #: Stands for the word end within a word's string; the file's pattern never lets it into a word.
 END = "\0"
@@ -233,7 +233,7 @@ def encoded(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFram
                 yield pa.RecordBatch.from_arrays([some["_id"], *[some[c.name] for c in extra], pa.array([len(i) // 4 for i, _ in got], pa.int64()), ids, pa.array([d for _, d in got], pa.string())], ["doc_id", *carry, "n_tokens", "ids", "decoded"])
 
     schema = "doc_id bigint, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in extra) + "n_tokens bigint, ids array<int>, decoded string"
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *carry).mapInArrow(tidy(encode), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *carry).mapInArrow(tidy(encode), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -250,7 +250,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                         to.append(x)
             yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.string()), pa.array(sums[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).mapInArrow(tidy(digest), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).mapInArrow(tidy(digest), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:

@@ -84,19 +84,40 @@ def test_passage():
 
 
 # op7 --------------------------------------------------------------------------------------------------------------------
-def brute_lm(rows):
+def brute_counts(rows):
+    """Texts as words, and counts of words, pairs, kept trigrams and their sums, all in training texts."""
     texts = [((t or "").encode().lower().split() + [b" "], h) for _, t, h in rows]
     c = Counter(w for t, h in texts if not h for w in t)
     pairs = Counter(p for t, h in texts if not h for p in zip([b" ", *t], t))
-    n, v = sum(c.values()), len(c)
+    trigrams = {k: n for k, n in Counter(p for t, h in texts if not h for p in zip([b" ", *t], t, t[1:])).items() if n >= 2}
+    sums = Counter()
+    for (a, b, _), n in trigrams.items():
+        sums[a, b] += n
+    return texts, c, pairs, trigrams, sums
+
+
+def m(n):
+    return op7_lm.SMOOTH_A * n**op7_lm.SMOOTH_B
+
+
+def chances(w, v, u, counts):
+    """p(w) and p(w | u v); u is None at a text's start."""
+    _, c, pairs, trigrams, sums = counts
+    p = base = (c[w] + 1) / (sum(c.values()) + len(c) + 1)
+    if c[v]:
+        p = (pairs[v, w] + m(c[v]) * p) / (c[v] + m(c[v]))
+    if sums[u, v]:
+        p = (trigrams.get((u, v, w), 0) + m(sums[u, v]) * p) / (sums[u, v] + m(sums[u, v]))
+    return base, p
+
+
+def brute_lm(rows):
+    counts = brute_counts(rows)
     out = []
-    for (i, _, h), (t, _) in zip(rows, texts, strict=True):
-        base = [(c[w] + 1) / (n + v + 1) for w in t]
-        p = []
-        for a, w, x in zip([b" ", *t], t, base):
-            m = op7_lm.SMOOTH_A * c[a] ** op7_lm.SMOOTH_B
-            p.append((pairs[a, w] + m * x) / (c[a] + m) if c[a] else x)
-        out.append((i, h, len(t), sum(c[w] > 0 for w in t), n, sum(map(math.log10, base)), sum(map(math.log10, p))))
+    for (i, _, h), (t, _) in zip(rows, counts[0], strict=True):
+        both = [chances(w, v, u, counts) for u, v, w in zip([None, b" ", *t], [b" ", *t], t)]
+        c = counts[1]
+        out.append((i, h, len(t), sum(c[w] > 0 for w in t), sum(c.values()), sum(math.log10(x) for x, _ in both), sum(math.log10(x) for _, x in both)))
     return out
 
 
@@ -107,14 +128,41 @@ def lm_rows(seed=1):
     return rows + [(500, None, False), (None, "a b", False), rows[5], rows[5], (501, "unseen words", True)]
 
 
-@pytest.mark.parametrize("block", [8 << 20, 2000])
-def test_scores_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,piece", [(8 << 20, 512), (2000, 3)])
+def test_scores_equal_brute_force(spark, monkeypatch, block, piece):
     monkeypatch.setattr(op7_lm, "BLOCK_BYTES", block)
+    monkeypatch.setattr(op7_lm, "LEAST_BYTES", block)
     rows = lm_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").withColumns({"block": F.lit("clash"), "score": F.lit(1)})
     got = sorted(map(tuple, op7_lm.scored(spark, docs).collect()), key=str)
     for g, w in zip(got, sorted(brute_lm(rows), key=str), strict=True):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:])
+    assert len(brute_counts(rows)[3]) > 100
+
+
+def test_pieces_and_blocks_do_not_change_scores(monkeypatch):
+    """The walk in pieces of any size equals a walk token by token; repeated rows and very long texts too."""
+    import pyarrow as pa
+    import zstandard
+
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abcde") for _ in range(n)) for n in (0, 1, 2, 3, 7, 30, 30, 4000)] * 2
+    small = zstandard.ZstdCompressor(1)
+    table = pa.table({"z": pa.array([small.compress(t.encode()) for t in texts], pa.binary()), "held_out": pa.array([i % 5 == 1 for i in range(len(texts))])})
+    rows = [(i, t, i % 5 == 1) for i, t in enumerate(texts)]
+    counts = brute_counts(rows)
+    block = op7_lm.Block(table)
+    words, pairs = block.counts(op7_lm.UNIGRAM), block.counts(op7_lm.BIGRAM)
+    at, code, distinct, states = block.trigrams(pairs)
+    totals = np.bincount(np.searchsorted(distinct, code), block.trains[at], len(distinct)).astype(int)
+    totals[totals < 2] = 0
+    sums = np.array([totals[(distinct >> 32) == s].sum() for s in states])
+    automaton = op7_lm.Automaton(block, int(words.sum()), int((words > 0).sum()), words, pairs, totals, sums)
+    want = [math.log10(chances(w, v, u, counts)[1]) for t, _ in counts[0] for u, v, w in zip([None, b" ", *t], [b" ", *t], t)]
+    for piece in (2, 5, 512, 10**6):
+        monkeypatch.setattr(op7_lm, "PIECE", piece)
+        assert op7_lm.walked(automaton, block) == pytest.approx(want)
+    assert (automaton.fails[automaton.start + 1 :] < len(words)).all() and (automaton.fails[: automaton.start + 1] == automaton.root).all()
 
 
 def test_scores_without_training_text(spark):
@@ -124,13 +172,10 @@ def test_scores_without_training_text(spark):
 
 
 def test_probabilities_of_next_words_sum_to_one():
-    rows = lm_rows()
-    texts = [(t or "").encode().lower().split() + [b" "] for _, t, h in rows if not h]
-    c, pairs = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip([b" ", *t], t))
-    n, v = sum(c.values()), len(c)
-    for a in list(c)[:10]:
-        m = op7_lm.SMOOTH_A * c[a] ** op7_lm.SMOOTH_B
-        assert sum((pairs[a, w] + m * (c[w] + 1) / (n + v + 1)) / (c[a] + m) for w in c) + m / (n + v + 1) / (c[a] + m) == pytest.approx(1)
+    counts = brute_counts(lm_rows())
+    _, c, _, _, sums = counts
+    for u, v in [*list(sums)[:10], (None, b" "), (None, b"a")]:
+        assert sum(chances(w, v, u, counts)[1] for w in [*c, b"never seen"]) == pytest.approx(1)
 
 
 def test_model_beats_the_base_on_held_out_text(spark, sf):
@@ -140,10 +185,13 @@ def test_model_beats_the_base_on_held_out_text(spark, sf):
 
 
 def test_packed_numbers():
-    for top in (0, 255, 256, 2**16, 2**32, 2**63):
+    for top in (0, 255, 256, 2**16, 2**32, 2**40, 2**63):
         x = np.array([0, top, 1, 7], np.uint64)
-        assert (op7_lm._unpacked(op7_lm._packed(x), 4) == x).all()
-    assert len(op7_lm._unpacked(b"", 0)) == 0
+        assert (op7_lm._unpacked(op7_lm._packed(x)) == x).all()
+        assert (op7_lm._unpacked_keys(op7_lm._packed_keys(np.sort(x))) == np.sort(x)).all()
+    for none in (np.zeros(0, np.uint64), np.zeros(0, np.int64)):
+        assert len(op7_lm._unpacked(op7_lm._packed(none))) == 0
+    assert op7_lm._unpacked_keys(op7_lm._packed_keys(np.array([5], np.uint64))).tolist() == [5]
 
 
 def test_held_out_is_crc32(spark):
