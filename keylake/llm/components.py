@@ -1,24 +1,33 @@
-"""Connected components of a link table, by large-star and small-star rounds: a few shuffles each, no group held whole."""
+"""Connected components of a link table, by large-star and small-star rounds: a few shuffles each, no group held whole.
+
+A star of very many links has one centre; what its links look up by that centre is a row of the centre's own, so heavy
+centres are few rows that are broadcast while all others meet in a join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import materialize
+from keylake.llm.common import lookup, materialize
+
+
+def _least(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """a, m (the least b of its links) and n (how many), once per a."""
+    return materialize(spark, links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "links-least")
 
 
-def _round(spark: SparkSession, links: DataFrame) -> DataFrame:
+def _round(spark: SparkSession, links: DataFrame, total: int) -> DataFrame:
     """One large-star and one small-star step over links (a > b); keeps components, and flattens them towards their minimum."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    least = _least(spark, both)
     # large star: every larger neighbour of a moves to the least of a and its neighbours
-    large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-    large = materialize(spark, large.union(least.where("k > m").select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "links")
+    moved = lookup(both.where("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a > b")
+    large = materialize(spark, moved.union(least.where("a > m").select("a", F.col("m").alias("b"))).distinct(), "links")
     # small star: a and all its smaller neighbours move to the least of these
-    low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-    small = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-    return materialize(spark, small.union(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "links")
+    low = _least(spark, large)
+    moved = lookup(large, low, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
+    return materialize(spark, moved.union(low.select("a", F.col("m").alias("b"))).distinct(), "links", replaces=large)
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -33,4 +42,4 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         nodes = links.agg(F.count("*").alias("n"), F.countDistinct("a").alias("k")).first()
         if nodes["n"] == nodes["k"] and links.select("b").join(links.select(F.col("a").alias("k")), F.col("b") == F.col("k"), "left_semi").isEmpty():
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        links = _round(spark, links)
+        links = _round(spark, links, nodes["n"])

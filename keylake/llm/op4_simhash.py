@@ -1,11 +1,11 @@
 """SimHash near-duplicates: byte-position inverted index with count filtering.
 
 A fingerprint has eight bytes. Two that differ in at most four bits differ in at most four bytes, so they share at
-least four of eight positional bytes: the guaranteed minimum. The inverted index is therefore keyed by four positions
-and their bytes (70 keys a fingerprint): every pair that reaches the minimum meets in a posting, and pairs that share
-fewer bytes meet nowhere, so the tally needs no table of pairs. In a posting the count of shared bytes is four plus the
-equal ones of the other four; only pairs up to the bit distance are verified links. A posting sends on a spanning forest
-of its links, at most one link a member, never its pairs.
+least four of eight positional bytes: the guaranteed minimum. Postings of single positional bytes would hold a 256th of all
+fingerprints each, so the inverted index is keyed by four positions and their bytes at once (70 keys a fingerprint): pairs
+with fewer shared bytes meet nowhere. Where a pair meets, its shared positional bytes are tallied; pairs that reach the minimum are
+retained, and of these the ones within four bits are verified links. A posting sends on a spanning forest of its links, at most
+one link a member, never its pairs.
 
 Only distinct fingerprints enter the index, so copies don't enlarge postings. A posting of over POSTING members (many near
 copies) is not compared pairwise: its members all spell out the fingerprints within half the distance, and two that spell
@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.llm.common import binary, bounded_sample, load, lookup, materialize, parallelism, spread, tidy
@@ -67,13 +67,24 @@ def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
     return chosen.mapInArrow(tidy(each), "doc_id bigint, fp bigint" + "".join(f", `{c}` bigint" for c in carry))
 
 
-def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Whether fingerprints are near, for all of a (rows) against all of b (columns); the last axis holds 64-bit words."""
-    return sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.int16) for k in range(a.shape[1])) <= distance
+LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
 
 
-def _forest(bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints [members, words]: places, by breadth-first search in blocks."""
+def shared_bytes(apart: np.ndarray) -> np.ndarray:
+    """Tally of the positional bytes that two fingerprints share, from their exclusive or."""
+    return BYTES - np.bitwise_count((((apart & LOW) + LOW) | apart) & ~LOW)
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether fingerprints a and b (unsigned) are linked: the tally reaches the minimum, and the bits then agree."""
+    apart = a ^ b
+    near = shared_bytes(apart) >= BYTES - DISTANCE
+    near[near] = np.bitwise_count(apart[near]) <= DISTANCE
+    return near
+
+
+def _forest(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among distinct fingerprints: places, by breadth-first search in blocks."""
     root = np.full(len(bits), -1)
     a, b = [np.array([], np.int64)], [np.array([], np.int64)]
     for start in range(len(bits)):
@@ -88,7 +99,7 @@ def _forest(bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
             new = np.zeros(len(rest), bool)
             for at in range(0, len(frontier), 256):
                 open_ = np.flatnonzero(~new)
-                new[open_] = _near(bits[frontier[at : at + 256]], bits[rest[open_]], distance).any(0)
+                new[open_] = _near(bits[frontier[at : at + 256], None], bits[None, rest[open_]]).any(0)
             frontier = rest[new]
             root[frontier] = start
             a.append(frontier)
@@ -102,8 +113,8 @@ def _spelled(fps: np.ndarray, within: int) -> np.ndarray:
     return fps[:, None] ^ np.array(masks, np.uint64).view(SIGNED)[None, :]
 
 
-def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, posting: int = POSTING) -> DataFrame:
-    """Links a, b among distinct fingerprints (fp) that have the same components as all pairs within the distance."""
+def links(spark: SparkSession, distinct: DataFrame, posting: int = POSTING) -> DataFrame:
+    """Links a, b among distinct fingerprints (fp) that have the same components as all pairs within DISTANCE bits."""
     sets = np.array(SETS, np.uint64).view(SIGNED)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +135,7 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, po
             pair = first[sizes == 2]  # by far the most common
             if len(pair):
                 x, y = fps[pair], fps[pair + 1]
-                near = np.bitwise_count((x ^ y).view(np.uint64)) <= distance
+                near = _near(x.view(np.uint64), y.view(np.uint64))
                 a.append(x[near])
                 b.append(y[near])
             for f, z in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
@@ -132,7 +143,7 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, po
                     big.append(fps[f : f + z])
                 else:
                     some = fps[f : f + z]
-                    x, y = _forest(some.view(np.uint64)[:, None], distance)
+                    x, y = _forest(some.view(np.uint64))
                     a.append(some[x])
                     b.append(some[y])
             none = np.array([], SIGNED)
@@ -174,7 +185,7 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, po
         for batch in batches:
             fps = batch["fp"].to_numpy()
             for at in range(0, len(fps), 64):
-                some = _spelled(fps[at : at + 64], distance // 2)
+                some = _spelled(fps[at : at + 64], DISTANCE // 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fps[at : at + 64], some.shape[1])), pa.array(some.ravel())], ["fp", "variant"])
 
     spelled = crowded.mapInArrow(tidy(spell), "fp bigint, variant bigint")
@@ -183,25 +194,27 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, po
     return found.where("b IS NOT NULL").union(meeting)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fp (the fingerprint as a signed long), root (the least fp of the component), component_id."""
-    return grouped(spark, materialize(spark, fingerprints(docs), "simhash"), lambda distinct: links(spark, distinct, distance))
+    return grouped(spark, materialize(spark, fingerprints(docs), "simhash"), "fp", lambda distinct: links(spark, distinct))
 
 
-def grouped(spark: SparkSession, each: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """each (doc_id, fp and further columns) with root and component_id. linked gives the links a, b of distinct fingerprints.
+def grouped(spark: SparkSession, each: DataFrame, key: str, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """each (doc_id, key and further columns) with root and component_id. linked gives the links a, b of distinct fingerprints.
 
-    linked sees fp and any PROFILE columns, keys and row.
+    linked sees fp (the key itself, or a number for each distinct key) and any PROFILE columns, keys and row.
     """
     carried = [c for c in (*PROFILE, "keys", "row") if c in each.columns]
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in carried])
+    distinct = each.groupBy(key).agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in carried])
+    distinct = distinct if key == "fp" else distinct.withColumn("fp", F.monotonically_increasing_id())
     distinct = materialize(spark, distinct, "simhash-distinct")
     found = components(spark, linked(distinct))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "times", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "times", "root", "component_id")
-    total = distinct.agg(F.sum("times")).first()[0] or 0
-    return lookup(each.drop(*PROFILE, "keys"), classes, "fp", "times", total)
+    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select(key, "times", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(spark, rooted, "simhash-roots")
+    ids = materialize(spark, rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-ids")
+    total, nodes = distinct.agg(F.sum("times"), F.count("*")).first()
+    classes = lookup(rooted.drop("least"), ids, "root", "n", nodes)
+    return lookup(each.drop(*PROFILE, "keys"), classes, key, "times", total or 0)
 
 
 # near copies of documents -----------------------------------------------------------------------------------------------
@@ -246,14 +259,18 @@ def shingles(text: bytes | None) -> np.ndarray:
 
 
 def _profile(hashes: np.ndarray) -> list[int]:
-    if not len(hashes):
-        return [0, 0, 0, 0]
-    return [xxhash.xxh3_64_intdigest(hashes[:, 0].tobytes()), len(hashes), *_majority(hashes).tolist()]
+    return [len(hashes), *_majority(hashes).tolist()] if len(hashes) else [0, 0, 0]
+
+
+def profile(text: bytes | None) -> tuple[bytes, list[int]]:
+    """A digest of the set of a text's shingles; its size, and two words of its fingerprint (zero without words)."""
+    hashes = _hashes(text)
+    return xxhash.xxh3_128_digest(hashes.tobytes()), _profile(hashes)
 
 
-def profile(text: bytes | None) -> np.ndarray:
-    """A hash of the set of a text's shingles, its size, and two words of its fingerprint; zero without words."""
-    return np.array(_profile(_hashes(text)), np.uint64)
+def row_key() -> Column:
+    """128 bits that tell rows of different doc_id or text apart; rows repeated whole have the same."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
 
 
 def prefix(found: np.ndarray, order: Order) -> np.ndarray:
@@ -290,21 +307,22 @@ def shingle_order(spark: SparkSession, docs: DataFrame) -> Order:
 
 
 def profiles(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, fp (a hash of the set of shingles), the PROFILE columns, keys, and row (a hash of id and text)."""
+    """doc_id, digest (of the set of shingles), the PROFILE columns, keys, and row (which row_key gives)."""
     order = spark.sparkContext.broadcast(shingle_order(spark, docs))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, keys = [], []
+            digests, found, keys = [], [], []
             for text in binary(batch, "text"):
                 hashes = _hashes(text)
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 found.append(_profile(hashes))
                 keys.append(prefix(hashes[:, 0], order.value).tobytes())
-            columns = np.array(found, np.uint64).reshape(-1, 1 + len(PROFILE)).astype(SIGNED).T
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(keys, pa.binary()), batch["row"]], ["doc_id", "fp", *PROFILE, "keys", "row"])
+            columns = np.array(found, np.uint64).reshape(-1, len(PROFILE)).astype(SIGNED).T
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(keys, pa.binary()), batch["row"]], ["doc_id", "digest", *PROFILE, "keys", "row"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    return chosen.mapInArrow(tidy(each), "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in PROFILE) + ", keys binary, row bigint")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
+    return chosen.mapInArrow(tidy(each), "doc_id bigint, digest binary" + "".join(f", {c} bigint" for c in PROFILE) + ", keys binary, row struct<a:bigint,b:bigint>")
 
 
 #: Rows of the index: a key, a set of shingles with its profile and the group it is known to be in.
@@ -468,7 +486,7 @@ def copy_links(spark: SparkSession, distinct: DataFrame, docs: DataFrame, postin
     found = _pairs(spark, distinct.withColumn("grp", F.col("fp")), posting, False)
     ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
     rows = distinct.select("fp", "row").join(ends, "fp", "left_semi").select("fp", F.col("row").alias("_row"))
-    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).join(rows, F.col("row") == F.col("_row")).select("fp", "text")
+    texts = docs.select("text", row_key().alias("row")).join(rows, F.col("row") == F.col("_row")).select("fp", "text")
     sets = materialize(spark, texts.mapInArrow(tidy(each), "fp bigint, shingles binary").dropDuplicates(["fp"]), "copy-sets")
     good = verified(found)
     if found.where("forest").count() == good.where("forest").count():
@@ -482,15 +500,15 @@ def copy_links(spark: SparkSession, distinct: DataFrame, docs: DataFrame, postin
 
 
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp, row, root and component_id, by links of near copies (Jaccard similarity of five-word shingles of 0.8 and more)."""
-    return grouped(spark, materialize(spark, profiles(spark, docs), "profiles"), lambda distinct: copy_links(spark, distinct, docs))
+    """One row per document: doc_id, digest, row, root and component_id, by links of near copies (Jaccard similarity of five-word shingles of 0.8 and more)."""
+    return grouped(spark, materialize(spark, profiles(spark, docs), "profiles"), "digest", lambda distinct: copy_links(spark, distinct, docs))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, with all its columns: that with the smallest doc_id, a null one only if there is no other."""
     first = near_copies(spark, docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
     survivors = first.select(F.col("least.row").alias("_key"))
-    kept = docs.withColumn("_simhash_row", F.xxhash64("doc_id", "text")).join(survivors, F.col("_simhash_row") == F.col("_key"), "left_semi")
+    kept = docs.withColumn("_simhash_row", row_key()).join(survivors, F.col("_simhash_row") == F.col("_key"), "left_semi")
     return kept.dropDuplicates(["_simhash_row"]).select(*[kept[c] for c in docs.columns])
 
 

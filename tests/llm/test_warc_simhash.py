@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -174,10 +175,31 @@ def test_near_copies_are_found_and_others_left(spark, monkeypatch, posting):
 
 
 def test_profiles():
-    assert not op4_simhash.profile(None).any() and not op4_simhash.profile(b" \n").any()
-    assert (op4_simhash.profile(b"One two") == op4_simhash.profile(b"one TWO\n")).all()
+    assert op4_simhash.profile(None) == op4_simhash.profile(b" \n") and not any(op4_simhash.profile(None)[1])
+    assert op4_simhash.profile(b"One two") == op4_simhash.profile(b"one TWO\n")
     long_ = b"a b c d e f g h " * 50_000
-    assert (op4_simhash.profile(long_)[2:] == op4_simhash.profile(long_[:64])[2:]).all()  # repeats count once
+    assert op4_simhash.profile(long_)[1][1:] == op4_simhash.profile(long_[:64])[1][1:]  # repeats count once
+
+
+def test_tally_of_shared_bytes():
+    r = random.Random(3)
+    x = np.array([r.getrandbits(64) for _ in range(500)], np.uint64)
+    y = x ^ np.array([sum((r.getrandbits(8) if r.random() < 0.4 else 0) << 8 * k for k in range(8)) for _ in range(500)], np.uint64)
+    want = [sum((int(a) >> 8 * k & 255) == (int(b) >> 8 * k & 255) for k in range(8)) for a, b in zip(x, y, strict=True)]
+    assert op4_simhash.shared_bytes(x ^ y).tolist() == want and set(want) > {1, 4, 8}
+    near = [w >= 4 and (int(a) ^ int(b)).bit_count() <= 4 for a, b, w in zip(x, y, want, strict=True)]
+    assert op4_simhash._near(x, y).tolist() == near and near == [(int(a) ^ int(b)).bit_count() <= 4 for a, b in zip(x, y, strict=True)]
+
+
+def test_the_query_equals_brute_force_on_a_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    fps = {r.doc_id: brute_fingerprint(r.text) for r in docs}
+    root = brute_components(sorted(set(fps.values())))
+    least = {}
+    for i in sorted(fps, reverse=True):
+        least[root[fps[i]]] = i
+    want = sorted((i, f"{f:016x}", least[root[f]]) for i, f in fps.items())
+    assert sorted(map(tuple, op4_simhash.query(spark, sf).collect())) == want
 
 
 def family(r, words, size, edits):
