@@ -8,9 +8,9 @@ next pass divides that bin, until a bin is one integer wide. The last pass keeps
 equal to it the smallest ids.
 
 Defined cases: a null vector, or one with a null, NaN or infinite component, takes no part, nor does a null id;
-vectors of other lengths than the query's are no candidates; candidates of a query are the rows with another id;
-of rows repeated with one id and one vector one counts, rows with one id and other vectors count each; a query with
-fewer than k candidates gets all; an empty table gives no rows. Other columns are not read.
+vectors of other lengths than the query's are no candidates; candidates of a query are all rows with another id, repeated
+rows each; a query whose id several rows have asks with the least of their vectors; a query with fewer than k candidates
+gets all; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -105,6 +105,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
     vectors: vec_id long, v array<long>; queries: query_id long, v array<long>. Ties go to the smaller vec_id.
     """
+    vectors = materialize(spark, vectors.select("vec_id", "v"), "topk-vectors")  # read, scaled and checked once, not in each pass
+    queries = materialize(spark, queries.select("query_id", "v"), "topk-queries")
     norm = F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
     (n, vn, width), (m, qn, _) = (df.agg(F.count(F.lit(1)), norm, F.max(F.size("v"))).first() for df in (vectors, queries))
     bound = min(int((vn or 0) * (qn or 0) * 1.0001) + 1, 2**61)
@@ -131,7 +133,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         # a query with fewer candidates than k keeps its window's floor, below every score
         lo = F.col("lo") + F.coalesce(F.col("at.bin"), F.lit(0)) * F.col("width")
         located = found.select("query_id", lo.alias("lo"), F.col("width").alias("span"), F.lit(finer).cast("long").alias("width"), (F.col("need") - F.coalesce(F.col("at.above"), F.lit(0))).alias("need"))
-        state = materialize(spark, located, "topk-state")
+        state = materialize(spark, located, "topk-state", replaces=state)
         if width == 1:
             break
         width = finer
@@ -142,7 +144,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding")).alias("v")).distinct()
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding")).alias("v"))
     asked = rows.where(F.col("vec_id") % QUERY_EVERY == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     return top_k(spark, rows, asked.select(F.col("vec_id").alias("query_id"), "v"))
 
@@ -152,10 +154,11 @@ WITH ok AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), asked AS (
+  SELECT vec_id, min(v) AS v FROM ok WHERE vec_id % 50 = 0 GROUP BY vec_id
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id
-  WHERE q.vec_id % 50 = 0
+  FROM asked q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
