@@ -28,15 +28,23 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import load, lookup, materialize, shared_dir, tidy
+from keylake.llm.common import load, lookup, materialize, parallelism, shared_dir, tidy
 
 LEAST_BYTES = 100
 #: A task starts another file beyond FILE_BYTES; a read takes records with gaps of up to GAP_BYTES together, up to READ_BYTES.
 FILE_BYTES, READ_BYTES, GAP_BYTES, LEVEL = 256 << 20, 8 << 20, 64 << 10, 3
+#: Archive bytes that a task of a read takes, about; a small archive is dealt out to all cores in stretches of STRETCH_BYTES at least.
+TASK_BYTES, STRETCH_BYTES = 128 << 20, 256 << 10
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id bigint, file string, offset bigint, length bigint, url string, digest string, record_type string"
 
 
+def located(name: str) -> tuple[pa.fs.FileSystem, str]:
+    """File system and path of a file's URI, by the names that Hadoop has for schemes too."""
+    scheme, _, rest = name.partition("://")
+    return pa.fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3', 'wasbs': 'abfss', 'wasb': 'abfs'}.get(scheme, scheme)}://{rest}")
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC/1.1 record. A revisit has no payload; its headers give the payload's digest, size and first place."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -69,8 +77,10 @@ def planned(spark: SparkSession, pages: DataFrame, least: int = LEAST_BYTES) ->
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), hashed.alias("digest"), F.length(payload).alias("size"))
     groups = known.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = materialize(spark, groups, "warc-digests")
-    total = groups.agg(F.sum("n")).first()[0] or 0
+    total, many = groups.agg(F.sum("n"), F.count("*")).first()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", hashed.alias("digest"))
+    if not many:
+        return rows.withColumn("first", F.lit(None).cast("long"))
     return lookup(rows, groups, "digest", "n", total)
 
 
@@ -86,7 +96,7 @@ def write(spark: SparkSession, plan: DataFrame, folder: str) -> DataFrame:
                     if out:
                         out.close()
                     name, at = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
-                    files, path = pa.fs.FileSystem.from_uri(name)
+                    files, path = located(name)
                     files.create_dir(path.rpartition("/")[0], recursive=True)
                     out = files.open_output_stream(path, compression=None)
                 payload = (html or "").encode()
@@ -128,7 +138,7 @@ def read(spark: SparkSession, index: DataFrame, payloads: bool = False) -> DataF
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payloads
 
     def fetched(file: str, spans: list[tuple[int, int]]) -> Iterator[tuple]:
-        files, path = pa.fs.FileSystem.from_uri(file)
+        files, path = located(file)
         with files.open_input_file(path) as f:
             for start, end, held in ranges(spans):
                 data = f.read_at(end - start, start)
@@ -153,9 +163,12 @@ def read(spark: SparkSession, index: DataFrame, payloads: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 at = end
 
-    # byte ranges of one file in one place, in order; a file's stretches of READ_BYTES are dealt out apart
-    near = index.select("file", "offset", "length", F.expr(f"offset div {READ_BYTES}").alias("stretch"))
-    near = near.repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # byte ranges of one file in one place, in order; a file's stretches are dealt out to tasks by their bytes, not by index rows
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(parallelism(spark), -(-total // TASK_BYTES))
+    stretch = min(READ_BYTES, max(STRETCH_BYTES, total // (4 * tasks)))
+    near = index.select("file", "offset", "length", F.expr(f"offset div {stretch}").alias("stretch"))
+    near = near.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return near.mapInArrow(tidy(get), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads)
 
 

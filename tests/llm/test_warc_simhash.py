@@ -47,6 +47,15 @@ def test_index_offsets_and_selection(spark, tmp_path):
     assert whole.count(b"WARC/1.1\r\n") == index.where(F.col("file") == one.file).count()
 
 
+def test_a_read_is_dealt_out_by_bytes(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, f"http://h/{i}", "".join(r.choice("abcdefghij ") for _ in range(9000))) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).withColumns({"file": F.lit("clash"), "offset": F.lit(1)})
+    index = op3_warc.write(spark, op3_warc.planned(spark, pages), f"file://{tmp_path}/warc")
+    got = op3_warc.read(spark, index).withColumn("task", F.spark_partition_id())
+    assert got.groupBy("task").count().count() > 1 and got.count() == 400
+
+
 def test_ranges_coalesce():
     near = [(0, 10), (10, 5), (20, 5), (20 + op3_warc.GAP_BYTES + 6, 4), (op3_warc.READ_BYTES * 2, op3_warc.READ_BYTES + 1)]
     got = list(op3_warc.ranges(near))
