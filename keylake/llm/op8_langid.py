@@ -14,12 +14,12 @@ Other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,14 +35,17 @@ REJECT, SHARPNESS, UNKNOWN = 0.5, 25.0, "und"
 AT_ONCE = 64
 #: Lengths, in letters, at which the least cosine is taken: 16, 32, ... 2048.
 LENGTHS = [16 << i for i in range(8)]
-OTHER = re.compile(r"[\W\d_]+")
+OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 ODD, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def letters(text: str | None) -> str:
-    """Lower-case letters with single spaces round and between their runs; empty if there are none."""
-    found = OTHER.sub(" ", (text or "").lower()).strip()
-    return f" {found} " if found else ""
+    """Lower-case letters (and marks on them) with single spaces round and between their runs; empty if there is no letter."""
+    if not text or not LETTER.search(text):
+        return ""
+    found = OTHER.sub(" ", text.lower()).strip()
+    return f" {found} "
 
 
 def counts(found: str) -> np.ndarray:
