@@ -27,7 +27,9 @@ are read in one order each time.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +88,17 @@ def _unpacked_keys(data: bytes) -> np.ndarray:
     return np.concatenate([first, first + np.cumsum(steps, dtype=np.uint64)])
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in order, where one of each is, and the place of each of x among them."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    place = np.empty(len(x), np.int64)
+    place[order] = new.cumsum() - 1
+    return ranked[new], order[new], place
+
+
 # blocks -----------------------------------------------------------------------------------------------------------------
 
 
@@ -97,14 +110,14 @@ class Block:
     """
 
     def __init__(self, table: pa.Table):
-        number: dict[bytes, int] = {}
+        number: dict[bytes, int] = defaultdict(count().__next__)
         flat: list[int] = []
         self.length = np.zeros(len(table), np.int64)
         plain = zstandard.ZstdDecompressor()
         for i, text in enumerate(table["z"].to_pylist()):
             words = plain.decompress(text).split()
             words.append(END)
-            flat += [number.setdefault(w, len(number)) for w in words]
+            flat.extend(map(number.__getitem__, words))
             self.length[i] = len(words)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
         token = np.array(flat, np.int64)
@@ -116,23 +129,25 @@ class Block:
         self.first = np.concatenate([[0], self.length.cumsum()[:-1]]).astype(np.int64)[: len(table)]
         before = np.roll(hashes[token], 1)
         before[self.first] = START
-        self.keys[BIGRAM], self.pair = np.unique(pair_keys(before, hashes[token]), return_inverse=True)
+        self.keys[BIGRAM], _, self.pair = distinct(pair_keys(before, hashes[token]))
         self.trains = np.repeat(~table["held_out"].to_numpy(zero_copy_only=False).astype(bool), self.length)
 
     def counts(self, kind: int) -> np.ndarray:
         return np.bincount(self.word if kind == UNIGRAM else self.pair, self.trains, len(self.keys[kind])).astype(np.int64)
 
-    def trigrams(self, pair_totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens whose trigram may be kept, the codes of their trigrams (place of the pair, 32 bits of the last word's hash),
-        the distinct codes, and the places of all pairs that may have followers."""
+    def trigrams(self, pair_totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose trigram may be kept; the distinct codes of these (place of the pair, 32 bits of the last word's hash), a
+        token that has each, and each token's place in them; and the places of all pairs that may have followers."""
         inner = np.ones(len(self.word), bool)
         inner[self.first] = False
         state = np.roll(self.pair, 1)
         follows = inner & (pair_totals[state] >= LEAST)
         at = np.flatnonzero(follows & (pair_totals[self.pair] >= LEAST))
         tail = (self.keys[UNIGRAM][self.word[at]] >> np.uint64(32)).astype(np.int64)
-        code = (state[at] << 32) | tail
-        return at, code, np.unique(code), np.unique(state[follows])
+        codes, one, place = distinct((state[at] << 32) | tail)
+        has = np.zeros(len(pair_totals), bool)
+        has[state[follows]] = True
+        return at, codes, at[one], place, np.flatnonzero(has)
 
 
 def _shards(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
@@ -166,12 +181,12 @@ def _first_requests(shards: int):
 def _second_requests(shards: int):
     def send(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         block, rows = Block(docs), []
-        at, code, distinct, states = block.trigrams(_totals(answers, BIGRAM)[0])
-        count = np.bincount(np.searchsorted(distinct, code), block.trains[at], len(distinct)).astype(np.int64)
-        ends = np.searchsorted(distinct, states + 1 << 32)
+        at, codes, _, place, states = block.trigrams(_totals(answers, BIGRAM)[0])
+        count = np.bincount(place, block.trains[at], len(codes)).astype(np.int64)
+        ends = np.searchsorted(codes, states + 1 << 32)
         for s, a, b in _stretches(_shards(block.keys[BIGRAM][states], 56, shards)):
             x, y = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
-            fans, tails = np.diff(ends[a:b], prepend=x), distinct[x:y] & 0xFFFFFFFF
+            fans, tails = np.diff(ends[a:b], prepend=x), codes[x:y] & 0xFFFFFFFF
             rows.append({"shard": s, "block": key[0].as_py(), "kind": TRIGRAM, "keys": _packed_keys(block.keys[BIGRAM][states[a:b]]), "counts": _packed(count[x:y]), "fans": _packed(fans), "tails": _packed(tails)})
         return pa.Table.from_pylist(rows, REQUEST)
 
@@ -192,12 +207,12 @@ def _answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             continue
         keys = [_unpacked_keys(packed["keys"][i]) for i in rows]
         counts = [_unpacked(packed["counts"][i]) for i in rows]
-        unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+        unique, _, at = distinct(np.concatenate(keys))
         sums = None
         if kind == TRIGRAM:
             fans = np.concatenate([_unpacked(packed["fans"][i]) for i in rows]).astype(np.int64)
             code = (np.repeat(at, fans) << 32) | np.concatenate([_unpacked(packed["tails"][i]) for i in rows]).astype(np.int64)
-            several, place = np.unique(code, return_inverse=True)
+            several, _, place = distinct(code)
             total = np.bincount(place, np.concatenate(counts), len(several)).astype(np.int64)
             total[total < LEAST] = 0
             sums = np.bincount(several >> 32, total, len(unique)).astype(np.int64)[at]
@@ -232,8 +247,8 @@ def leftover(count: np.ndarray) -> np.ndarray:
 class Automaton:
     """The part of the backoff automaton that a block's texts reach.
 
-    States: words by their places, then the start, then pairs, then the root (the last). Arcs of words and pairs are sorted by
-    state and word; the root's are one a word.
+    States: words by their places, then the start, then pairs, then the root (the last). Arcs of words and pairs lie in buckets by a
+    hash of state and word; the root's are one a word.
     """
 
     def __init__(self, block: Block, n: int, v: int, words: np.ndarray, pairs: np.ndarray, trigrams: np.ndarray, sums: np.ndarray):
@@ -252,7 +267,7 @@ class Automaton:
         follows = (pairs + m[head] * probability[last]) / np.where(count[head] > 0, count[head] + m[head], 1)
         follows = np.where(count[head] > 0, follows, probability[last])
         # pair states: those with kept trigrams
-        at, code, distinct, followed = block.trigrams(pairs)
+        _, _, token, _, followed = block.trigrams(pairs)
         states = followed[sums > 0]
         kept = sums[sums > 0]
         self.root = size + 1 + len(states)
@@ -263,38 +278,63 @@ class Automaton:
         some = np.flatnonzero(pairs > 0)
         arcs = [(head[some] * size + last[some], np.log10(follows[some]), to[some])]
         # arcs of pairs
-        _, i = np.unique(code, return_index=True)
-        token, live = at[i], trigrams > 0
+        live = trigrams > 0
         token, c = token[live], trigrams[live]
         own = state_of[np.roll(block.pair, 1)[token]]
         k = kept[own - size - 1]
         w = leftover(k)
         arcs.append((own * size + block.word[token], np.log10((c + w * follows[block.pair[token]]) / (k + w)), to[block.pair[token]]))
         codes, weights, targets = (np.concatenate(x) for x in zip(*arcs, strict=True))
-        order = np.argsort(codes)
+        self.shift = np.uint64(64 - max(1, len(codes).bit_length()))
+        bucket = self._bucket(codes)
+        order = np.argsort(bucket)
         self.codes, self.weights, self.targets = codes[order], weights[order], targets[order]
+        self.starts = np.concatenate([[0], np.bincount(bucket, minlength=1 << (64 - int(self.shift))).cumsum()])
         self.root_weights = np.log10(probability)
         ratio = lambda c: np.where(c > 0, np.log10(np.maximum(leftover(c), 1e-300) / np.maximum(c + leftover(c), 1e-300)), 0.0)
         self.fail_weights = np.concatenate([ratio(count), ratio(kept)])
         self.fails = np.concatenate([np.full(size + 1, self.root), last[states]])
 
+    def _bucket(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * ODD) >> self.shift).astype(np.int64)
+
+    def arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The arc of each state and word; -1 for none."""
+        code = state * self.words + word
+        bucket = self._bucket(code)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        out = np.full(len(code), -1)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            i = at[open_]
+            hit = self.codes[i] == code[open_]
+            out[open_[hit]] = i[hit]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return out
+
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states and the weights on the way, failure arcs included."""
         state, out = state.copy(), np.zeros(len(state))
         open_ = np.arange(len(state))
         while len(open_):
             s, w = state[open_], word[open_]
-            code = s * self.words + w
-            arc = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
             root = s == self.root
-            hit = (self.codes[arc] == code) & ~root if len(self.codes) else np.zeros(len(s), bool)
-            out[open_[hit]] += self.weights[arc[hit]]
-            state[open_[hit]] = self.targets[arc[hit]]
-            out[open_[root]] += self.root_weights[w[root]]
-            state[open_[root]] = w[root]
-            open_ = open_[~hit & ~root]
-            out[open_] += self.fail_weights[state[open_]]
-            state[open_] = self.fails[state[open_]]
+            if root.any():
+                at, w = open_[root], w[root]
+                out[at] += self.root_weights[w]
+                state[at] = w
+                open_, s, w = open_[~root], s[~root], word[open_[~root]]
+            arc = self.arc(s, w)
+            hit = arc >= 0
+            at, arc = open_[hit], arc[hit]
+            out[at] += self.weights[arc]
+            state[at] = self.targets[arc]
+            open_ = open_[~hit]
+            s = state[open_]
+            out[open_] += self.fail_weights[s]
+            state[open_] = self.fails[s]
         return state, out
 
 
@@ -355,8 +395,8 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return materialize(spark, requests.repartition(parts, "shard").groupBy("shard").applyInArrow(_answers, ANSWER_SQL), tag)
 
     first = answered(dealt().applyInArrow(_first_requests(blocks), REQUEST_SQL), "lm-words")
-    freed(spark)
     n, v = first.agg(F.sum("words"), F.sum("known")).first()
+    freed(spark)
     back = lambda df: df.repartition(parts, "block").groupBy("block")
     second = answered(dealt().cogroup(back(first.where(F.col("kind") == BIGRAM))).applyInArrow(_second_requests(blocks), REQUEST_SQL), "lm-trigrams")
     freed(spark)

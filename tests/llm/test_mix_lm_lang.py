@@ -153,10 +153,10 @@ def test_pieces_and_blocks_do_not_change_scores(monkeypatch):
     counts = brute_counts(rows)
     block = op7_lm.Block(table)
     words, pairs = block.counts(op7_lm.UNIGRAM), block.counts(op7_lm.BIGRAM)
-    at, code, distinct, states = block.trigrams(pairs)
-    totals = np.bincount(np.searchsorted(distinct, code), block.trains[at], len(distinct)).astype(int)
+    at, codes, _, place, states = block.trigrams(pairs)
+    totals = np.bincount(place, block.trains[at], len(codes)).astype(int)
     totals[totals < 2] = 0
-    sums = np.array([totals[(distinct >> 32) == s].sum() for s in states])
+    sums = np.array([totals[(codes >> 32) == s].sum() for s in states])
     automaton = op7_lm.Automaton(block, int(words.sum()), int((words > 0).sum()), words, pairs, totals, sums)
     want = [math.log10(chances(w, v, u, counts)[1]) for t, _ in counts[0] for u, v, w in zip([None, b" ", *t], [b" ", *t], t)]
     for piece in (2, 5, 512, 10**6):
@@ -222,6 +222,41 @@ def test_language_odd_rows(spark):
     assert op8_langid.identified(spark, docs.limit(0), model).count() == 0
 
 
+def test_letters():
+    assert [op8_langid.letters(t) for t in ("①②", "½ ²", "Ⅷ", "_", "٣", "", None)] == [""] * 7
+    assert op8_langid.letters("É1a_b²ß") == " é a b ß " and op8_langid.letters("e\u0301t") == " e\u0301t "
+
+
+def test_predictions_equal_nearest_centroids_by_hand():
+    """Hashed n-grams, TF-IDF, cosine, the nearest of all centroids and the limit, with dictionaries and loops."""
+    r = np.random.default_rng(4)
+    texts = ["the cat sat on the mat", "der hund und die katze", "le chat et le chien", "zz qq", "12", "Él niño " * 40]
+    middle = op8_langid.unit(np.abs(r.standard_normal((7, op8_langid.DIM))).astype(np.float32))
+    langs, idf = ["de", "de", "en", "en", "en", "fr", "fr"], r.random(op8_langid.DIM) + 0.1
+    model = op8_langid.Model(langs, middle, idf, r.random((7, len(op8_langid.LENGTHS))) * 0.3)
+    got = model.predict(texts)
+    for text, lang, score, rejected in zip(texts, *got, strict=True):
+        found = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        if not found.strip():
+            assert (lang, score, rejected) == ("und", 0.0, True)
+            continue
+        grams = Counter()
+        for n in range(1, 5):
+            for i in range(len(found) - n + 1):
+                code = ord(found[i]) + 1
+                for c in found[i + 1 : i + n]:
+                    code = (code * int(op8_langid.ODD) + ord(c) + 1) % 2**64
+                grams[((code + n - 1) * int(op8_langid.SPREAD)) % 2**64 >> 64 - op8_langid.DIM_BITS] += 1
+        vector = {k: math.sqrt(n) * idf[k] for k, n in grams.items()}
+        size = math.sqrt(sum(x * x for x in vector.values()))
+        cosine = [sum(x * float(row[k]) for k, x in vector.items()) / size for row in middle]
+        best = {a: max(c for c, b in zip(cosine, langs, strict=True) if b == a) for a in set(langs)}
+        odds = {a: math.exp(op8_langid.SHARPNESS * (c - max(best.values()))) for a, c in best.items()}
+        assert lang == max(best, key=best.get) and score == pytest.approx(max(odds.values()) / sum(odds.values()), rel=1e-3)
+        step = min(max(int(math.log2(max(len(found), 16) / 16)), 0), len(op8_langid.LENGTHS) - 1)
+        assert rejected == (max(cosine) < op8_langid.REJECT * model.least[int(np.argmax(cosine)), step])
+
+
 def test_far_text_is_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = op8_langid.train(spark, docs)
