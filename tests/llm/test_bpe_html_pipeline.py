@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -104,6 +105,35 @@ def test_long_lists_of_siblings(forest):
     assert op10_html.extract(page(unmarked), forest) == "\n\n".join(paragraphs)
 
 
+GOLD = [  # pages by hand, with the text that is wanted
+    (f'<div id="kopf"><a href="/">Start</a></div><div class="inhalt"><h2>Hochwasser</h2><p>{TEXT[0]}</p><p>Euler: <math><mi>e</mi><mo>=</mo><mn>2.718</mn></math> holds, as <svg><title>no</title><text>drawn</text><path d="M0"/></svg> here.</p><noscript><p>{TEXT[1]}</p></noscript><object data="x"><p>{TEXT[2]}</p></object></div><div id="fuss"><a href="/impressum">Impressum</a></div>', ["Hochwasser", TEXT[0], "Euler: e=2.718 holds, as drawn here.", TEXT[1], TEXT[2]]),
+    (f'<ul class="menu"><li><a href=a>Uno</a><li><a href=b>Dos</a></ul><main><h1>Crecida</h1><p>{TEXT[0]}</p><select><option>no</option></select><table><tr><td>{TEXT[1]}</td></tr></table><form><label>Correo</label><textarea>no</textarea></form></main><div role="contentinfo">Aviso legal</div>', ["Crecida", TEXT[0], TEXT[1]]),
+]
+
+
+@pytest.mark.parametrize("body,want", GOLD)
+def test_pages_by_hand(forest, body, want):
+    assert op10_html.extract(page(body), forest) == "\n\n".join(want)
+
+
+def test_long_unclosed_markup_takes_time_in_proportion():
+    for broken in ("<span>x " * 100_000, "<p>" + "<b>x</i>" * 100_000, "<a>y</p> " * 100_000):
+        began = time.perf_counter()
+        assert len(op10_html.parse(broken)[1]) >= 1
+        assert time.perf_counter() - began < 20
+
+
+def test_template_text_of_a_host_is_no_article():
+    tree, texts, links = op10_html.parse(f"<div><p>{TEXT[0]}</p><p>{TEXT[1]}</p></div>")
+    x = op10_html.features(tree, texts, links)
+    assert op10_html.weak_labels(tree, x, np.array([False, False, True, False])).tolist()[2:] == [False, True]
+
+
+def test_attribute_tokens_are_learned():
+    odds = op10_html.token_odds([{1, 5}] * 50 + [{2, 5}] * 50, np.array([1] * 50 + [0] * 50))
+    assert odds[1] > 1 > -1 > odds[2] and odds[5] == odds[9] == 0
+
+
 def test_parsing():
     blocks = lambda s: op10_html.parse(s)[1]
     assert blocks("<p>a<b>b</b> c<br>d<p>e&nbsp;&eacute;&#x41; &amp &lt;p&gt;<ul><li>1<li>2</ul>f") == ["ab c d", "e éA & <p>", "1", "2", "f"]
