@@ -325,8 +325,10 @@ def profiles(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return chosen.mapInArrow(tidy(each), "doc_id bigint, digest binary" + "".join(f", {c} bigint" for c in PROFILE) + ", keys binary, row struct<a:bigint,b:bigint>")
 
 
-#: Rows of the index: a key, a set of shingles with its profile and the group it is known to be in.
-ENTRY = ["key", "fp", *PROFILE, "grp"]
+#: Rows of the index: a key, and a set of shingles with its profile.
+ENTRY = ["key", "fp", *PROFILE]
+#: A task compares two blocks of sets of a family at most; a block has about so many sets and bytes.
+BLOCK_SETS, BLOCK_BYTES = 2048, 8 << 20
 
 
 def _close(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
@@ -361,11 +363,17 @@ def _trees(rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(a), np.concatenate(b), root
 
 
-def _candidates(entries: DataFrame, posting: int | None, cross: bool) -> DataFrame:
+def _middle(rows: np.ndarray) -> int:
+    """The entry whose fingerprint is nearest to the majority of all: of a family of copies most likely the one they come from."""
+    words = np.ascontiguousarray(rows[3:5].T).view(np.uint64)
+    return int(np.bitwise_count(words ^ _majority(words)).sum(1).argmin())
+
+
+def _candidates(entries: DataFrame, posting: int | None) -> DataFrame:
     """Candidate links of the entries that share a key: ENTRY columns, of which fp is one end, b the other, and forest.
 
-    A posting of up to CROWD members sends all candidates. A larger one sends a forest that spans them (forest is true), links of
-    TIGHT_BITS first; if cross, all candidates of different groups instead. One of over `posting` members sends its
+    A posting of up to CROWD members sends all candidates. A larger one sends links of its middle to all others that are close, and a
+    forest that spans all that are close (forest is true), links of TIGHT_BITS first. One of over `posting` members sends its
     members, numbered in blocks of so many, with b null.
     """
     names = [*ENTRY, "b", "forest", "block"]
@@ -394,7 +402,7 @@ def _candidates(entries: DataFrame, posting: int | None, cross: bool) -> DataFra
                 alike_ = first[size == z]
                 for at in range(0, len(alike_), 1000):
                     x, y = ((alike_[at : at + 1000, None] + k[None, :]).ravel() for k in (i, j))
-                    near = _close(rows[:, x], rows[:, y], COPY_BITS) & ((rows[5, x] != rows[5, y]) | (not cross))
+                    near = _close(rows[:, x], rows[:, y], COPY_BITS)
                     a.append(rows[1, x[near]])
                     b.append(rows[1, y[near]])
             yield linked(np.concatenate(a), np.concatenate(b), False)
@@ -402,17 +410,14 @@ def _candidates(entries: DataFrame, posting: int | None, cross: bool) -> DataFra
                 some = np.ascontiguousarray(rows[:, f : f + z])
                 if posting and z > posting:
                     yield crowd(some, 0)
-                elif cross:
-                    for at in range(0, z, 256):
-                        part = some[:, at : at + 256]
-                        near = _close(part[:, :, None], some[:, None, :], COPY_BITS) & (part[5, :, None] != some[5, None, :])
-                        x, y = np.nonzero(near)
-                        yield linked(part[1, x], some[1, y], False)
                 else:
                     x, y, tree = _trees(some, TIGHT_BITS)
                     u, v, _ = _trees(some, COPY_BITS)
                     between = tree[u] != tree[v]
                     yield linked(some[1, np.concatenate([x, u[between]])], some[1, np.concatenate([y, v[between]])], True)
+                    c = _middle(some)
+                    near = np.flatnonzero(_close(some[:, [c]], some, COPY_BITS) & (np.arange(z) != c))
+                    yield linked(some[1, near], np.full(len(near), some[1, c]), True)
 
         held, out = np.zeros((len(ENTRY), 0), SIGNED), 0  # out: members of the posting at hand that are sent already
         for batch in batches:
@@ -439,8 +444,8 @@ def _candidates(entries: DataFrame, posting: int | None, cross: bool) -> DataFra
     return entries.select(*ENTRY).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(compare), schema)
 
 
-def _pairs(spark: SparkSession, sets: DataFrame, posting: int | None, cross: bool) -> DataFrame:
-    """Candidate links a, b, forest among sets (fp, PROFILE, keys, grp); every block of a large posting meets every other."""
+def _pairs(spark: SparkSession, sets: DataFrame, posting: int | None) -> DataFrame:
+    """Candidate links a, b, forest among sets (fp, PROFILE, keys); every block of a large posting meets every other."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,13 +455,13 @@ def _pairs(spark: SparkSession, sets: DataFrame, posting: int | None, cross: boo
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[pa.array(np.repeat(batch[c].to_numpy(), times)) for c in ENTRY[1:]]], ENTRY)
 
     entries = sets.select("keys", *ENTRY[1:]).mapInArrow(tidy(index), ", ".join(f"{c} bigint" for c in ENTRY))
-    found = materialize(spark, _candidates(entries, posting or POSTING, cross), "copy-candidates")
+    found = materialize(spark, _candidates(entries, posting or POSTING), "copy-candidates")
     crowd, links_ = found.where("b IS NULL"), found.where("b IS NOT NULL").select(F.col("fp").alias("a"), "b", "forest")
     if not crowd.isEmpty():
         last = crowd.groupBy("key").agg(F.max("block").alias("last"))
         other = crowd.join(last, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).where("other <> block")
         cells = other.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-        met = _candidates(cells, None, cross).select(F.col("fp").alias("a"), "b", "forest")
+        met = _candidates(cells, None).select(F.col("fp").alias("a"), "b", "forest")
         links_ = links_.union(met)
     return materialize(spark, links_.groupBy("a", "b").agg(F.max("forest").alias("forest")), "copy-pairs")
 
@@ -464,8 +469,9 @@ def _pairs(spark: SparkSession, sets: DataFrame, posting: int | None, cross: boo
 def copy_links(spark: SparkSession, distinct: DataFrame, docs: DataFrame, posting: int | None = None) -> DataFrame:
     """Links a, b among distinct sets (fp, PROFILE, keys, row) that have the same components as all pairs of 0.8 and more.
 
-    Candidates of large postings are first a forest. Where its links do not all hold, the documents of such postings are compared
-    again: all candidates of different groups, so what is linked doesn't hang on which forest was taken.
+    Candidates of large postings are first a forest and the links of a middle. Families (what these links connect, held or not) in
+    which that leaves several groups are then compared whole, set by set, so what is linked doesn't hang on which forest
+    was taken: all that are close in a posting are in one family.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,20 +489,78 @@ def copy_links(spark: SparkSession, distinct: DataFrame, docs: DataFrame, postin
         whole = some.join(sides[0], "a").join(sides[1], "b").select("a", "b", "forest", "x", "y")
         return materialize(spark, whole.mapInArrow(tidy(hold), "a bigint, b bigint, forest boolean"), "copy-links")
 
-    found = _pairs(spark, distinct.withColumn("grp", F.col("fp")), posting, False)
+    found = _pairs(spark, distinct, posting)
     ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
     rows = distinct.select("fp", "row").join(ends, "fp", "left_semi").select("fp", F.col("row").alias("_row"))
     texts = docs.select("text", row_key().alias("row")).join(rows, F.col("row") == F.col("_row")).select("fp", "text")
     sets = materialize(spark, texts.mapInArrow(tidy(each), "fp bigint, shingles binary").dropDuplicates(["fp"]), "copy-sets")
     good = verified(found)
-    if found.where("forest").count() == good.where("forest").count():
+    failed = materialize(spark, found.where("forest").join(good.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "copy-failed")
+    if failed.isEmpty():
         return good.select("a", "b")
-    crowded = found.where("forest")
-    crowded = crowded.select(F.col("a").alias("fp")).union(crowded.select("b")).distinct()
-    groups = components(spark, good)
-    members = distinct.join(crowded, "fp", "left_semi").join(groups, F.col("fp") == F.col("node"), "left").withColumn("grp", F.coalesce("root", "fp"))
-    more = _pairs(spark, members, posting, True).join(found.select("a", "b"), ["a", "b"], "left_anti").withColumn("forest", F.lit(False))
-    return good.select("a", "b").union(verified(more).select("a", "b"))
+    groups = materialize(spark, components(spark, good.select("a", "b")), "copy-groups")
+    for end in ("a", "b"):
+        failed = failed.join(groups.withColumnsRenamed({"node": "_node", "root": f"_{end}"}), F.col(end) == F.col("_node"), "left").drop("_node")
+    if failed.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).isEmpty():
+        return good.select("a", "b")
+    families = materialize(spark, components(spark, found.where("forest").select("a", "b")), "copy-families")
+    family = lambda fp: F.coalesce("_family", fp)
+    by_node = families.withColumnsRenamed({"node": "_node", "root": "_family"})
+    torn = failed.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).join(by_node, F.col("a") == F.col("_node"), "left").select(family("a").alias("_torn")).distinct()
+    members = sets.join(by_node, F.col("fp") == F.col("_node"), "left").select("fp", "shingles", family("fp").alias("family")).join(torn, F.col("family") == F.col("_torn"), "left_semi")
+    members = members.join(groups, F.col("fp") == F.col("node"), "left").select("family", "fp", F.coalesce("root", "fp").alias("grp"), "shingles")
+    return good.select("a", "b").union(family_links(spark, materialize(spark, members, "copy-members")))
+
+
+def family_links(spark: SparkSession, members: DataFrame) -> DataFrame:
+    """Links a, b that join the groups (grp) of each family (family, fp, shingles) as all pairs of 0.8 and more do.
+
+    Members are dealt into blocks, and a task holds one block or two and counts what all their sets share; of the links it finds it
+    sends a spanning forest.
+    """
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("size"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("size") / BLOCK_BYTES, F.lit(1.0))).cast("int")
+    dealt = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR block <> other")
+    cells = cells.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp", "grp", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        fp, grp = table["fp"].to_numpy(), table["grp"].to_numpy()
+        near = similar([np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]) & (grp[:, None] != grp[None, :])
+        a, b = [np.array([], np.int64)], [np.array([], np.int64)]
+        open_ = near.any(1)
+        for start in np.flatnonzero(open_).tolist():
+            stack = [start] if open_[start] else []
+            open_[start] = False
+            while stack:
+                i = stack.pop()
+                reached = np.flatnonzero(near[i] & open_)
+                open_[reached] = False
+                a.append(np.full(len(reached), i))
+                b.append(reached)
+                stack += reached.tolist()
+        return pa.table({"a": fp[np.concatenate(a)], "b": fp[np.concatenate(b)]})
+
+    return materialize(spark, cells.groupBy("family", "lo", "hi").applyInArrow(compare, "a bigint, b bigint"), "copy-family-links")
+
+
+def similar(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Whether each two of some sets have a Jaccard similarity of 0.8 or more: a product of matrices counts what they share."""
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, place, times = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    several = times > 1  # what one set alone has is shared with none
+    column = (several.cumsum() - 1)[place]
+    owner, column = owner[several[place]], column[several[place]]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(several.sum()), columns):
+        a, b = np.searchsorted(column, [at, at + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        shared += part @ part.T
+    return 9 * shared >= 4 * (size[:, None] + size[None, :])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -250,6 +250,28 @@ def test_a_family_far_larger_than_a_posting_is_one_group(spark, monkeypatch):
     assert [x.doc_id for x in op4_simhash.deduplicated(spark, docs).collect()] == [600]
 
 
+def test_sets_compared_by_products():
+    r = np.random.default_rng(6)
+    base = r.choice(10**6, 60, replace=False)
+    sets = [np.unique(np.concatenate([r.choice(base, k, replace=False), r.integers(0, 10**6, 3)])).astype(np.uint64) for k in r.integers(40, 61, 50)] + [np.zeros(0, np.uint64)]
+    want = [[9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)) for b in sets] for a in sets]
+    for columns in (7, 2048):
+        assert op4_simhash.similar(sets, columns).tolist() == want
+    assert np.sum(want) > 60 and not np.all(want) and op4_simhash.similar([]).shape == (0, 0)
+
+
+def test_torn_families_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(op4_simhash, "BLOCK_SETS", 20)
+    r = random.Random(17)
+    texts = family(r, 300, 60, 8)[1:]  # each far from the others, but for copies of the copies
+    texts += [" ".join([*t.split()[:-1], "z"]) for t in texts[::3]]
+    rows = list(enumerate(texts))
+    want = brute_copies(rows)
+    assert 30 < len(set(want.values())) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in op4_simhash.near_copies(spark, docs).collect()} == want
+
+
 def test_similar_texts_below_the_limit_stay(spark):
     r = random.Random(13)
     rows = [(100 * k + i, t) for k in range(4) for i, t in enumerate(family(r, 400, 8, 7)[1:])]  # about 0.7 to each other
