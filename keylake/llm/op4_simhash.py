@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import binary, bounded_sample, load, lookup, materialize, parallelism, spread, tidy
+from keylake.llm.common import binary, bounded_sample, freed, load, lookup, materialize, parallelism, spread, tidy
 from keylake.llm.components import components
 
 SHINGLE, DISTANCE, SEED, BYTES, POSTING = 4, 4, 42, 8, 4096
@@ -490,11 +490,14 @@ def copy_links(spark: SparkSession, distinct: DataFrame, docs: DataFrame, postin
         return materialize(spark, whole.mapInArrow(tidy(hold), "a bigint, b bigint, forest boolean"), "copy-links")
 
     found = _pairs(spark, distinct, posting)
+    freed(spark)
     ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
     rows = distinct.select("fp", "row").join(ends, "fp", "left_semi").select("fp", F.col("row").alias("_row"))
     texts = docs.select("text", row_key().alias("row")).join(rows, F.col("row") == F.col("_row")).select("fp", "text")
     sets = materialize(spark, texts.mapInArrow(tidy(each), "fp bigint, shingles binary").dropDuplicates(["fp"]), "copy-sets")
+    freed(spark)
     good = verified(found)
+    freed(spark)
     failed = materialize(spark, found.where("forest").join(good.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "copy-failed")
     if failed.isEmpty():
         return good.select("a", "b")
