@@ -17,6 +17,7 @@ documents each, in an order that only their equal texts decide. Other columns pa
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -64,9 +65,13 @@ def sainte_lague(claims: list[float], seats: int, most: list[int]) -> list[int]:
             break
         low, high = (low, middle) if sum(given(middle)) <= seats else (middle, high)
     out = given(high)
+    heap = [(-claims[i] / (2 * out[i] + 1), i) for i in range(len(claims)) if claims[i] > 0 and out[i] < most[i]]
+    heapq.heapify(heap)
     for _ in range(seats - sum(out)):
-        i = max((i for i in range(len(claims)) if claims[i] > 0 and out[i] < most[i]), key=lambda i: (claims[i] / (2 * out[i] + 1), -i))
+        _, i = heapq.heappop(heap)
         out[i] += 1
+        if out[i] < most[i]:
+            heapq.heappush(heap, (-claims[i] / (2 * out[i] + 1), i))
     return out
 
 
