@@ -572,11 +572,16 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, with all its columns: that with the smallest doc_id, a null one only if there is no other."""
+    """One document of each group of near copies, with all its columns: that with the smallest doc_id, a null one only if there is no other.
+
+    Of rows with one doc_id and text, that with the smallest hash of the other columns stays. Columns may have any names.
+    """
     first = near_copies(spark, docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
     survivors = first.select(F.col("least.row").alias("_key"))
-    kept = docs.withColumn("_simhash_row", row_key()).join(survivors, F.col("_simhash_row") == F.col("_key"), "left_semi")
-    return kept.dropDuplicates(["_simhash_row"]).select(*[kept[c] for c in docs.columns])
+    tie = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), row_key().alias("_row"), tie.alias("_tie"))
+    kept = rows.join(survivors, F.col("_row") == F.col("_key"), "left_semi")
+    return kept.groupBy("_row").agg(F.min_by("_doc", "_tie").alias("_doc")).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

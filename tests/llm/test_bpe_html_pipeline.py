@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keylake.llm import op2_quality, op4_simhash, op6_mix, op8_langid, op9_bpe, op10_html
+from keylake.llm.common import held_out
 from keylake.llm.queries import ORACLE_SQL, QUERIES
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -195,6 +196,75 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf):
     assert pipeline.run(spark, sf).count() == mixed.count()
 
 
+ODD = ("kept", "fp", "row", "digest", "component_id", "_doc", "_row", "_key", "_tie", "_size", "_id", "_text", "ids", "score", "rejected")
+
+
+@pytest.fixture(scope="module")
+def odd(spark, sf, tmp_path_factory):
+    """Documents with null and empty columns, repeated rows, copies, a very long text and many names of the stages' own."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    more = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' AND doc_id >= 300").orderBy("doc_id").limit(250).collect()]
+    text, long_ = rows[next(i for i, r in enumerate(rows) if r[2] == "en" and r[4] > 2000)][1], "\n".join(more)
+    words = text.split()
+    near = " ".join([*words[: len(words) // 2], "edited", *words[len(words) // 2 :]])
+    rows += [rows[0], rows[0], (900, None, "en", "web", 0), (901, "", None, None, None), (902, " \n", "en", None, 2), (903, text, "en", "web", len(text)), (904, near, None, None, len(near))]
+    rows += [(None, more[0], "en", "web", len(more[0])), (None, more[1], None, None, None), (905, more[2], None, None, None), (906, long_, "en", "web", len(long_)), (907, "short text", "en", "web", 10)]
+    made = spark.createDataFrame(rows, docs.schema).withColumns({c: F.lit(f"clash {c}") for c in ODD})
+    path = tmp_path_factory.mktemp("odd")
+    made.write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").withColumn("text", F.lit("clash")).write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_pipeline_equals_brute_force_on_odd_rows(spark, odd, library):
+    """Every stage against plain Python on what the one before it kept, and the rows of run() against the last."""
+    import corpus_pipeline as pipeline
+    from tests.llm.test_search_quality import brute_kept
+    from tests.llm.test_warc_simhash import brute_copies
+
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect())
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    forest = op2_quality.train(docs, spark.read.parquet(f"{odd}/labels.parquet"))
+    kept = pipeline.quality_rules(spark, docs, odd)
+    assert kept.columns == docs.columns and ids(kept) == [r for r in sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in docs.collect()) if brute_kept(r[2], forest)[-1]]
+    known = pipeline.language_id(spark, kept, odd)
+    model = op8_langid.train(spark, kept.where(~held_out(F.col("doc_id"), op8_langid.FOLDS)))
+    judged = ids(kept)
+    assert known.columns == docs.columns and ids(known) == [r for r, no in zip(judged, model.predict([r[2] for r in judged])[2], strict=True) if not no]
+    alone = pipeline.simhash_dedup(spark, known, odd)
+    rows = sorted(set(ids(known)))
+    group = brute_copies([(i, r[2].encode()) for i, r in enumerate(rows)])
+    assert alone.columns == docs.columns and ids(alone) == [rows[i] for i in sorted(set(group.values()))]
+    assert all(r[c] == f"clash {c}" for r in alone.collect() for c in ODD) and len(set(group.values())) < len(rows) - 2
+    left = ids(alone)
+    mixed = pipeline.mix_sources(spark, alone, odd)
+    mix = mixed.collect()
+    texts = {r.doc_id: r.text for r in alone.collect() if r.doc_id is not None}
+    taken = {}
+    for r in mix:
+        whole = texts[r.doc_id] if r.doc_id is not None else next(t for null, _, t in left if null and r.text in t)
+        assert r.text in whole and r.n_chars in (len(r.text), None)
+        taken[r.source, whole] = taken.get((r.source, whole), 0) + len(r.text.encode().split())
+    assert mixed.columns == docs.columns and all(n <= 2 * len(t.encode().split()) for (_, t), n in taken.items())
+    names = sorted({r.source for r in alone.collect()}, key=lambda s: (s is None, s or ""))
+    total = [sum(len(r.text.encode().split()) for r in alone.collect() if r.source == name) for name in names]
+    for name, want in zip(names, op6_mix.targets(total, [(3.0, 1.0, 2.0)[i % 3] for i in range(len(names))]), strict=True):
+        assert abs(sum(n for (s, _), n in taken.items() if s == name) - want) <= 0.02 * want + 70
+    coded = library.encode_batch([r.text for r in mix], add_special_tokens=False)
+    want = sorted((r.doc_id is None, r.doc_id or 0, c.ids, library.decode(c.ids, skip_special_tokens=False)) for r, c in zip(mix, coded, strict=True))
+    for got in (pipeline.bpe_codec(spark, mixed, odd), pipeline.run(spark, odd)):
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.ids, r.decoded) for r in got.collect()) == want
+
+
+def test_pipeline_of_an_empty_table(spark, odd, tmp_path):
+    import corpus_pipeline as pipeline
+
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{odd}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
     assert [len(m.__doc__) > 200 for m in (op6_mix, op8_langid, op4_simhash)] == [True] * 3

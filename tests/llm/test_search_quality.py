@@ -1,5 +1,8 @@
 import itertools
+import math
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -104,6 +107,42 @@ def test_quality_on_held_out_labels(spark, sf):
     assert len(got) > 50 and (got.kept == (got.quality == 1)).mean() > 0.97
 
 
+def brute_statistics(text):
+    """The counts and features of a text, word by word."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    inside = {i + j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(8)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    among = lambda pattern: len(re.findall(pattern, text))
+    chars, symbols, n = sum(map(len, words)), among(r"[#*$%&|<>]"), len(words)
+    m, capitals = max(n, 1), among("[A-Z]")
+    features = [math.log1p(n), chars / m, symbols / m, dup / max(len(lines), 1), len(inside) / m, capitals / max(capitals + among("[a-z]"), 1), among("[0-9]") / m, among("!") / m, len(set(words)) / m, n / max(len(lines), 1), max(Counter(words).values(), default=0) / m]
+    return (n, chars, symbols, dup, len(inside)), features
+
+
+def brute_kept(text, forest):
+    """The counts, whether the base rule fails, and the verdict by a walk of each tree from its root."""
+    counts, x = brute_statistics(text)
+    failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
+    margin = forest.base
+    for feature, threshold, value in zip(forest.feature, forest.threshold, forest.value, strict=True):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+        margin += value[node - len(feature)]
+    return (*counts, failed, not failed and bool(1 / (1 + math.exp(-margin)) >= 0.5))
+
+
+def test_quality_query_equals_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    forest = op2_quality.train(docs, labels)
+    want = sorted((r.doc_id, *brute_kept(r.text, forest)) for r in docs.collect())
+    assert sorted(map(tuple, op2_quality.query(spark, sf).select("doc_id", *op2_quality.COUNTS, "base_failed", "kept").collect())) == want
+    assert len(forest.feature) and {w[-1] for w in want} == {True, False} and any(w[-2] for w in want)
+
+
 def test_quality_odd_rows(spark):
     good = "It was a fine day and the people of the town went out to see the river run by the old mill near the hill."
     rows = [(1, None), (2, ""), (None, good), (4, good), (4, good), (5, "a b " * 100)]
