@@ -202,7 +202,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def grouped(spark: SparkSession, each: DataFrame, key: str, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """each (doc_id, key and further columns) with root and component_id. linked gives the links a, b of distinct fingerprints.
 
-    linked sees fp (the key itself, or a number for each distinct key) and any PROFILE columns, keys and row.
+    linked sees the key, fp (the key itself, or a number for each distinct key) and any PROFILE columns, keys and row.
     """
     carried = [c for c in (*PROFILE, "keys", "row") if c in each.columns]
     distinct = each.groupBy(key).agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in carried])
@@ -214,12 +214,14 @@ def grouped(spark: SparkSession, each: DataFrame, key: str, linked: Callable[[Da
     ids = materialize(spark, rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-ids")
     total, nodes = distinct.agg(F.sum("times"), F.count("*")).first()
     classes = lookup(rooted.drop("least"), ids, "root", "n", nodes)
-    return lookup(each.drop(*PROFILE, "keys"), classes, key, "times", total or 0)
+    return lookup(each.drop(*PROFILE, "keys", "mark"), classes, key, "times", total or 0)
 
 
 # near copies of documents -----------------------------------------------------------------------------------------------
 # Two documents are near copies if their sets of distinct five-word shingles have a Jaccard similarity of 0.8 or more. This is
-# verified on the sets themselves. Candidates share a key: a set of n shingles is keyed by the n - ceil(0.8 n) + 1 that come
+# verified on the sets themselves. First come the links of the fingerprints above (the byte-position index, the tally, four
+# bits), and what they hold is joined. Few pairs near 0.8 are within four bits, so further candidates between groups not joined
+# so are those that share a key: a set of n shingles is keyed by the n - ceil(0.8 n) + 1 that come
 # first in one order of all shingles, and sets that near each other always share one of these (prefix filter). The order
 # puts shingles that a sample shows to be frequent last, so that passages in many documents are rarely keys. A
 # fingerprint of 128 bits passes over candidates that are plainly far.
@@ -307,22 +309,23 @@ def shingle_order(spark: SparkSession, docs: DataFrame) -> Order:
 
 
 def profiles(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the set of shingles), the PROFILE columns, keys, and row (which row_key gives)."""
+    """doc_id, digest (of the set of shingles), the PROFILE columns, keys, row (which row_key gives), and mark (the fingerprint as a signed long)."""
     order = spark.sparkContext.broadcast(shingle_order(spark, docs))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, found, keys = [], [], []
+            digests, found, keys, marks = [], [], [], []
             for text in binary(batch, "text"):
+                marks.append(fingerprint(text))
                 hashes = _hashes(text)
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 found.append(_profile(hashes))
                 keys.append(prefix(hashes[:, 0], order.value).tobytes())
             columns = np.array(found, np.uint64).reshape(-1, len(PROFILE)).astype(SIGNED).T
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(keys, pa.binary()), batch["row"]], ["doc_id", "digest", *PROFILE, "keys", "row"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(keys, pa.binary()), batch["row"], pa.array(np.array(marks, np.uint64).astype(SIGNED))], ["doc_id", "digest", *PROFILE, "keys", "row", "mark"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
-    return chosen.mapInArrow(tidy(each), "doc_id bigint, digest binary" + "".join(f", {c} bigint" for c in PROFILE) + ", keys binary, row struct<a:bigint,b:bigint>")
+    return chosen.mapInArrow(tidy(each), "doc_id bigint, digest binary" + "".join(f", {c} bigint" for c in PROFILE) + ", keys binary, row struct<a:bigint,b:bigint>, mark bigint")
 
 
 #: Rows of the index: a key, and a set of shingles with its profile.
@@ -466,9 +469,27 @@ def _pairs(spark: SparkSession, sets: DataFrame, posting: int | None) -> DataFra
     return materialize(spark, links_.groupBy("a", "b").agg(F.max("forest").alias("forest")), "copy-pairs")
 
 
-def copy_links(spark: SparkSession, distinct: DataFrame, docs: DataFrame, posting: int | None = None) -> DataFrame:
+def marked_links(spark: SparkSession, marks: DataFrame) -> DataFrame:
+    """Links a, b (a < b) among sets (mark: the fingerprint of a document of the set, fp) by links of fingerprints: the least set of each to
+    that of the other, and to all others of its own."""
+    marks = materialize(spark, marks, "copy-marks")
+    least = materialize(spark, marks.groupBy("mark").agg(F.min("fp").alias("b"), F.count("*").alias("n")), "copy-marks-least")
+    same = lookup(marks, least, "mark", "n", marks.count()).select(F.col("fp").alias("a"), "b")
+    near = materialize(spark, links(spark, least.select(F.col("mark").alias("fp"))), "copy-marks-links")
+    total = near.count()
+    for end in ("a", "b"):
+        times = near.groupBy(F.col(end).alias("mark")).agg(F.count("*").alias("n"))
+        near = lookup(near, times.join(least.select("mark", F.col("b").alias(f"least_{end}")), "mark").withColumnRenamed("mark", end), end, "n", total)
+    both = same.union(near.select("least_a", "least_b")).where("a <> b")
+    return materialize(spark, both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copy-marked")
+
+
+def copy_links(spark: SparkSession, distinct: DataFrame, docs: DataFrame, marks: DataFrame, posting: int | None = None) -> DataFrame:
     """Links a, b among distinct sets (fp, PROFILE, keys, row) that have the same components as all pairs of 0.8 and more.
 
+    The links of fingerprints (marks: mark, fp) that hold come first; of the other candidates only those between groups that these leave
+    apart are verified.
+
     Candidates of large postings are first a forest and the links of a middle. Families (what these links connect, held or not) in
     which that leaves several groups are then compared whole, set by set, so what is linked doesn't hang on which forest
     was taken: all that are close in a posting are in one family.
@@ -489,27 +510,37 @@ def copy_links(spark: SparkSession, distinct: DataFrame, docs: DataFrame, postin
         whole = some.join(sides[0], "a").join(sides[1], "b").select("a", "b", "forest", "x", "y")
         return materialize(spark, whole.mapInArrow(tidy(hold), "a bigint, b bigint, forest boolean"), "copy-links")
 
+    def apart(some: DataFrame, groups: DataFrame) -> DataFrame:
+        """Those of some links (a, b) whose ends are in two groups, with the groups _a, _b."""
+        for end in ("a", "b"):
+            some = some.join(groups.withColumnsRenamed({"node": "_node", "root": f"_{end}"}), F.col(end) == F.col("_node"), "left").drop("_node")
+        return some.where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+
+    marked = marked_links(spark, marks)
+    freed(spark)
     found = _pairs(spark, distinct, posting)
     freed(spark)
-    ends = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
+    both = found.select("a", "b").union(marked)
+    ends = both.select(F.col("a").alias("fp")).union(both.select("b")).distinct()
     rows = distinct.select("fp", "row").join(ends, "fp", "left_semi").select("fp", F.col("row").alias("_row"))
     texts = docs.select("text", row_key().alias("row")).join(rows, F.col("row") == F.col("_row")).select("fp", "text")
     sets = materialize(spark, texts.mapInArrow(tidy(each), "fp bigint, shingles binary").dropDuplicates(["fp"]), "copy-sets")
     freed(spark)
-    good = verified(found)
+    first = verified(marked.withColumn("forest", F.lit(False)))
+    rest = apart(found, components(spark, first.select("a", "b"))).select("a", "b", "forest")
+    good = first.union(verified(rest))
     freed(spark)
     failed = materialize(spark, found.where("forest").join(good.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "copy-failed")
     if failed.isEmpty():
         return good.select("a", "b")
     groups = materialize(spark, components(spark, good.select("a", "b")), "copy-groups")
-    for end in ("a", "b"):
-        failed = failed.join(groups.withColumnsRenamed({"node": "_node", "root": f"_{end}"}), F.col(end) == F.col("_node"), "left").drop("_node")
-    if failed.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).isEmpty():
+    failed = apart(failed, groups)
+    if failed.isEmpty():
         return good.select("a", "b")
     families = materialize(spark, components(spark, found.where("forest").select("a", "b")), "copy-families")
     family = lambda fp: F.coalesce("_family", fp)
     by_node = families.withColumnsRenamed({"node": "_node", "root": "_family"})
-    torn = failed.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).join(by_node, F.col("a") == F.col("_node"), "left").select(family("a").alias("_torn")).distinct()
+    torn = failed.join(by_node, F.col("a") == F.col("_node"), "left").select(family("a").alias("_torn")).distinct()
     members = sets.join(by_node, F.col("fp") == F.col("_node"), "left").select("fp", "shingles", family("fp").alias("family")).join(torn, F.col("family") == F.col("_torn"), "left_semi")
     members = members.join(groups, F.col("fp") == F.col("node"), "left").select("family", "fp", F.coalesce("root", "fp").alias("grp"), "shingles")
     return good.select("a", "b").union(family_links(spark, materialize(spark, members, "copy-members")))
@@ -568,7 +599,9 @@ def similar(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
 
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, digest, row, root and component_id, by links of near copies (Jaccard similarity of five-word shingles of 0.8 and more)."""
-    return grouped(spark, materialize(spark, profiles(spark, docs), "profiles"), "digest", lambda distinct: copy_links(spark, distinct, docs))
+    each = materialize(spark, profiles(spark, docs), "profiles")
+    marks = each.select("digest", "mark").distinct()
+    return grouped(spark, each, "digest", lambda distinct: copy_links(spark, distinct, docs, marks.join(distinct.select("digest", "fp"), "digest").select("mark", "fp")))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -280,3 +280,24 @@ def test_similar_texts_below_the_limit_stay(spark):
     assert len({want[i] for i, _ in rows[:32]}) == 32 and len(set(want.values())) < len(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id: x.component_id for x in op4_simhash.near_copies(spark, docs).collect()} == want
+
+
+def test_near_copies_come_through_the_index_of_fingerprints(spark, monkeypatch):
+    """With no candidates but the links of fingerprints: those within four bits that the sets confirm are groups."""
+    r = random.Random(23)
+    rows = [(100 * k + i, t) for k in range(6) for i, t in enumerate(family(r, 600, 3, 1 + k))]
+    spam = ["buy this now and save"] * 400
+    rows += [(1000 + i, " ".join(spam + [f"own{i}x{k}" for k in range(60)])) for i in range(2)]  # equal but for few words, sets far apart
+    rows += [(2000 + i, t) for i, t in enumerate(["One two", "one  two", "ONE TWO three"])]
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    texts = dict(rows)
+    near = {(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= 4}
+    assert (1000, 1001) in near and similarity(texts[1000], texts[1001]) < 0.2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {x.doc_id: x.component_id for x in op4_simhash.near_copies(spark, docs).collect()}
+    monkeypatch.setattr(op4_simhash, "_pairs", lambda spark, *_: spark.createDataFrame([], "a long, b long, forest boolean"))
+    got = {x.doc_id: x.component_id for x in op4_simhash.near_copies(spark, docs).collect()}
+    joined = {(i, j) for i, j in near if got[i] == got[j]}
+    assert all(whole[i] == whole[j] for i in got for j in got if got[i] == got[j])
+    assert len({i // 100 for i, j in joined if j < 600}) >= 3 and joined >= {(i, j) for i, j in near if i < 600 and j == i + 1 and i % 100 == 0}
+    assert got[1000] != got[1001] and got[2001] == 2000 and got[2002] == 2002
