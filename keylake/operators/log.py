@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 KEY = ["schema", "hash", "range_enc"]
 HISTORY, CHANGES_MOST = 250_000, 500
 NANOS = 1_000_000_000
+#: Rows that one task sorts, but for keys that have more.
+SORTED_ROWS = 500_000
 
 
 def latest(log: DataFrame, key: list[str] = KEY, order: list[str] | None = None) -> DataFrame:
@@ -43,14 +45,20 @@ def overlay(committed: DataFrame, pending: DataFrame, key: list[str] = KEY) -> D
     return latest(layers, key, ["_layer", "seq"]).where("NOT deleted").drop("_layer")
 
 
-def version_counts(log: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Per key: versions, creates, updates and deletes, in log order.
+def version_counts(log: DataFrame, key: list[str] = KEY, order: list[str] | None = None) -> DataFrame:
+    """Per key: versions, creates, updates and deletes, in log order (by seq or other order columns).
 
-    A live row creates if the row before it is a tombstone or missing. Rows before are found by lag within the key.
+    A live row creates if the row before it is a tombstone or missing. One sort within the keys gives a row's predecessor and the
+    counts up to it, and a key's last row has them all, so no task holds a table of its keys. Keys are dealt out to tasks of about
+    SORTED_ROWS rows, however many rows the log has.
     """
-    before = F.lag("deleted").over(Window.partitionBy(*key).orderBy("seq"))
-    kinds = log.select(*key, "deleted", F.coalesce(before, F.lit(True)).alias("gone"))
-    return kinds.groupBy(*key).agg(F.count("*").alias("versions"), F.count_if(F.expr("NOT deleted AND gone")).alias("created"), F.count_if(F.expr("NOT deleted AND NOT gone")).alias("updated"), F.count_if(F.expr("deleted AND NOT gone")).alias("deletes"))
+    rows = log.select(*key, "deleted", *(order or ["seq"]))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SORTED_ROWS))
+    within = Window.partitionBy(*key).orderBy(*(order or ["seq"]))
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kinds = rows.repartition(tasks, *key).withColumns({"gone": F.coalesce(F.lag("deleted").over(within), F.lit(True)), "last": F.lead(F.lit(True)).over(within).isNull()})
+    counts = {"versions": F.count("*"), "created": F.count_if(F.expr("NOT deleted AND gone")), "updated": F.count_if(F.expr("NOT deleted AND NOT gone")), "deletes": F.count_if(F.expr("deleted AND NOT gone"))}
+    return kinds.select(*key, "last", *[n.over(so_far).alias(c) for c, n in counts.items()]).where("last").drop("last")
 
 
 def changes(log: DataFrame) -> DataFrame:

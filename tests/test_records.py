@@ -419,6 +419,30 @@ def test_catalog():
         c.resolve("notes")
 
 
+# version counts ---------------------------------------------------------------------------------------------------------
+def test_version_counts_need_no_table_of_keys_and_more_tasks_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(log, "SORTED_ROWS", 50)
+    r = random.Random(8)
+    rows = [("s", None if r.random() < 0.05 else str(int(r.paretovariate(0.7))), r.choice(["", "a"]), i, r.random() < 0.3) for i in r.sample(range(5000), 600)]
+    want = {}
+    for s, h, g, _, dead in sorted(rows, key=lambda x: x[3]):
+        n = want.setdefault((s, h, g), [0, 0, 0, 0, True])
+        n[0] += 1
+        if not dead:
+            n[1 if n[4] else 2] += 1
+        elif not n[4]:
+            n[3] += 1
+        n[4] = dead
+    frame = spark.createDataFrame(rows, "schema string, hash string, range_enc string, seq long, deleted boolean")
+    other = frame.select("schema", "hash", "range_enc", "deleted", F.expr("seq div 10").alias("at"), F.expr("seq % 10").alias("then"))
+    for got in (log.version_counts(frame), log.version_counts(other, order=["at", "then"])):
+        assert got.columns == ["schema", "hash", "range_enc", "versions", "created", "updated", "deletes"]
+        assert {tuple(x)[:3]: list(x)[3:] for x in got.collect()} == {k: n[:4] for k, n in want.items()} and got.count() == len(want)
+        plan = got._jdf.queryExecution().toString()
+        assert "HashAggregate" not in plan.split("Physical Plan")[1] and "REPARTITION_BY_NUM" in plan and ", 12)" in plan
+    assert log.version_counts(frame.limit(0)).count() == 0
+
+
 # streaming --------------------------------------------------------------------------------------------------------------
 def test_windows_drop_late_rows_and_duplicates(spark, tmp_path):
     schema = "entry_hash string, ts timestamp, value long"
