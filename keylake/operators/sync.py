@@ -9,7 +9,9 @@ hold most rows: only windows over one stream are sequential, everything else is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,12 +130,17 @@ def owners(entries: DataFrame) -> DataFrame:
     return entries.where("kind = 'birth'").groupBy("database_id").agg(F.min_by("grantee", F.struct("lamport", "arrival")).alias("owner"))
 
 
-def unauthorised(entries: DataFrame, own: DataFrame) -> DataFrame:
-    """Entries that their writer had no right to write: entry_hash, why. Publishers may write all."""
-    x = entries.join(own, "database_id", "left")
+def unauthorised(entries: DataFrame, own: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Entries that their writer had no right to write: entry_hash, why. Publishers may write all.
+
+    Who publishes is asked once a writer, and only what others wrote goes into the joins. cut: may write the table of these writers.
+    """
     publisher = F.col("node_key") == F.col("owner")
-    grants = x.where((F.col("kind") == "grant") & publisher)
-    member = x.where(~F.coalesce(publisher, F.lit(False)) & F.col("kind").isin("data", "bundle"))
+    writers = entries.select("database_id", "node_key").distinct().join(own, "database_id", "left")
+    others = cut(writers.where(~F.coalesce(publisher, F.lit(False))).select(F.col("database_id").alias("_database"), F.col("node_key").alias("_node")))
+    by_others = entries.join(others, F.col("database_id").eqNullSafe(F.col("_database")) & F.col("node_key").eqNullSafe(F.col("_node")), "left_semi")
+    grants = entries.where("kind = 'grant'").join(own, "database_id").where(publisher)
+    member = by_others.where(F.col("kind").isin("data", "bundle"))
     named = grants.select("database_id", F.col("entry_hash").alias("head"), F.col("device_id").alias("grant_device"), F.col("writer_seq").alias("grant_seq"))
     seen = member.select("database_id", "entry_hash", "grant_device", "grant_seq", F.explode("seen_heads").alias("head")).join(named, ["database_id", "head", "grant_device", "grant_seq"]).select("database_id", "entry_hash", F.lit(True).alias("_named")).distinct()
     reduced = reductions(grants).select("database_id", F.col("grantee").alias("node_key"), F.lit(0).alias("_none")).distinct()
@@ -150,50 +157,83 @@ def unauthorised(entries: DataFrame, own: DataFrame) -> DataFrame:
         .when(~direct & ~F.coalesce(role.isin("submit", "write"), F.lit(False)), "no submit role")
         .when(F.col("writer_seq") > F.coalesce("cutoff", "_none"), "past the cutoff")
     )
-    away = x.where(~F.coalesce(publisher, F.lit(False)) & F.col("kind").isin("grant", "heads", "relays", "blob_delete")).select("database_id", "entry_hash", F.lit("publisher only").alias("why"))
+    away = by_others.where(F.col("kind").isin("grant", "heads", "relays", "blob_delete")).select("database_id", "entry_hash", F.lit("publisher only").alias("why"))
     return y.select("database_id", "entry_hash", why.alias("why")).where("why IS NOT NULL").union(away)
 
 
 def accept(entries: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every distinct entry with its outcome: accepted, pending (something it builds on is missing) or rejected, and the reason.
 
-    Local faults are found by joins and windows. Whatever builds on an entry that isn't accepted is pending; that spreads
-    along streams by one window a round and between streams by one join a round, so rounds count hops between streams.
-    cut: cuts the lineage between rounds; by default a table in the folder that driver and executors share.
+    What shows within a stream is found in one pass over the streams, which is written once. What hangs on other streams is then joined
+    from narrow tables: the seen heads, the entries they name, faults, and stops. A stop is the place from which on a stream is
+    pending; stops spread between streams over the seen heads alone, by one join a round, so rounds count hops between streams.
+    cut: cuts the lineage of these tables; by default a table in the folder that driver and executors share.
     """
     cut = cut or (lambda df: written(df.sparkSession, df))
     e = entries.groupBy("entry_hash").agg(F.min_by(F.struct(*[c for c in entries.columns if c != "entry_hash"]), "arrival").alias("_e")).select("entry_hash", "_e.*")
-    frozen = equivocations(e).select(*STREAM, F.col("writer_seq").alias("_at"), "held_hash")
-    first = frozen.groupBy(*STREAM).agg(F.min("_at").alias("_frozen"))
-    e = e.join(frozen.withColumnRenamed("_at", "writer_seq"), [*STREAM, "writer_seq"], "left").join(first, STREAM, "left")
-    e = e.withColumn("reason", F.when(~F.col("signature_valid"), "signature").when(F.col("held_hash").isNotNull() & (F.col("held_hash") != F.col("entry_hash")), "equivocation").when(F.col("writer_seq") > F.col("_frozen"), "frozen").when(F.col("writer_seq") < 1, "malformed"))
-    bare = [c for c in e.columns if c not in ("held_hash", "_frozen")]
-    e = e.select(*bare)
-    chained = e.where("reason IS NULL OR reason = 'frozen'").drop("reason")
-    broken = chain_faults(chained).where("fault = 'broken'").select("database_id", "entry_hash", F.lit("malformed").alias("_r"))
-    late = lamport_expected(chained).where("lamport <> expected").select("database_id", "entry_hash", F.lit("lamport").alias("_r"))
-    barred = unauthorised(chained, owners(chained)).select("database_id", "entry_hash", F.lit("unauthorised").alias("_r"))
-    order = F.when(F.col("_r") == "malformed", 0).when(F.col("_r") == "lamport", 1).otherwise(2)
-    local = broken.union(late).union(barred).groupBy("database_id", "entry_hash").agg(F.min_by("_r", order).alias("_r"))
-    e = cut(e.join(local, ["database_id", "entry_hash"], "left").withColumn("reason", F.coalesce("reason", "_r")).drop("_r"))
-    gaps = chain_faults(e.where(F.col("reason").isNull() | ~F.col("reason").isin(*BESIDE)).drop("reason")).where("fault = 'gap'").select(*STREAM, F.col("writer_seq").alias("_gap"))
-    stop = gaps.groupBy(*STREAM).agg(F.min("_gap").alias("_stop"))
-    hard = F.coalesce(F.col("reason").isin(*HARD), F.lit(False))  # whatever else holds; other faults show only once all that an entry builds on is there
-    e = e.join(stop, STREAM, "left").withColumn("pending", ~hard & F.coalesce(F.col("writer_seq") >= F.col("_stop"), F.lit(False))).drop("_stop")
-    needs = dependencies(e)
+    e = cut(_within_streams(e))
+    chained = F.col("reason").isNull() | (F.col("reason") == "frozen")
+    # faults that hang on other streams
+    deps = cut(e.where("database_id IS NOT NULL AND entry_hash IS NOT NULL").select(*STREAM, "entry_hash", "lamport", "reason", "_before", "_at", "_hard", F.explode("seen_heads").alias("head")))
+    named = deps.select(F.col("database_id").alias("_database"), F.col("head").alias("_head")).distinct()
+    heads = e.join(named, (F.col("database_id") == F.col("_database")) & (F.col("entry_hash") == F.col("_head")), "left_semi")
+    heads = cut(heads.select("database_id", F.col("entry_hash").alias("head"), F.col("node_key").alias("h_node"), F.col("device_id").alias("h_device"), F.col("_at").alias("h_at"), F.when(chained, F.col("lamport")).alias("_l"), (F.col("reason").isNull() & ~F.col("_malformed") & ~F.col("_late") & ~F.col("_pending")).alias("_fine")))
+    seen = deps.where(chained).join(heads.select("database_id", "head", "_l"), ["database_id", "head"], "left").groupBy("database_id", "entry_hash").agg(F.max("_l").alias("_seen"), F.first("lamport").alias("lamport"), F.first("_before").alias("_before"))
+    late = seen.where(F.col("lamport") != 1 + F.greatest("_before", F.coalesce("_seen", F.lit(0)))).select("database_id", "entry_hash", F.lit("lamport").alias("_r"))
+    barred = unauthorised(e.where(chained), cut(owners(e.where(chained))), cut).select("database_id", "entry_hash", F.lit("unauthorised").alias("_r"))
+    found = cut(late.union(barred).groupBy("database_id", "entry_hash").agg(F.min("_r").alias("_r")))  # lamport goes before unauthorised
+    faulty = e.join(found, ["database_id", "entry_hash"], "left_semi").select(*STREAM, (F.col("_at") + 1).alias("stop"))
+    ill = found.select("database_id", F.col("entry_hash").alias("head"), F.lit(True).alias("_ill"))
+    edges = deps.select(*STREAM, "head", (F.col("_at") + F.col("_hard").cast("long")).alias("stop")).join(heads.drop("_l"), ["database_id", "head"], "left").join(ill, ["database_id", "head"], "left")
+    edges = cut(edges.select(*STREAM, "stop", "h_node", "h_device", "h_at", (F.coalesce("_fine", F.lit(False)) & F.col("_ill").isNull()).alias("_fine")))
+    # stops, until none moves
+    least = lambda rows: cut(rows.groupBy(*STREAM).agg(F.min("stop").alias("stop")))
+    to = lambda stops, *names: (stops.select(*[F.col(c).alias(f"_{c}") for c in STREAM], F.col("stop").alias("_stop")), _same(names, [f"_{c}" for c in STREAM]), "left")
+    stops = least(faulty)
     while True:
-        fine = e.where("reason IS NULL AND NOT pending").select("database_id", F.col("entry_hash").alias("head"))
-        missing = needs.join(fine, ["database_id", "head"], "left_anti").select("database_id", "entry_hash", F.lit(True).alias("_waits")).distinct()
-        x = e.join(missing, ["database_id", "entry_hash"], "left")
-        down = Window.partitionBy(*STREAM).orderBy("writer_seq").rowsBetween(Window.unboundedPreceding, -1)
-        stuck = F.coalesce(F.max((F.col("reason").isNotNull() & ~F.col("reason").isin(*BESIDE)) | F.col("pending") | F.coalesce("_waits", F.lit(False))).over(down), F.lit(False))
-        after = cut(x.withColumn("_p", ~hard & (F.col("pending") | F.coalesce("_waits", F.lit(False)) | stuck)).drop("_waits"))
-        changed = not after.where("_p AND NOT pending").isEmpty()
-        e = after.withColumn("pending", F.col("_p")).drop("_p")
-        if not changed:
+        waits = edges.join(*to(stops, "database_id", "h_node", "h_device")).where(~F.col("_fine") | F.coalesce(F.col("h_at") >= F.col("_stop"), F.lit(False)))
+        after = least(faulty.union(waits.select(*STREAM, "stop")))
+        moved = not after.join(*to(stops, *STREAM)).where("_stop IS NULL OR stop < _stop").isEmpty()
+        stops = after
+        if not moved:
             break
-    outcome = F.when(F.col("pending"), "pending").when(F.col("reason").isNotNull(), "rejected").otherwise("accepted")
-    return e.select(*entries.columns, outcome.alias("outcome"), F.when(~F.col("pending"), F.col("reason")).alias("reason"))
+    e = e.join(found, ["database_id", "entry_hash"], "left").join(*to(stops, *STREAM))
+    pending = F.col("_pending") | (~F.col("_hard") & F.coalesce(F.col("_at") >= F.col("_stop"), F.lit(False)))
+    reason = F.coalesce("reason", F.when(F.col("_malformed"), "malformed"), F.when(F.col("_late"), "lamport"), "_r")
+    outcome = F.when(pending, "pending").when(reason.isNotNull(), "rejected").otherwise("accepted")
+    return e.select(*entries.columns, outcome.alias("outcome"), F.when(~pending, reason).alias("reason"))
+
+
+def _same(a: Iterable[str], b: Iterable[str]) -> Column:
+    return reduce(and_, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b, strict=True)])
+
+
+def _within_streams(entries: DataFrame) -> DataFrame:
+    """Distinct entries with all that shows within their streams, by one sort.
+
+    reason (signature, equivocation, frozen, malformed by place), _malformed (broken link), _late (Lamport time of an entry without seen
+    heads), _before (Lamport time before it), _at (its place), _hard (a reason that holds whatever else is missing), and _pending (behind a gap or a fault).
+    """
+    place, stream = Window.partitionBy(*STREAM, "writer_seq"), Window.partitionBy(*STREAM).orderBy("writer_seq")
+    so_far, earlier = stream.rowsBetween(Window.unboundedPreceding, Window.currentRow), stream.rowsBetween(Window.unboundedPreceding, -1)
+    keyed = reduce(and_, [F.col(c).isNotNull() for c in (*STREAM, "writer_seq")])
+    twice = keyed & (F.count("entry_hash").over(place) > 1)
+    e = entries.repartition(*STREAM).withColumn("_held", F.when(twice, F.min_by("entry_hash", "arrival").over(place))).withColumn("_twice", twice)
+    e = e.withColumn("_frozen", F.min(F.when(F.col("_twice"), F.col("writer_seq"))).over(so_far))
+    e = e.withColumn("reason", F.when(~F.col("signature_valid"), "signature").when(F.col("_held").isNotNull() & (F.col("_held") != F.col("entry_hash")), "equivocation").when(F.col("writer_seq") > F.col("_frozen"), "frozen").when(F.col("writer_seq") < 1, "malformed"))
+    beside, chained = F.coalesce(F.col("reason").isin(*BESIDE), F.lit(False)), F.col("reason").isNull() | (F.col("reason") == "frozen")
+    last = lambda which, *names: F.last(F.when(which, F.struct(*names)), ignorenulls=True).over(earlier)
+    e = e.withColumns({"_link": last(chained, "writer_seq", "entry_hash", "lamport"), "_step": last(~beside, "writer_seq")})
+    named = F.col("database_id").isNotNull() & F.col("entry_hash").isNotNull()
+    next_ = F.col("writer_seq") == F.coalesce("_link.writer_seq", F.lit(0)) + 1
+    broken = chained & named & F.coalesce(next_, F.lit(True)) & (F.coalesce("prev_hash", F.lit("")) != F.coalesce("_link.entry_hash", F.lit("")))
+    before = F.coalesce("_link.lamport", F.lit(0))
+    late = chained & named & (F.coalesce(F.size("seen_heads"), F.lit(0)) < 1) & F.coalesce(F.col("lamport") != 1 + F.greatest(before, F.lit(0)), F.lit(False))
+    gap = ~beside & F.coalesce(F.col("writer_seq") != F.coalesce("_step.writer_seq", F.lit(0)) + 1, F.lit(False))
+    e = e.withColumns({"_malformed": broken, "_late": late, "_before": before, "_gap": gap, "_at": F.coalesce("writer_seq", F.lit(-(1 << 62))), "_hard": F.coalesce(F.col("reason").isin(*HARD), F.lit(False))})
+    stuck = F.coalesce(F.max((F.col("reason").isNotNull() & ~beside) | F.col("_malformed") | F.col("_late") | F.col("_gap")).over(earlier), F.lit(False))
+    e = e.withColumn("_pending", ~F.col("_hard") & (stuck | F.col("_gap")))
+    return e.select(*entries.columns, "reason", "_malformed", "_late", "_before", "_at", "_hard", "_pending")
 
 
 def unpacked(bundles: DataFrame) -> DataFrame:

@@ -740,10 +740,13 @@ def accepted_entries(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     ident = lambda c: F.sha2(c.cast("string"), 256)
-    before = F.when((F.col("event_id") % 50 == 0) & (F.col("event_id") > 0), "wrong").otherwise(F.coalesce(ident(F.lag("event_id").over(w)), F.lit("")))
     user, none = F.col("user_id").cast("string"), F.lit(None)
-    born = Window.partitionBy("user_id").orderBy("event_id")
-    rows = e.withColumns({"seq": F.row_number().over(w).cast("long"), "prev": before}).where("event_id % 97 <> 96").withColumn("first", F.row_number().over(born) == 1)
+    kept = F.col("event_id") % 97 != 96
+    born = F.min(F.when(kept, F.col("event_id"))).over(Window.partitionBy("user_id"))
+    rows = e.select("user_id", "event_type", "ts", "event_id").withColumn("first", born == F.col("event_id"))  # a user's partition holds all of its chains
+    rows = rows.withColumns({"seq": F.row_number().over(w).cast("long"), "_before": F.lag("event_id").over(w)}).where(kept)
+    before = F.when((F.col("event_id") % 50 == 0) & (F.col("event_id") > 0), "wrong").otherwise(F.coalesce(ident(F.col("_before")), F.lit("")))
+    rows = rows.withColumn("prev", before)
     entries = rows.select(
         user.alias("database_id"), user.alias("node_key"), F.col("event_type").alias("device_id"), F.col("seq").alias("writer_seq"), F.col("prev").alias("prev_hash"), F.col("seq").alias("lamport"), F.array().cast("array<string>").alias("seen_heads"),
         F.when(F.col("first"), "birth").otherwise("data").alias("kind"), F.lit("direct").alias("stream"), none.cast("string").alias("role"), user.alias("grantee"), F.array().cast("array<struct<device_id:string,writer_seq:bigint>>").alias("cutoffs"), none.cast("string").alias("grant_device"),

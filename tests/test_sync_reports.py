@@ -54,6 +54,30 @@ def test_a_good_log_is_accepted_in_any_order(spark):
     assert log.outcomes(spark, shuffled) == want
 
 
+def test_acceptance_writes_whole_entries_once(spark):
+    log, grant = started()
+    a = log.add("m", seen=[grant], grant=2)
+    b = log.add("n", seen=[a, "lost"])  # no grant, and waits
+    c = log.add("o", seen=[b])  # waits one hop on
+    d = log.add("o")
+    log.add("m", seen=[grant, d], grant=2)  # and two
+    forged = log.add("o", device="e", seen=["lost"], signature_valid=False)
+    names = [x.split()[0] for x in ENTRY.split(", ")]
+    frame = spark.createDataFrame([tuple(r[n] for n in names) for r in log.rows], ENTRY).withColumn("payload", F.repeat("entry_hash", 1000))
+    tables = []
+
+    def cut(df):
+        tables.append(df.columns)
+        return df.cache()
+
+    got = sync.accept(frame, cut)
+    assert got.columns == [*frame.columns, "outcome", "reason"]
+    assert {r.entry_hash: (r.outcome, r.reason) for r in got.collect()} == {
+        "od1": ("accepted", None), "od2": ("accepted", None), a: ("accepted", None), b: ("pending", None), c: ("pending", None), d: ("pending", None), "md2": ("pending", None), forged: ("rejected", "signature")
+    }
+    assert sum("payload" in names for names in tables) == 1 and sum("prev_hash" in names for names in tables) == 1
+
+
 def test_what_is_rejected(spark):
     log, grant = started()
     log.add("x", seen=[grant], grant=2)  # no grant to x
