@@ -68,8 +68,22 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Rows that a worker takes up at once at most: whole texts may be long.
-BATCH_ROWS = 2000
+#: Rows that a worker takes up at once at most: whole texts may be long. And bytes of rows that Spark packs for it at once: the batch
+#: stands in the executor's direct memory and again in the worker's, for each task.
+BATCH_ROWS, BATCH_BYTES, BATCH_LIMIT = 2000, 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches for workers end after the row that reaches BATCH_BYTES, unless the session has a limit of its own."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def handed_back() -> None:
+    """Gives a worker's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -78,9 +92,7 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, max(batch.num_rows, 1), BATCH_ROWS))
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        handed_back()
 
     return run
 

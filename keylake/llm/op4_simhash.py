@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import binary, bounded_sample, freed, load, lookup, materialize, parallelism, spread, tidy
+from keylake.llm.common import binary, bounded_sample, freed, handed_back, load, lookup, materialize, parallelism, spread, tidy
 from keylake.llm.components import components
 
 SHINGLE, DISTANCE, SEED, BYTES, POSTING = 4, 4, 42, 8, 4096
@@ -332,6 +332,7 @@ def profiles(spark: SparkSession, docs: DataFrame) -> DataFrame:
 ENTRY = ["key", "fp", *PROFILE]
 #: A task compares two blocks of sets of a family at most; a block has about so many sets and bytes.
 BLOCK_SETS, BLOCK_BYTES = 2048, 8 << 20
+ROWS_AT_ONCE = 256
 
 
 def _close(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
@@ -573,13 +574,18 @@ def family_links(spark: SparkSession, members: DataFrame) -> DataFrame:
                 a.append(np.full(len(reached), i))
                 b.append(reached)
                 stack += reached.tolist()
+        del near
+        handed_back()
         return pa.table({"a": fp[np.concatenate(a)], "b": fp[np.concatenate(b)]})
 
     return materialize(spark, cells.groupBy("family", "lo", "hi").applyInArrow(compare, "a bigint, b bigint"), "copy-family-links")
 
 
-def similar(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
-    """Whether each two of some sets have a Jaccard similarity of 0.8 or more: a product of matrices counts what they share."""
+def similar(sets: list[np.ndarray], columns: int = 1024) -> np.ndarray:
+    """Whether each two of some sets have a Jaccard similarity of 0.8 or more: a product of matrices counts what they share.
+
+    Of the numbers for each two sets only the counts are held whole; products and comparisons are taken ROWS_AT_ONCE rows at a time.
+    """
     size = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), size)
     _, place, times = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
@@ -593,8 +599,12 @@ def similar(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
         a, b = np.searchsorted(column, [at, at + columns])
         part = np.zeros((len(sets), columns), np.float32)
         part[owner[a:b], column[a:b] - at] = 1
-        shared += part @ part.T
-    return 9 * shared >= 4 * (size[:, None] + size[None, :])
+        for row in range(0, len(sets), ROWS_AT_ONCE):
+            shared[row : row + ROWS_AT_ONCE] += part[row : row + ROWS_AT_ONCE] @ part.T
+    near = np.zeros(shared.shape, bool)
+    for row in range(0, len(sets), ROWS_AT_ONCE):
+        near[row : row + ROWS_AT_ONCE] = 9 * shared[row : row + ROWS_AT_ONCE] >= 4 * (size[row : row + ROWS_AT_ONCE, None] + size[None, :])
+    return near
 
 
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:

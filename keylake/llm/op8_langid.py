@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keylake.llm.common import held_out, load, materialize, spread, tidy
+from keylake.llm.common import handed_back, held_out, load, materialize, spread, tidy
 
 FOLDS, DIM_BITS, ORDERS, CENTROIDS = 4, 14, 4, 4
 DIM = 1 << DIM_BITS
@@ -62,8 +62,10 @@ def counts(found: str) -> np.ndarray:
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    """Rows at length 1, in place."""
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    """Rows at length 1, in place; some at a time, as their squares take twice the rows' own memory."""
+    for at in range(0, len(rows), AT_ONCE):
+        some = rows[at : at + AT_ONCE]
+        some /= np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-9)
     return rows
 
 
@@ -149,6 +151,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         for n in LENGTHS:
             cuts = [t[i * 7 % (len(t) - n) :][:n] for i, t in enumerate(texts) if len(t) > n] or texts
             least.append(min(float((vectors(cuts[at : at + AT_ONCE], idf) @ middle.T).max(1).min()) for at in range(0, len(cuts), AT_ONCE)))
+        handed_back()
         return pa.table({"lang": [key[0].as_py()] * len(middle), "centroid": [*middle.astype(np.float32)], "least": [least] * len(middle)}, schema)
 
     schema = pa.schema([("lang", pa.string()), ("centroid", pa.list_(pa.float32())), ("least", pa.list_(pa.float64()))])

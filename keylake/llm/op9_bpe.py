@@ -20,7 +20,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,9 @@ from keylake.llm.common import load, spread, tidy
 END = "\0"
 #: A letter of private use, in no class of the word pattern.
 UNASSIGNED = "\ue000"
-#: Words whose encoding is kept for the next documents, and the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Words whose encoding is kept for the next documents of a task (some 450 bytes each, in every worker), how many of these stay when there
+#: are more and between tasks (a worker lives on, and other stages run in it), and the longest word kept.
+CACHE_WORDS, KEPT_WORDS, CACHE_LENGTH = 100_000, 30_000, 64
 #: Words of up to so many letters merge by plain search for the lowest rank, longer ones by a heap.
 SHORT, NEVER = 32, 1 << 62
 
@@ -181,6 +182,11 @@ class Bpe:
             found[i] = self.exact(spelled[i])
         return found
 
+    def trimmed(self) -> None:
+        """Keeps the encodings of the KEPT_WORDS words met first: frequent words come early."""
+        self.cached_ids = dict(islice(self.cached_ids.items(), KEPT_WORDS))
+        self.cached_names = dict(islice(self.cached_names.items(), KEPT_WORDS))
+
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
         parts = []
@@ -188,8 +194,7 @@ class Bpe:
             pieces = self.split.split(text) if self.split else [text]
             parts.append([p if i % 2 else self.words(p) for i, p in enumerate(pieces)])
         if len(self.cached_ids) > CACHE_WORDS:
-            self.cached_ids.clear()
-            self.cached_names.clear()
+            self.trimmed()
         ids, names = self.cached_ids, self.cached_names
         new = [*set().union(*(words for part in parts for words in part[::2])).difference(ids)]
         for w, tokens in zip(new, self.encode_words(new), strict=True):
@@ -231,6 +236,7 @@ def encoded(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFram
                 ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(i for i, _ in got), "<i4")))
                 some = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([some["_id"], *[some[c.name] for c in extra], pa.array([len(i) // 4 for i, _ in got], pa.int64()), ids, pa.array([d for _, d in got], pa.string())], ["doc_id", *carry, "n_tokens", "ids", "decoded"])
+        bpe.trimmed()
 
     schema = "doc_id bigint, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in extra) + "n_tokens bigint, ids array<int>, decoded string"
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *carry).mapInArrow(tidy(encode), schema)
@@ -249,6 +255,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     for to, x in zip(sums, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), strict=True):
                         to.append(x)
             yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.string()), pa.array(sums[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.trimmed()
 
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).mapInArrow(tidy(digest), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
