@@ -59,7 +59,11 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str, replaces: DataFram
 
 
 def freed(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished jobs whose DataFrames are gone; it does so when their objects are collected."""
+    """Lets Spark drop the shuffle files of finished jobs whose DataFrames are gone; it does so when their objects are collected.
+
+    Those of the last job are held until another one has run, so an empty one does.
+    """
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
 

@@ -12,7 +12,8 @@ Probabilities: p(w) is the add-one unigram of the base score. p(w | v) = (c(v w)
 count ** SMOOTH_B stands for the number of words that may still follow. Each sums to 1 over known words and one unknown.
 
 The automaton of a corpus fits no machine, so it is never gathered. Texts are dealt into blocks of about BLOCK_BYTES, which are
-walked in a task each. In a first round a block sends each distinct word and pair of its texts once, with its count in
+walked in a task each: their words are numbered once and written as numbers, one row a block, which all rounds read. In a first
+round a block sends each distinct word and pair of its texts once, with its count in
 training texts, to the key's shard, which adds counts up over all blocks and answers each block, in the order of its keys, with
 totals. In a second round it asks the same way for the trigrams of which both pairs occur twice or more (no other can be kept)
 and for k. The block then holds just the part of the automaton that its own texts can reach. A frequent word is one entry
@@ -21,24 +22,22 @@ Counts are over all training texts; words are known by 64 bits of hash, pairs by
 
 Defined cases: a null text is an empty one, a single end token; a null doc_id is not held out and trains; documents
 repeated in the table train and are scored one by one; without training text every token has the base's equal
-probability; very long texts are one row of their block. Other columns are not read. docs must come from tables, whose rows
-are read in one order each time.
+probability; very long texts are one row of their block. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import binary, freed, held_out, load, materialize, parallelism, tidy
+from keylake.llm.common import binary, bounded_batches, freed, held_out, load, materialize, parallelism, tidy
 
 FOLDS, SMOOTH_A, SMOOTH_B = 7, 2.0, 0.9
 #: Trigrams with fewer occurrences have no arc.
@@ -102,6 +101,42 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # blocks -----------------------------------------------------------------------------------------------------------------
 
 
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens, all tokens as places in these, and the number of tokens of each text."""
+    starts = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=starts[1:])
+    column = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(starts), pa.py_buffer(b"".join(texts)))
+    cut = pc.ascii_split_whitespace(column)  # looks at bytes alone; empty words before and after white space
+    coded = cut.flatten().dictionary_encode()
+    bounds = np.zeros(len(coded.dictionary) + 1, np.int64)
+    np.cumsum(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False), out=bounds[1:])
+    spelled, bounds = (coded.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), bounds.tolist()
+    hashes = [xxhash.xxh64_intdigest(spelled[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    end = pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()
+    if end < 0:
+        end = len(hashes)
+        hashes.append(0)
+    hashes[end] = xxhash.xxh64_intdigest(END)  # empty words are dropped, so their place is free
+    word = coded.indices.to_numpy(zero_copy_only=False)
+    full = word != end
+    length = np.diff(np.concatenate([[0], full.cumsum()])[cut.offsets.to_numpy()]) + 1
+    token = np.full(int(length.sum()), end, np.int64)
+    inner = np.ones(len(token), bool)
+    inner[length.cumsum() - 1] = False
+    token[inner] = word[full]
+    return np.array(hashes, np.uint64), token, length
+
+
+def _numbered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens in order, all tokens as places in these, and the number of tokens of each text."""
+    plain = zstandard.ZstdDecompressor()
+    hashes, token, length = _tokens([plain.decompress(z) for z in table["z"].to_pylist()])
+    order = np.argsort(hashes)
+    place = np.empty(len(hashes), np.int64)
+    place[order] = np.arange(len(hashes))
+    return hashes[order], place[token], length
+
+
 class Block:
     """Tokens of a block's texts, in row order, and their distinct keys in key order.
 
@@ -110,27 +145,26 @@ class Block:
     """
 
     def __init__(self, table: pa.Table):
-        number: dict[bytes, int] = defaultdict(count().__next__)
-        flat: list[int] = []
-        self.length = np.zeros(len(table), np.int64)
-        plain = zstandard.ZstdDecompressor()
-        for i, text in enumerate(table["z"].to_pylist()):
-            words = plain.decompress(text).split()
-            words.append(END)
-            flat.extend(map(number.__getitem__, words))
-            self.length[i] = len(words)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
-        token = np.array(flat, np.int64)
-        order = np.argsort(hashes)
-        place = np.empty(len(hashes), np.int64)
-        place[order] = np.arange(len(hashes))
-        self.keys = {UNIGRAM: hashes[order]}
-        self.word = place[token]
-        self.first = np.concatenate([[0], self.length.cumsum()[:-1]]).astype(np.int64)[: len(table)]
-        before = np.roll(hashes[token], 1)
+        """table has z, a compressed lower-case text a row, and held_out."""
+        self._fill(*_numbered(table), table["held_out"])
+
+    @classmethod
+    def stored(cls, table: pa.Table) -> Block:
+        """The block of a row that _store wrote; docs has its documents' columns."""
+        (row,) = table.to_pylist()
+        block = cls.__new__(cls)
+        block.docs = pa.ipc.open_stream(row["docs"]).read_all()
+        block._fill(_unpacked_keys(row["hashes"]), _unpacked(row["tokens"]).astype(np.int64), block.docs["length"].to_numpy(), block.docs["held_out"])
+        return block
+
+    def _fill(self, hashes: np.ndarray, word: np.ndarray, length: np.ndarray, out: pa.ChunkedArray) -> None:
+        self.length, self.word, self.keys = length, word, {UNIGRAM: hashes}
+        self.first = np.concatenate([[0], length.cumsum()[:-1]]).astype(np.int64)[: len(length)]
+        own = hashes[word]
+        before = np.roll(own, 1)
         before[self.first] = START
-        self.keys[BIGRAM], _, self.pair = distinct(pair_keys(before, hashes[token]))
-        self.trains = np.repeat(~table["held_out"].to_numpy(zero_copy_only=False).astype(bool), self.length)
+        self.keys[BIGRAM], _, self.pair = distinct(pair_keys(before, own))
+        self.trains = np.repeat(~out.to_numpy(zero_copy_only=False).astype(bool), length)
 
     def counts(self, kind: int) -> np.ndarray:
         return np.bincount(self.word if kind == UNIGRAM else self.pair, self.trains, len(self.keys[kind])).astype(np.int64)
@@ -167,20 +201,36 @@ def _stretches(to: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from ((int(to[a]), a, b) for a, b in zip(edge, [*edge, len(to)][1:], strict=True))
 
 
+STORED = pa.schema([("block", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("tokens", pa.binary())])
+STORED_SQL = "block int, docs binary, hashes binary, tokens binary"
+
+
+def _store(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+    """A block's tokens as numbers, in one row, with its documents' ids, sides and lengths."""
+    hashes, word, length = _numbered(docs)
+    own = docs.select(["doc_id", "held_out"]).append_column("length", pa.array(length))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, own.schema) as out:
+        out.write_table(own)
+    return pa.Table.from_pylist([{"block": key[0].as_py(), "docs": sink.getvalue().to_pybytes(), "hashes": _packed_keys(hashes), "tokens": _packed(word)}], STORED)
+
+
 def _first_requests(shards: int):
-    def send(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-        block, rows = Block(docs), []
-        for kind, bits in ((UNIGRAM, 64), (BIGRAM, 56)):
-            keys, count = block.keys[kind], block.counts(kind)
-            rows += [{"shard": s, "block": key[0].as_py(), "kind": kind, "keys": _packed_keys(keys[a:b]), "counts": _packed(count[a:b])} for s, a, b in _stretches(_shards(keys, bits, shards))]
-        return pa.Table.from_pylist(rows, REQUEST)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, rows = Block.stored(pa.Table.from_batches([batch.slice(i, 1)])), []
+                for kind, bits in ((UNIGRAM, 64), (BIGRAM, 56)):
+                    keys, count = block.keys[kind], block.counts(kind)
+                    rows += [{"shard": s, "block": batch["block"][i].as_py(), "kind": kind, "keys": _packed_keys(keys[a:b]), "counts": _packed(count[a:b])} for s, a, b in _stretches(_shards(keys, bits, shards))]
+                yield pa.RecordBatch.from_pylist(rows, REQUEST)
 
     return send
 
 
 def _second_requests(shards: int):
-    def send(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block, rows = Block(docs), []
+    def send(key: tuple[pa.Scalar, ...], stored: pa.Table, answers: pa.Table) -> pa.Table:
+        block, rows = Block.stored(stored), []
         at, codes, _, place, states = block.trigrams(_totals(answers, BIGRAM)[0])
         count = np.bincount(place, block.trains[at], len(codes)).astype(np.int64)
         ends = np.searchsorted(codes, states + 1 << 32)
@@ -359,13 +409,13 @@ def walked(automaton: Automaton, block: Block) -> np.ndarray:
 
 
 def _scorer(n: int, v: int):
-    def score(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(docs)
+    def score(key: tuple[pa.Scalar, ...], stored: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block.stored(stored)
         words, (pairs, _), (trigrams, sums) = _totals(answers, UNIGRAM)[0], _totals(answers, BIGRAM), _totals(answers, TRIGRAM)
         step = walked(Automaton(block, n, v, words, pairs, trigrams, sums), block)
         add = lambda x: np.add.reduceat(x, block.first) if len(block.first) else x[:0]
         base = np.log10((words + 1) / (n + v + 1))[block.word]
-        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(block.length), "n_known": pa.array(add((words[block.word] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(docs), n)), "base_score": pa.array(add(base)), "score": pa.array(add(step))})
+        return pa.table({"doc_id": block.docs["doc_id"], "held_out": block.docs["held_out"], "n_tokens": pa.array(block.length), "n_known": pa.array(add((words[block.word] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(block.length), n)), "base_score": pa.array(add(base)), "score": pa.array(add(step))})
 
     return score
 
@@ -389,19 +439,21 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES), min(parallelism(spark), size // LEAST_BYTES))
     parts = max(blocks, parallelism(spark))  # a task holds about one block, however large the corpus
-    dealt = lambda: _dealt(docs, blocks, parts).groupBy("block")
+    bounded_batches(spark)
 
     def answered(requests: DataFrame, tag: str) -> DataFrame:
         return materialize(spark, requests.repartition(parts, "shard").groupBy("shard").applyInArrow(_answers, ANSWER_SQL), tag)
 
-    first = answered(dealt().applyInArrow(_first_requests(blocks), REQUEST_SQL), "lm-words")
+    stored = materialize(spark, _dealt(docs, blocks, parts).groupBy("block").applyInArrow(_store, STORED_SQL), "lm-blocks")
+    freed(spark)
+    first = answered(stored.mapInArrow(tidy(_first_requests(blocks)), REQUEST_SQL), "lm-words")
     n, v = first.agg(F.sum("words"), F.sum("known")).first()
     freed(spark)
     back = lambda df: df.repartition(parts, "block").groupBy("block")
-    second = answered(dealt().cogroup(back(first.where(F.col("kind") == BIGRAM))).applyInArrow(_second_requests(blocks), REQUEST_SQL), "lm-trigrams")
+    second = answered(back(stored).cogroup(back(first.where(F.col("kind") == BIGRAM))).applyInArrow(_second_requests(blocks), REQUEST_SQL), "lm-trigrams")
     freed(spark)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt().cogroup(back(first.union(second))).applyInArrow(_scorer(int(n or 0), int(v or 0)), schema)
+    return back(stored).cogroup(back(first.union(second))).applyInArrow(_scorer(int(n or 0), int(v or 0)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,45 @@ def test_pieces_and_blocks_do_not_change_scores(monkeypatch):
     assert (automaton.fails[automaton.start + 1 :] < len(words)).all() and (automaton.fails[: automaton.start + 1] == automaton.root).all()
 
 
+def test_texts_are_cut_into_words_once(spark):
+    """One pass takes the texts' size, one deals them out; all rounds then read numbers."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, f"a b w{i % 7}", i % 7 == 2) for i in range(50)], "doc_id long, text string, held_out boolean")
+    assert op7_lm.scored(spark, docs.mapInArrow(seen, docs.schema)).count() == 50
+    assert passed.value <= 100
+
+
+def test_tokens_equal_a_split_of_bytes():
+    import xxhash
+
+    r = random.Random(4)
+    some = bytes(range(256)), b" \t\n\x0b\x0c\r\x1c\x85\xa0ab\xc3\x00"
+    for texts in [[b""], [b"", b" "], [b"a"], *[[bytes(r.choice(some[k % 2]) for _ in range(r.choice([0, 1, 5, 300]))) for _ in range(9)] for k in range(40)]]:
+        want = [[*t.split(), b" "] for t in texts]
+        hashes, token, length = op7_lm._tokens(texts)
+        assert length.tolist() == [len(w) for w in want] and len(set(hashes.tolist())) == len({x for w in want for x in w})
+        assert hashes[token].tolist() == [xxhash.xxh64_intdigest(x) for w in want for x in w]
+
+
+def test_stored_block_equals_the_block_of_the_texts():
+    import pyarrow as pa
+    import zstandard
+
+    texts = [b"", b"a b a", b"  b\xc3\xa9 ", b"a " * 300]
+    table = pa.table({"doc_id": pa.array([1, None, -3, 1], pa.int64()), "held_out": [True, False, False, True], "z": [zstandard.compress(t) for t in texts]})
+    block, stored = op7_lm.Block(table), op7_lm.Block.stored(op7_lm._store((pa.scalar(7),), table))
+    assert stored.docs["doc_id"].to_pylist() == [1, None, -3, 1] and stored.docs["held_out"].to_pylist() == [True, False, False, True]
+    for name in ("length", "first", "word", "pair", "trains"):
+        assert getattr(block, name).tolist() == getattr(stored, name).tolist()
+    assert all((block.keys[k] == stored.keys[k]).all() for k in (op7_lm.UNIGRAM, op7_lm.BIGRAM))
+
+
 def test_scores_without_training_text(spark):
     docs = spark.createDataFrame([(1, "a b", True), (2, None, True)], "doc_id long, text string, held_out boolean")
     assert sorted((r.doc_id, r.n_known, r.train_tokens, r.score) for r in op7_lm.scored(spark, docs).collect()) == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
