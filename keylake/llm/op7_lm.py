@@ -87,6 +87,74 @@ def _unpacked_keys(data: bytes) -> np.ndarray:
     return np.concatenate([first, first + np.cumsum(steps, dtype=np.uint64)])
 
 
+NUMBERS = pa.struct([("width", pa.int32()), ("low", pa.binary()), ("rest", pa.binary())])
+NUMBERS_SQL = "struct<width: int, low: binary, rest: binary>"
+
+
+def _top(width: int) -> np.uint64:
+    return np.uint64((1 << 8 * width) - 1)
+
+
+def _cells(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    bounds = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _cut(numbers: np.ndarray, ends: np.ndarray) -> pa.StructArray:
+    """Numbers cut at the ends, a row of NUMBERS for each stretch; no step is made for each row, as there are many short ones in a large corpus.
+
+    low has so many bytes of each number; those that don't fit are all ones there, and whole in rest.
+    """
+    x = numbers.astype("<u8")
+    width = min(WIDTHS, key=lambda w: w * len(x) + 8 * int(np.count_nonzero(x >= _top(w))))
+    large = np.flatnonzero(x >= _top(width))
+    low = np.minimum(x, _top(width)).view(np.uint8).reshape(-1, 8)[:, :width]
+    parts = [pa.array(np.full(len(ends), width, np.int32)), _cells(low, ends * width), _cells(x[large], np.searchsorted(large, ends) * 8)]
+    return pa.StructArray.from_arrays(parts, fields=list(NUMBERS))
+
+
+def _body(cells: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all rows."""
+    parts = []
+    for c in cells.cast(pa.large_binary()).chunks:
+        if len(c):
+            bounds = np.frombuffer(c.buffers()[1], np.int64)
+            parts.append(np.frombuffer(c.buffers()[2] or b"", np.uint8)[bounds[c.offset] : bounds[c.offset + len(c)]])
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of NUMBERS, and how many each row has."""
+    width, low, rest = (pc.struct_field(column, name) for name in ("width", "low", "rest"))
+    width = width.to_numpy().astype(np.int64)
+    size = pc.binary_length(low).to_numpy().astype(np.int64) // np.maximum(width, 1)
+    own = np.repeat(width.astype(np.int8), size)
+    out, large = np.zeros(len(own), np.uint64), np.zeros(len(own), bool)
+    for w in np.unique(width).tolist():
+        mine = own == w
+        wide = np.zeros((int(np.count_nonzero(mine)), 8), np.uint8)
+        wide[:, :w] = _body(low.filter(pa.array(width == w))).reshape(-1, w)
+        part = wide.view("<u8").ravel()
+        out[mine], large[mine] = part, part == _top(w)
+    out[large] = _body(rest).view("<u8")
+    return out, size
+
+
+def _cut_keys(keys: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.StructArray]:
+    """Rising keys, cut: the first of each stretch, and the steps from one to the next."""
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+    steps = np.diff(keys, prepend=keys[:1])
+    steps[starts] = 0
+    return pa.array(keys[starts].view(np.int64)), _cut(steps, ends)
+
+
+def _joined_keys(first: pa.ChunkedArray, steps: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all rows, none of which is empty, and how many each row has."""
+    keys, size = _joined(steps)
+    keys = keys.cumsum(dtype=np.uint64)
+    return keys + np.repeat(first.to_numpy().view(np.uint64) - keys[size.cumsum() - size], size), size
+
+
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct numbers in order, where one of each is, and the place of each of x among them."""
     order = np.argsort(x)
@@ -189,16 +257,23 @@ def _shards(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-REQUEST = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("fans", pa.binary()), ("tails", pa.binary())])
-REQUEST_SQL = "shard int, block int, kind int, keys binary, counts binary, fans binary, tails binary"
-ANSWER = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("totals", pa.binary()), ("sums", pa.binary()), ("words", pa.int64()), ("known", pa.int64())])
-ANSWER_SQL = "block int, kind int, shard int, totals binary, sums binary, words long, known long"
+REQUEST = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("first", pa.int64()), ("keys", NUMBERS), ("counts", NUMBERS), ("fans", NUMBERS), ("tails", NUMBERS)])
+REQUEST_SQL = f"shard int, block int, kind int, first long, keys {NUMBERS_SQL}, counts {NUMBERS_SQL}, fans {NUMBERS_SQL}, tails {NUMBERS_SQL}"
+ANSWER = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("totals", NUMBERS), ("sums", NUMBERS), ("words", pa.int64()), ("known", pa.int64())])
+ANSWER_SQL = f"block int, kind int, shard int, totals {NUMBERS_SQL}, sums {NUMBERS_SQL}, words long, known long"
+NONE = np.zeros(0, np.int64)
 
 
-def _stretches(to: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(shard, start, end) of rising shard numbers."""
-    edge = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
-    yield from ((int(to[a]), a, b) for a, b in zip(edge, [*edge, len(to)][1:], strict=True))
+def _requests(block: int, kind: int, keys: np.ndarray, shard: np.ndarray, counts: np.ndarray, fans: np.ndarray = NONE, tails: np.ndarray = NONE) -> pa.RecordBatch:
+    """A row per shard. Without fans there is a count a key; else fans has the number of counts, and of tails, of each key."""
+    edge = np.flatnonzero(np.diff(shard, prepend=-1))
+    ends = np.append(edge[1:], len(keys))[: len(edge)]
+    inner = fans.cumsum()[ends - 1] if len(fans) else ends
+    none = np.zeros(len(ends), np.int64)
+    first, steps = _cut_keys(keys, ends)
+    more = [_cut(fans, ends), _cut(tails, inner)] if len(fans) else [_cut(NONE, none)] * 2
+    same = [pa.array(np.full(len(ends), x, np.int32)) for x in (block, kind)]
+    return pa.RecordBatch.from_arrays([pa.array(shard[ends - 1].astype(np.int32)), *same, first, steps, _cut(counts, inner), *more], schema=REQUEST)
 
 
 STORED = pa.schema([("block", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("tokens", pa.binary())])
@@ -219,26 +294,21 @@ def _first_requests(shards: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block, rows = Block.stored(pa.Table.from_batches([batch.slice(i, 1)])), []
+                block = Block.stored(pa.Table.from_batches([batch.slice(i, 1)]))
                 for kind, bits in ((UNIGRAM, 64), (BIGRAM, 56)):
-                    keys, count = block.keys[kind], block.counts(kind)
-                    rows += [{"shard": s, "block": batch["block"][i].as_py(), "kind": kind, "keys": _packed_keys(keys[a:b]), "counts": _packed(count[a:b])} for s, a, b in _stretches(_shards(keys, bits, shards))]
-                yield pa.RecordBatch.from_pylist(rows, REQUEST)
+                    yield _requests(batch["block"][i].as_py(), kind, block.keys[kind], _shards(block.keys[kind], bits, shards), block.counts(kind))
 
     return send
 
 
 def _second_requests(shards: int):
     def send(key: tuple[pa.Scalar, ...], stored: pa.Table, answers: pa.Table) -> pa.Table:
-        block, rows = Block.stored(stored), []
+        block = Block.stored(stored)
         at, codes, _, place, states = block.trigrams(_totals(answers, BIGRAM)[0])
         count = np.bincount(place, block.trains[at], len(codes)).astype(np.int64)
-        ends = np.searchsorted(codes, states + 1 << 32)
-        for s, a, b in _stretches(_shards(block.keys[BIGRAM][states], 56, shards)):
-            x, y = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
-            fans, tails = np.diff(ends[a:b], prepend=x), codes[x:y] & 0xFFFFFFFF
-            rows.append({"shard": s, "block": key[0].as_py(), "kind": TRIGRAM, "keys": _packed_keys(block.keys[BIGRAM][states[a:b]]), "counts": _packed(count[x:y]), "fans": _packed(fans), "tails": _packed(tails)})
-        return pa.Table.from_pylist(rows, REQUEST)
+        fans = np.diff(np.searchsorted(codes, states + 1 << 32), prepend=0)
+        keys = block.keys[BIGRAM][states]
+        return pa.Table.from_batches([_requests(key[0].as_py(), TRIGRAM, keys, _shards(keys, 56, shards), count, fans, codes & 0xFFFFFFFF)], REQUEST)
 
     return send
 
@@ -248,42 +318,39 @@ def _answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
     Of trigrams the totals of those kept (others are 0), and as sums k of each pair.
     """
-    kinds, out = table["kind"].to_numpy(), []
-    base = [{"block": b, "kind": k, "shard": key[0].as_py(), "words": 0, "known": 0} for b, k in zip(table["block"].to_pylist(), kinds.tolist(), strict=True)]
-    packed = {c: table[c].to_pylist() for c in ("keys", "counts", "fans", "tails")}
+    out = []
     for kind in (UNIGRAM, BIGRAM, TRIGRAM):
-        rows = np.flatnonzero(kinds == kind).tolist()
-        if not rows:
+        rows = table.filter(pc.equal(table["kind"], kind))
+        if not len(rows):
             continue
-        keys = [_unpacked_keys(packed["keys"][i]) for i in rows]
-        counts = [_unpacked(packed["counts"][i]) for i in rows]
-        unique, _, at = distinct(np.concatenate(keys))
-        sums = None
+        keys, n_keys = _joined_keys(rows["first"], rows["keys"])
+        counts, n_counts = _joined(rows["counts"])
+        words, known = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        unique, _, at = distinct(keys)
+        sums, n_sums = NONE, np.zeros(len(rows), np.int64)
         if kind == TRIGRAM:
-            fans = np.concatenate([_unpacked(packed["fans"][i]) for i in rows]).astype(np.int64)
-            code = (np.repeat(at, fans) << 32) | np.concatenate([_unpacked(packed["tails"][i]) for i in rows]).astype(np.int64)
+            code = (np.repeat(at, _joined(rows["fans"])[0].astype(np.int64)) << 32) | _joined(rows["tails"])[0].astype(np.int64)
             several, _, place = distinct(code)
-            total = np.bincount(place, np.concatenate(counts), len(several)).astype(np.int64)
+            total = np.bincount(place, counts, len(several)).astype(np.int64)
             total[total < LEAST] = 0
-            sums = np.bincount(several >> 32, total, len(unique)).astype(np.int64)[at]
+            sums, n_sums = np.bincount(several >> 32, total, len(unique)).astype(np.int64)[at], n_keys
             each = total[place]
         else:
-            total = np.bincount(at, np.concatenate(counts), len(unique)).astype(np.int64)
+            total = np.bincount(at, counts, len(unique)).astype(np.int64)
             each = total[at]
             if kind == UNIGRAM:
-                base[rows[0]] |= {"words": int(total.sum()), "known": int((total > 0).sum())}
-        x = y = 0
-        for i, k, c in zip(rows, keys, counts, strict=True):
-            out.append({**base[i], "totals": _packed(each[x : x + len(c)]), "sums": _packed(sums[y : y + len(k)]) if sums is not None else None})
-            x, y = x + len(c), y + len(k)
-    return pa.Table.from_pylist(out, ANSWER)
+                words[0], known[0] = total.sum(), (total > 0).sum()
+        shard = pa.array(np.full(len(rows), key[0].as_py(), np.int32))
+        parts = [rows["block"].combine_chunks(), rows["kind"].combine_chunks(), shard, _cut(each, n_counts.cumsum()), _cut(sums, n_sums.cumsum()), pa.array(words), pa.array(known)]
+        out.append(pa.RecordBatch.from_arrays(parts, schema=ANSWER))
+    return pa.Table.from_batches(out, ANSWER)
 
 
 def _totals(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """Totals and sums of a kind, in the order of the block's keys."""
-    rows = sorted((s, t, u) for k, s, t, u in zip(*(answers[c].to_pylist() for c in ("kind", "shard", "totals", "sums")), strict=True) if k == kind)
-    join = lambda parts: np.concatenate([_unpacked(x).astype(np.int64) for x in parts] or [np.zeros(0, np.int64)])
-    return join(t for _, t, _ in rows), join(u for _, _, u in rows if u is not None)
+    rows = answers.filter(pc.equal(answers["kind"], kind))
+    rows = rows.take(pc.sort_indices(rows["shard"]))
+    return tuple(_joined(rows[c])[0].astype(np.int64) for c in ("totals", "sums"))
 
 
 # the automaton ------------------------------------------------------------------------------------------------------------

@@ -204,6 +204,45 @@ def test_stored_block_equals_the_block_of_the_texts():
     assert all((block.keys[k] == stored.keys[k]).all() for k in (op7_lm.UNIGRAM, op7_lm.BIGRAM))
 
 
+def test_messages_of_cut_numbers():
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    for n in (0, 1, 5, 900):
+        ends = np.unique(np.append(r.integers(1, n + 1, 5), n)) if n else np.zeros(1, np.int64)
+        for top in (1, 254, 255, 256, 2**16, 2**40, 2**64 - 1):
+            x = r.integers(0, top, n, np.uint64, endpoint=True)
+            rows = pa.chunked_array([op7_lm._cut(x, ends), op7_lm._cut(x[:0], np.zeros(1, np.int64)), op7_lm._cut(x >> np.uint64(20), ends)])
+            numbers, size = op7_lm._joined(rows)
+            assert (numbers == np.concatenate([x, x >> np.uint64(20)])).all()
+            assert size.tolist() == [*np.diff(ends, prepend=0), 0, *np.diff(ends, prepend=0)]
+            if n:
+                first, steps = op7_lm._cut_keys(np.sort(x), ends)
+                assert (op7_lm._joined_keys(pa.chunked_array([first]), pa.chunked_array([steps]))[0] == np.sort(x)).all()
+    assert len(op7_lm._joined(pa.chunked_array([], op7_lm.NUMBERS))[0]) == 0
+
+
+def test_messages_cost_by_keys_not_by_shards():
+    """A block's messages to 20,000 shards take about the time of those to 20; the larger the corpus, the more shards."""
+    import time
+
+    import pyarrow as pa
+    import zstandard
+
+    r = random.Random(5)
+    text = " ".join(f"w{r.randrange(100000)}" for _ in range(200000)).encode()
+    table = pa.table({"doc_id": pa.array([1]), "held_out": [False], "z": [zstandard.compress(text)]})
+    (batch,) = op7_lm._store((pa.scalar(7, pa.int32()),), table).to_batches()
+
+    def took(shards):
+        start = time.process_time()
+        sent = list(op7_lm._first_requests(shards)(iter([batch])))
+        return time.process_time() - start, sum(x.num_rows for x in sent)
+
+    few, many = (min(took(shards) for _ in range(3)) for shards in (20, 20000))
+    assert few[1] == 40 and many[1] > 30000 and many[0] < 4 * few[0]
+
+
 def test_scores_without_training_text(spark):
     docs = spark.createDataFrame([(1, "a b", True), (2, None, True)], "doc_id long, text string, held_out boolean")
     assert sorted((r.doc_id, r.n_known, r.train_tokens, r.score) for r in op7_lm.scored(spark, docs).collect()) == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
