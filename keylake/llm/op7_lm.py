@@ -12,13 +12,13 @@ Probabilities: p(w) is the add-one unigram of the base score. p(w | v) = (c(v w)
 count ** SMOOTH_B stands for the number of words that may still follow. Each sums to 1 over known words and one unknown.
 
 The automaton of a corpus fits no machine, so it is never gathered. Texts are dealt into blocks of about BLOCK_BYTES, which are
-walked in a task each: their words are numbered once and written as numbers, one row a block, which all rounds read. In a first
-round a block sends each distinct word and pair of its texts once, with its count in
-training texts, to the key's shard, which adds counts up over all blocks and answers each block, in the order of its keys, with
-totals. In a second round it asks the same way for the trigrams of which both pairs occur twice or more (no other can be kept)
-and for k. The block then holds just the part of the automaton that its own texts can reach. A frequent word is one entry
-a block like any other, so no key is hot, and rows are dealt by place as well as by content, so that repeated rows spread.
-Counts are over all training texts; words are known by 64 bits of hash, pairs by 56, and followers of a pair by 32 each.
+walked in a task each: their words are numbered once and written as numbers, a row a block, which all rounds read. In a first
+round a block sends each distinct word and pair of its texts once, with its count in training texts, to the key's shard, which
+adds counts up over all blocks and answers each block, in the order of its keys, with totals. In a second round it asks the same
+way for the trigrams of which both pairs occur twice or more (no other can be kept) and for k. The block then holds just the part
+of the automaton that its own texts can reach. A frequent word is one entry a block like any other, so no key is hot, and rows are
+dealt by place as well as by content, so that repeated rows spread. Counts are over all training texts; words are known by 64 bits
+of hash, pairs by 56, and followers of a pair by 32 each.
 
 Defined cases: a null text is an empty one, a single end token; a null doc_id is not held out and trains; documents
 repeated in the table train and are scored one by one; without training text every token has the base's equal
